@@ -186,7 +186,9 @@ def has_whole_word(text: Column, indicators: Column) -> Column:
     def found(word: Column) -> Column:
         w = strip(text_or_empty(word))
         quoted = F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        regex = F.concat(F.lit("(?iu)" + _WORD_BOUNDARY), quoted, F.lit(_WORD_BOUNDARY))
+        # look for the word before its boundary: most positions fail on the first letter
+        ahead = F.concat(F.lit("(?iu)(?="), quoted, F.lit(")" + _WORD_BOUNDARY))
+        regex = F.concat(ahead, quoted, F.lit(_WORD_BOUNDARY))
         return (w != "") & F.rlike(text_or_empty(text), regex)
 
     return F.coalesce(F.size(indicators) <= 0, F.lit(True)) | F.coalesce(F.exists(indicators, found), F.lit(False))

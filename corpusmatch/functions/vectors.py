@@ -17,8 +17,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Scale to unit length; a zero vector stays as it is."""
-    norm = F.sqrt(_sum(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")).cast("float"))
+    doubles = F.transform(v, lambda x: x.cast("double"))
+    norm = F.sqrt(_sum(F.transform(doubles, lambda x: x * x)))
+    divisor = F.when(norm > 0, norm).otherwise(F.lit(1.0))
+    # through a one-element array, so that the norm is computed once and not again per element
+    scaled = F.transform(F.array(divisor), lambda n: F.transform(doubles, lambda x: (x / n).cast("float")))
+    return scaled[0]
 
 
 def from_json_text(c: Column) -> Column:

@@ -1,31 +1,27 @@
-"""Hand a catalogue to the tasks in blocks of checked size."""
+"""Hand a catalogue to the tasks in blocks of bounded size."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row
 
 MAX_BLOCK_BYTES = 64 << 20
 
 
-def collect_in_blocks(
-    df: DataFrame, key: str, row_bytes: Column, max_bytes: int = MAX_BLOCK_BYTES
-) -> Iterator[list[Row]]:
-    """Split ``df`` by hash of ``key`` into blocks that weigh at most ``max_bytes`` and yield each one's rows.
+def collect_in_blocks(df: DataFrame, row_bytes: Column, max_bytes: int = MAX_BLOCK_BYTES) -> Iterator[list[Row]]:
+    """The rows of ``df`` in blocks that weigh at most ``max_bytes`` (or are one single row).
 
-    The weights are measured first, so nothing larger than a block (or one single row) ever reaches the
-    driver or a broadcast; a catalogue of any size is served by more blocks.
+    Rows come to the driver one partition at a time and each is weighed, so that no block, and no
+    broadcast made of it, outgrows the bound; a larger catalogue gives more blocks.
     """
-    n_blocks = 1
-    while True:
-        block = F.pmod(F.xxhash64(key), F.lit(n_blocks))
-        sizes = df.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes).alias("bytes"))
-        worst, total, filled = sizes.agg(
-            F.max(F.when(F.col("rows") > 1, F.col("bytes"))), F.sum("bytes"), F.sort_array(F.collect_list("block"))
-        ).first()
-        if (worst or 0) <= max_bytes:
-            break
-        n_blocks = max(2 * n_blocks, -(-2 * total // max_bytes))
-    for b in filled:
-        yield df.filter(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == b).collect()
+    block: list[Row] = []
+    held = 0
+    for row in df.withColumn("_bytes", row_bytes).toLocalIterator():
+        if block and held + row["_bytes"] > max_bytes:
+            yield block
+            block, held = [], 0
+        block.append(row)
+        held += row["_bytes"]
+    if block:
+        yield block

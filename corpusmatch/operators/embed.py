@@ -44,7 +44,9 @@ def hashed_bag_of_words(dim: int = 256) -> Encoder:
             vectors = [None if t is None else unit_vector(t) for t in texts.to_pylist()]
             yield pa.array(vectors, type=pa.list_(pa.float32()))
 
-    return lambda text: encode(F.lower(text))
+    # or Spark would encode once more for every filter on the vector
+    once = encode.asNondeterministic()
+    return lambda text: once(F.lower(text))
 
 
 def embed_texts(df: DataFrame, text: str, encoder: Encoder, out: str = "embedding") -> DataFrame:

@@ -134,6 +134,10 @@ def _parse_files(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Ar
         yield pa.array([_parse(lang, t.as_py()) if t.is_valid else None for lang, t in pairs], type=_PARSED)
 
 
+# or Spark would parse once more for every filter on the result
+_parse_files = _parse_files.asNondeterministic()
+
+
 def _whole_file(kind: str) -> Column:
     nothing = F.lit(None)
     return F.array(

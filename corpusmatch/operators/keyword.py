@@ -6,24 +6,34 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from corpusmatch.functions import text as tx
 from corpusmatch.operators.bounded import MAX_BLOCK_BYTES, collect_in_blocks
+from corpusmatch.schemas import table
 
-_MATCHES = pa.list_(pa.struct([("pattern", pa.int32()), ("words", pa.list_(pa.string()))]))
 
+def _matcher(block: list[Row], id_type: DataType):
+    """Arrow UDF: text -> [(pattern_id, pattern_name, indicators found)], one pass over the text for all needles."""
+    ids = pa.array([row["pattern_id"] for row in block])
+    matches = pa.list_(
+        pa.struct([("pattern_id", ids.type), ("pattern_name", pa.string()), ("words", pa.list_(pa.string()))])
+    )
+    owners_by_needle: dict[str, list[tuple[int, str]]] = {}
+    for number, row in enumerate(block):
+        for word in dict.fromkeys(w for w in row["indicators"] if w):
+            owners_by_needle.setdefault(word.lower(), []).append((number, word))
+    names = [row["pattern_name"] for row in block]
+    shared = SparkSession.active().sparkContext.broadcast((owners_by_needle, ids.to_pylist(), names))
 
-def _matcher(owners_by_needle):
-    """Arrow UDF: text -> [(pattern number, indicators found)], one pass over the text for all needles."""
-
-    @F.arrow_udf("array<struct<pattern:int,words:array<string>>>")
+    @F.arrow_udf(ArrayType(table(pattern_id=id_type, pattern_name=StringType(), words=ArrayType(StringType()))))
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
+        owners_by_needle, ids, names = shared.value
         automaton = ahocorasick.Automaton()
-        for needle, owners in owners_by_needle.value.items():
+        for needle, owners in owners_by_needle.items():
             automaton.add_word(needle, (needle, owners))
         automaton.make_automaton()
         for texts in batches:
@@ -34,8 +44,10 @@ def _matcher(owners_by_needle):
                 for owners in needles.values():
                     for pattern, word in owners:
                         words_by_pattern.setdefault(pattern, []).append(word)
-                found.append([{"pattern": p, "words": w} for p, w in words_by_pattern.items()])
-            yield pa.array(found, type=_MATCHES)
+                found.append(
+                    [{"pattern_id": ids[p], "pattern_name": names[p], "words": w} for p, w in words_by_pattern.items()]
+                )
+            yield pa.array(found, type=matches)
 
     return match
 
@@ -49,28 +61,19 @@ def keyword_pairs(
     patterns: one automaton over a block of the catalogue reads each text once, and only ``text`` travels
     to Python. A pattern's indicators share a block, so its words come out of one row whole.
     """
-    spark = symbols.sparkSession
     catalogue = patterns.select("pattern_id", F.col("name").alias("pattern_name"), "indicators").filter(
         F.exists("indicators", lambda w: w != "")
     )
-    row_bytes = F.octet_length("pattern_name") + F.octet_length(F.array_join("indicators", "")) + 64 * F.size("indicators")
-    id_type = catalogue.schema["pattern_id"].dataType.simpleString()
+    words_bytes = F.octet_length(F.array_join("indicators", "")) + 64 * F.size("indicators")
+    row_bytes = F.octet_length("pattern_name") + words_bytes
+    id_type = catalogue.schema["pattern_id"].dataType
     scanned = []
-    for block in collect_in_blocks(catalogue, "pattern_id", row_bytes, max_block_bytes):
-        owners_by_needle: dict[str, list[tuple[int, str]]] = {}
-        for number, row in enumerate(block):
-            for word in dict.fromkeys(w for w in row["indicators"] if w):
-                owners_by_needle.setdefault(word.lower(), []).append((number, word))
-        match = _matcher(spark.sparkContext.broadcast(owners_by_needle))
-        names = spark.createDataFrame(
-            [(n, r["pattern_id"], r["pattern_name"]) for n, r in enumerate(block)],
-            f"pattern int, pattern_id {id_type}, pattern_name string",
-        )
-        hits = symbols.withColumn("_match", F.explode(match(text))).select(*symbols.columns, "_match.*")
-        scanned.append(hits.join(F.broadcast(names), "pattern").drop("pattern"))
+    for block in collect_in_blocks(catalogue, row_bytes, max_block_bytes):
+        match = _matcher(block, id_type)
+        scanned.append(symbols.withColumn("_match", F.explode(match(text))).select(*symbols.columns, "_match.*"))
     if not scanned:
-        schema = StructType(symbols.schema.fields + [StructField("words", ArrayType(StringType()))] + catalogue.schema.fields[:2])
-        return spark.createDataFrame([], schema)
+        found = table(pattern_id=id_type, pattern_name=StringType(), words=ArrayType(StringType()))
+        return symbols.sparkSession.createDataFrame([], StructType(symbols.schema.fields + found.fields))
     return reduce(DataFrame.unionByName, scanned)
 
 

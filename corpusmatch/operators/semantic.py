@@ -8,15 +8,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from corpusmatch.functions import text as tx, vectors as vx
 from corpusmatch.operators.bounded import MAX_BLOCK_BYTES, collect_in_blocks
 from corpusmatch.operators.skew import top_k
+from corpusmatch.schemas import table
 
 # Allowance for one winner row: two keys of 64 characters, the name and the score, in a hash relation.
 WINNER_BYTES = 320
+# So many patterns are multiplied with a batch of symbols at a time.
+PATTERNS_AT_ONCE = 1024
 
 _EPS32 = float(np.finfo(np.float32).eps)
 
@@ -61,35 +64,39 @@ def _vectors_by_dim(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray
     return out
 
 
-def _best_per_pattern(hits: pa.Table, k: int) -> pa.Table:
-    """Drop what cannot be among a pattern's best ``k`` because ``k`` better ones are in the same batch."""
-    pattern = hits["_pattern"].to_numpy()
+def _best_per_pattern(pattern: np.ndarray, score: np.ndarray, symbol_id: pa.Array, k: int) -> np.ndarray:
+    """Positions left after dropping what ``k`` better ones of the same pattern in this batch rule out."""
     if len(pattern) == 0 or np.bincount(pattern).max() <= k:
-        return hits
-    ordered = hits.sort_by([("_pattern", "ascending"), ("score", "descending"), ("symbol_id", "ascending")])
-    pattern = ordered["_pattern"].to_numpy()
-    starts = np.searchsorted(pattern, pattern, side="left")
-    return ordered.take(pa.array(np.flatnonzero(np.arange(len(pattern)) - starts < k)))
+        return np.arange(len(pattern))
+    keys = pa.table({"pattern": pattern, "score": score, "symbol_id": symbol_id})
+    order = pc.sort_indices(
+        keys, sort_keys=[("pattern", "ascending"), ("score", "descending"), ("symbol_id", "ascending")]
+    ).to_numpy()
+    ordered = pattern[order]
+    rank = np.arange(len(ordered)) - np.searchsorted(ordered, ordered, side="left")
+    return order[rank < k]
 
 
-def _block_scores(symbols: DataFrame, block, min_cos: float, k: int, slice_rows: int = 1024) -> DataFrame:
+def _block_scores(symbols: DataFrame, block: list[Row], schema: StructType, min_cos: float, k: int) -> DataFrame:
     """Score every symbol against one broadcast block of patterns inside the tasks that scan the symbols."""
-    spark = symbols.sparkSession
-    by_dim: dict[int, list[int]] = {}
+    numbers_by_dim: dict[int, list[int]] = {}
     for number, row in enumerate(block):
-        by_dim.setdefault(len(row["embedding"]), []).append(number)
+        numbers_by_dim.setdefault(len(row["embedding"]), []).append(number)
     matrices = {
         dim: (np.array(numbers), np.array([block[n]["embedding"] for n in numbers], dtype=np.float32))
-        for dim, numbers in by_dim.items()
+        for dim, numbers in numbers_by_dim.items()
     }
-    shared = spark.sparkContext.broadcast(matrices)
+    names = pa.table(
+        {name: pa.array([row[name] for row in block]) for name in ("pattern_id", "pattern_name")}
+    )
+    shared = symbols.sparkSession.sparkContext.broadcast((matrices, names))
 
     def pairs(vectors: pa.Array):
         for dim, (rows, matrix) in _vectors_by_dim(vectors).items():
-            for pattern_dim, (numbers, patterns) in shared.value.items():
+            for pattern_dim, (numbers, patterns) in shared.value[0].items():
                 if pattern_dim == dim:
-                    for lo in range(0, len(numbers), slice_rows):
-                        i, j, score = _scores_above(matrix, patterns[lo : lo + slice_rows], min_cos)
+                    for lo in range(0, len(numbers), PATTERNS_AT_ONCE):
+                        i, j, score = _scores_above(matrix, patterns[lo : lo + PATTERNS_AT_ONCE], min_cos)
                         yield rows[i], numbers[lo + j], score
                 elif min_cos <= -1.0:
                     i, j = np.divmod(np.arange(len(rows) * len(numbers)), len(numbers))
@@ -98,28 +105,32 @@ def _block_scores(symbols: DataFrame, block, min_cos: float, k: int, slice_rows:
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, numbers, score in pairs(batch["embedding"]):
+                best = _best_per_pattern(numbers, score, batch["symbol_id"].take(pa.array(rows)), k)
+                of_pattern = shared.value[1].take(pa.array(numbers[best]))
+                of_symbol = batch.select(["symbol_id", "repo_id"]).take(pa.array(rows[best]))
                 hits = pa.table(
-                    {
-                        "_pattern": pa.array(numbers.astype(np.int32)),
-                        "symbol_id": batch["symbol_id"].take(pa.array(rows)),
-                        "repo_id": batch["repo_id"].take(pa.array(rows)),
-                        "score": pa.array(score),
-                    }
+                    [*of_pattern.columns, *of_symbol.columns, pa.array(score[best])], names=schema.fieldNames()
                 )
-                yield from _best_per_pattern(hits, k).to_batches()
+                yield from hits.to_batches()
+
+    return symbols.mapInArrow(score_batches, schema)
+
 
-    types = {f.name: f.dataType.simpleString() for f in symbols.schema.fields}
-    return symbols.mapInArrow(
-        score_batches,
-        f"_pattern int, symbol_id {types['symbol_id']}, repo_id {types['repo_id']}, score double",
+def _winner_schema(symbols: DataFrame, patterns: DataFrame) -> StructType:
+    return table(
+        pattern_id=patterns.schema["pattern_id"].dataType,
+        pattern_name=StringType(),
+        symbol_id=symbols.schema["symbol_id"].dataType,
+        repo_id=symbols.schema["repo_id"].dataType,
+        score=DoubleType(),
     )
 
 
 def _winner_blocks(
     symbols: DataFrame, patterns: DataFrame, topk: int, min_cos: float, max_block_bytes: int
-) -> Iterator[DataFrame]:
+) -> list[DataFrame]:
     """The top-k rows of each catalogue block; a block's vectors and its winners both stay within its size."""
-    spark = symbols.sparkSession
+    schema = _winner_schema(symbols, patterns)
     embedded = symbols.filter(vx.is_embedded(F.col("embedding"))).select("symbol_id", "repo_id", "embedding")
     # a vector with a missing element scores NaN and so never matches
     dense = F.transform("embedding", lambda x: F.coalesce(x, F.lit("NaN").cast("float")))
@@ -127,36 +138,18 @@ def _winner_blocks(
         "pattern_id", F.col("name").alias("pattern_name"), dense.alias("embedding")
     )
     row_bytes = F.octet_length("pattern_name") + 4 * F.size("embedding") + F.lit(WINNER_BYTES * topk)
-    id_type = catalogue.schema["pattern_id"].dataType.simpleString()
     order = [F.desc("score"), F.asc("symbol_id")]
-    for block in collect_in_blocks(catalogue, "pattern_id", row_bytes, max_block_bytes):
-        names = spark.createDataFrame(
-            [(n, r["pattern_id"], r["pattern_name"]) for n, r in enumerate(block)],
-            f"_pattern int, pattern_id {id_type}, pattern_name string",
-        )
-        scored = _block_scores(embedded, block, min_cos, topk)
-        ranked = top_k(scored, "_pattern", order, topk, row_key="symbol_id")
-        yield ranked.join(F.broadcast(names), "_pattern").select(
-            "pattern_id", "pattern_name", "symbol_id", "repo_id", "score"
-        )
+    winners = [
+        top_k(_block_scores(embedded, block, schema, min_cos, topk), "pattern_id", order, topk, row_key="symbol_id")
+        for block in collect_in_blocks(catalogue, row_bytes, max_block_bytes)
+    ]
+    return winners or [symbols.sparkSession.createDataFrame([], schema)]
 
 
 def _union(blocks: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, blocks)
 
 
-def _nothing(symbols: DataFrame, patterns: DataFrame) -> DataFrame:
-    types = {
-        "pattern_id": patterns.schema["pattern_id"].dataType,
-        "pattern_name": StringType(),
-        "symbol_id": symbols.schema["symbol_id"].dataType,
-        "repo_id": symbols.schema["repo_id"].dataType,
-        "score": DoubleType(),
-    }
-    schema = StructType([StructField(name, kind) for name, kind in types.items()])
-    return symbols.sparkSession.createDataFrame([], schema)
-
-
 def semantic_topk(
     symbols: DataFrame,
     patterns: DataFrame,
@@ -170,8 +163,7 @@ def semantic_topk(
     that a batch already shows to be out of the top k, never leave the task that scans the symbols. The
     catalogue is broadcast in blocks of checked size.
     """
-    blocks = list(_winner_blocks(symbols, patterns, topk, min_cos, max_block_bytes))
-    return _union(blocks or [_nothing(symbols, patterns)])
+    return _union(_winner_blocks(symbols, patterns, topk, min_cos, max_block_bytes))
 
 
 def semantic_match(
@@ -195,12 +187,11 @@ def semantic_match(
     passes = tx.has_whole_word(
         tx.gate_text(F.col("name"), F.col("docstring"), F.col("source")), F.col("indicators")
     )
-    blocks = list(_winner_blocks(vectors, patterns, topk, min_cos, max_block_bytes))
     gated = _union(
         texts.join(F.broadcast(winners), ["repo_id", "symbol_id"])
         .join(indicators, "pattern_id")
         .filter(passes)
-        for winners in blocks or [_nothing(vectors, patterns)]
+        for winners in _winner_blocks(vectors, patterns, topk, min_cos, max_block_bytes)
     )
     snippet = tx.first_chars(F.col("source"), tx.SNIPPET_CHARS)
     return gated.select(

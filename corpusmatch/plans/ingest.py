@@ -44,15 +44,15 @@ class Store:
     def files(self) -> DataFrame:
         return self._read("files", schemas.FILES, "file_id")
 
+    def extract_errors(self) -> DataFrame:
+        return errors_of(self._read("files", schemas.INDEXED_FILES, "file_id"))
+
     def symbols(self) -> DataFrame:
         return self._read("symbols", schemas.SYMBOLS, "symbol_id")
 
     def vectors(self) -> DataFrame:
         return self._read("symbol_vectors", schemas.SYMBOL_VECTORS, "symbol_id")
 
-    def extract_errors(self) -> DataFrame:
-        return self._read("extract_errors", schemas.EXTRACT_ERRORS, "file_id")
-
     def hits(self) -> DataFrame:
         return self._read("pattern_hits", schemas.HITS, "pattern_id")
 
@@ -95,8 +95,7 @@ def index_repositories(store: Store, contents: DataFrame, repos: DataFrame, enco
     extracted = written(
         extract(index_files(contents)).withColumn("error", F.coalesce("read_error", "error")), "extracted"
     )
-    replace_repositories(extracted, repos, f"{store.path}/files", schemas.FILES)
-    replace_repositories(errors_of(extracted), repos, f"{store.path}/extract_errors", schemas.EXTRACT_ERRORS)
+    replace_repositories(extracted, repos, f"{store.path}/files", schemas.INDEXED_FILES)
 
     symbols = schemas.conform(symbols_of(extracted), schemas.SYMBOLS)
     replace_repositories(symbols, repos, f"{store.path}/symbols", schemas.SYMBOLS)

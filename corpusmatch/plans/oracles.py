@@ -20,15 +20,20 @@ _ITEMS = """items AS (
   FROM (SELECT *, regexp_extract_all(lower(text), '[a-z]{7,}') AS w FROM benchmark))"""
 
 _LABELS = """label_patterns AS (
-  SELECT l.label::BIGINT AS pattern_id, 'label_' || l.label AS name, indicators, embedding
+  SELECT l.label::BIGINT AS pattern_id, 'label_' || l.label AS name, embedding,
+         CASE l.label % 3 WHEN 0 THEN [] WHEN 1 THEN string_split(lower(description), ' ')[1:3] ELSE indicators END AS indicators
   FROM (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) l
   LEFT JOIN items ON items.pattern_id = l.label)"""
 
 
 def _whole_word(text: str, indicators: str) -> str:
+    word, other = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    # a boundary: beside a word character there is none, beside another character there is one
+    left = f"CASE WHEN regexp_matches(w, '^{word}') THEN '(^|{other})' ELSE '{word}' END"
+    right = f"CASE WHEN regexp_matches(w, '{word}$') THEN '($|{other})' ELSE '{word}' END"
     return (
-        f"(coalesce(len({indicators}), 0) = 0 OR len(list_filter({indicators}, lambda w: regexp_matches({text}, "
-        r"'(?i)(^|[^\p{L}\p{N}_])' || w || '($|[^\p{L}\p{N}_])'))) > 0)"
+        f"(coalesce(len({indicators}), 0) = 0 OR len(list_filter({indicators}, lambda w: "
+        f"w <> '' AND regexp_matches({text}, '(?i)' || {left} || regexp_escape(w) || {right}))) > 0)"
     )
 
 
@@ -270,7 +275,7 @@ WHERE source <> 'src3'""",
     "repo_of_symbol_missing": """SELECT DISTINCT doc_id || ':none' AS symbol_id FROM labels
 UNION ALL SELECT DISTINCT doc_id || ':0' FROM labels l
 WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND source <> 'src3')""",
-    "l2_normalize": """SELECT vec_id, round(coalesce(u[1], 0), 5) AS first, round(coalesce(u[64], 0), 5) AS last, round(list_dot_product(u, u), 5) AS length
+    "l2_normalize": """SELECT vec_id, round(u[1], 5) + 0 AS first, round(u[64], 5) + 0 AS last, round(list_dot_product(u, u), 5) AS length
 FROM (SELECT vec_id, list_transform(s, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END)::FLOAT[]::DOUBLE[] AS u
       FROM (SELECT vec_id, s, sqrt(list_dot_product(s, s)) AS n
             FROM (SELECT vec_id, list_transform(embedding, lambda x: x * (vec_id % 5)::FLOAT)::DOUBLE[] AS s FROM embeddings)))""",

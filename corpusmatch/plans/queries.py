@@ -369,8 +369,8 @@ def repo_of_symbol_missing(c: Corpus) -> DataFrame:
 def l2_normalize(c: Corpus) -> DataFrame:
     factor = (F.col("vec_id") % 5).cast("float")
     scaled = F.transform("embedding", lambda x: x * factor)
-    unit = vx.l2_normalize(scaled)
-    return c.table("embeddings").select(
+    unit = F.col("unit")
+    return c.table("embeddings").select("vec_id", vx.l2_normalize(scaled).alias("unit")).select(
         "vec_id",
         F.round(unit[0].cast("double"), 5).alias("first"),
         F.round(unit[63].cast("double"), 5).alias("last"),

@@ -21,13 +21,21 @@ PATHS = [
     "settings.conf",
 ]
 
+# The tables whose rows are costly to work on, with the column to deal them out by.
+_DEALT_BY = {"documents": "doc_id", "part": "p_partkey", "embeddings": "vec_id"}
+
 
 class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A given table. One that comes in fewer files than there are cores is dealt out over them."""
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in _DEALT_BY and len(rows.inputFiles()) < cores:
+            return rows.repartition(cores, _DEALT_BY[name])
+        return rows
 
     def doc_files(self) -> DataFrame:
         """Documents as files: file = document, repository = its source."""
@@ -83,12 +91,24 @@ class Corpus:
         )
 
     def label_patterns(self) -> DataFrame:
-        """The first vector of each label as a pattern, with the indicators of the item of that number."""
+        """The first vector of each label as a pattern.
+
+        Of three labels in turn one has no indicators, one the first words of the item of that number
+        (whatever they are), one that item's indicators.
+        """
         firsts = self.table("embeddings").groupBy(F.col("label").cast("bigint").alias("pattern_id")).agg(
             F.min_by("embedding", "vec_id").alias("embedding")
         )
-        return firsts.join(self.item_patterns().select("pattern_id", "indicators"), "pattern_id", "left").select(
-            "pattern_id", F.concat(F.lit("label_"), "pattern_id").alias("name"), "indicators", "embedding"
+        words = F.slice(F.split(F.lower("description"), " "), 1, 3)
+        turn = F.col("pattern_id") % 3
+        indicators = (
+            F.when(turn == 0, F.array().cast("array<string>")).when(turn == 1, words).otherwise(F.col("indicators"))
+        )
+        return firsts.join(self.item_patterns().drop("name"), "pattern_id", "left").select(
+            "pattern_id",
+            F.concat(F.lit("label_"), "pattern_id").alias("name"),
+            indicators.alias("indicators"),
+            "embedding",
         )
 
     def part_sources(self) -> DataFrame:
