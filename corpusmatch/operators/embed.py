@@ -75,10 +75,12 @@ def cache_hits(texts: DataFrame, cache: DataFrame) -> DataFrame:
 def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """``text_hash, text``: each distinct text that is not in the cache yet.
 
-    Copies collapse on the map side, before anything is joined.
+    Copies collapse on the map side before anything is joined. An outer join with a test for no match,
+    because Spark would move an anti join below the aggregate, where the copies are still apart.
     """
     distinct = texts.filter(F.col("text_hash").isNotNull()).groupBy("text_hash").agg(F.first("text").alias("text"))
-    return distinct.join(cache.select("text_hash"), "text_hash", "left_anti")
+    known = cache.select("text_hash", F.lit(True).alias("_known"))
+    return distinct.join(known, "text_hash", "left").filter(F.col("_known").isNull()).drop("_known")
 
 
 def cache_merge(cache: DataFrame, new: DataFrame) -> DataFrame:

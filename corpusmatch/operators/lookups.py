@@ -27,5 +27,7 @@ def repo_of_symbols(ids: DataFrame, symbols: DataFrame, files: DataFrame, repos:
 
 def symbols_without_repo(ids: DataFrame, symbols: DataFrame, files: DataFrame, repos: DataFrame) -> DataFrame:
     """The given symbol ids that lead to no repository; a caller that needs them all fails on any row."""
-    found = repo_of_symbols(ids, symbols, files, repos).select("symbol_id")
-    return ids.select("symbol_id").distinct().join(found, "symbol_id", "left_anti")
+    found = repo_of_symbols(ids, symbols, files, repos).select("symbol_id", F.lit(True).alias("_found"))
+    asked = ids.select("symbol_id").distinct()
+    # not an anti join: Spark would move that below the distinct, where copies of an id are still apart
+    return asked.join(found, "symbol_id", "left").filter(F.col("_found").isNull()).drop("_found")

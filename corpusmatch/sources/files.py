@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -22,11 +23,16 @@ _BATCH_BYTES = 32 << 20
 _BATCH_PATHS = 10_000
 
 
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path within it of a URI whose path is written plainly, not percent-encoded."""
+    return pafs.FileSystem.from_uri(quote(uri, safe=":/"))
+
+
 def _children(folder: str) -> Iterator[tuple[str, bool, int]]:
     """(path, is folder, bytes) of what lies directly in ``folder``; links to folders are not followed."""
     if "://" in folder:
-        filesystem, inner = pafs.FileSystem.from_uri(folder)
-        prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else folder[: folder.index("://") + 3]
+        filesystem, inner = _open(folder)
+        prefix = folder.removesuffix("/").removesuffix(inner)
         for info in filesystem.get_file_info(pafs.FileSelector(inner)):
             if info.type != pafs.FileType.NotFound:
                 yield prefix + info.path, info.type == pafs.FileType.Directory, info.size or 0
@@ -41,7 +47,7 @@ def _children(folder: str) -> Iterator[tuple[str, bool, int]]:
 
 def _read(path: str) -> bytes:
     if "://" in path:
-        filesystem, inner = pafs.FileSystem.from_uri(path)
+        filesystem, inner = _open(path)
         with filesystem.open_input_stream(inner) as stream:
             return stream.read()
     with open(path, "rb") as f:
@@ -98,8 +104,6 @@ def read_contents(paths: DataFrame, bytes_per_task: int = BYTES_PER_TASK) -> Dat
     spark = paths.sparkSession
     total = paths.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // bytes_per_task))
-    columns = [f for f in paths.schema.fields]
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, contents, errors, held = 0, [], [], 0
@@ -117,7 +121,7 @@ def read_contents(paths: DataFrame, bytes_per_task: int = BYTES_PER_TASK) -> Dat
                     yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "content", "read_error"])
                     done, contents, errors, held = number + 1, [], [], 0
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in paths.schema.fields)
     return paths.repartition(int(tasks), "path").mapInArrow(read, schema + ", content binary, read_error string")
 
 
