@@ -100,7 +100,11 @@ def attach_embeddings(rows: DataFrame, cache: DataFrame, row_key: str = "symbol_
 
 
 def embed_incremental(
-    symbols: DataFrame, cache: DataFrame, encoder: Encoder, min_chars: int = tx.MIN_EMBED_CHARS
+    symbols: DataFrame,
+    cache: DataFrame,
+    encoder: Encoder,
+    min_chars: int = tx.MIN_EMBED_CHARS,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(vectors, fresh)``: a vector per embeddable symbol, and the cache rows this run had to add.
 
@@ -110,13 +114,12 @@ def embed_incremental(
     themselves are never shuffled. Appending ``fresh`` completes the cache, since no old row changes.
     """
     due = with_embedding_text(symbols, min_chars).filter(F.col("text_hash").isNotNull())
-    texts = written(due.select("symbol_id", "repo_id", "text_hash", "text"), "texts")
-    fresh = written(
-        embed_texts(cache_misses(texts, cache), "text", encoder).select("text_hash", "embedding"), "new_vectors"
-    )
+    texts = written(due.select("symbol_id", "repo_id", "text_hash", "text"), "texts", folder)
+    encoded = embed_texts(cache_misses(texts, cache), "text", encoder).select("text_hash", "embedding")
+    fresh = written(encoded, "new_vectors", folder)
     complete = cache.select("text_hash", "embedding").unionByName(fresh)
     keys = texts.select("symbol_id", "repo_id", "text_hash")
-    return spread_join(keys, complete, "text_hash", row_key="symbol_id", how="left"), fresh
+    return spread_join(keys, complete, "text_hash", row_key="symbol_id"), fresh
 
 
 def update_embeddings(symbols: DataFrame, vectors: DataFrame) -> DataFrame:

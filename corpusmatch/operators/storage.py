@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet to the shared folder and read it back with pruning intact."""
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpusmatch/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own in the shared folder, removed with all that was written to it at the end."""
+    folder = new_folder(spark)
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and read it back with pruning intact.
+
+    A lost executor then costs a read, not the work behind it. What goes to a ``staging`` folder lives
+    as long as that; without a folder it stays until the cluster clears its shared folder.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmatch/{uuid.uuid4().hex}/{name}"
+    path = f"{folder or new_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ from corpusmatch.operators.hits import enrich_hits, insert_ignore
 from corpusmatch.operators.keyword import keyword_scan
 from corpusmatch.operators.semantic import semantic_match
 from corpusmatch.operators.skew import spread_join
-from corpusmatch.operators.storage import written
+from corpusmatch.operators.storage import staging, written
 from corpusmatch.operators.upserts import upsert_patterns, upsert_repos
 from corpusmatch.sources.catalog import load_patterns
 from corpusmatch.sources.files import index_files, read_tree
@@ -60,8 +60,9 @@ class Store:
         return enrich_hits(self.hits(), self.repos())
 
     def rewrite(self, name: str, merged: DataFrame) -> None:
-        """Overwrite a small table by a result that was computed from it."""
-        written(merged, name).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """Overwrite a table by a result that was computed from it."""
+        with staging(self.spark) as folder:
+            written(merged, name, folder).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
 
 def save_patterns(store: Store, patterns: DataFrame) -> None:
@@ -84,7 +85,9 @@ def save_repos(store: Store, repos: DataFrame) -> None:
     store.rewrite("repos", upsert_repos(store.repos(), new))
 
 
-def index_repositories(store: Store, contents: DataFrame, repos: DataFrame, encoder: Encoder) -> None:
+def index_repositories(
+    store: Store, contents: DataFrame, repos: DataFrame, encoder: Encoder, folder: str | None = None
+) -> None:
     """Replace files, symbols and vectors of the repositories in ``repos`` by what ``contents`` holds.
 
     ``contents`` is (repo_id, path, rel_path, lang, content) with an optional ``read_error``. It is read
@@ -92,34 +95,47 @@ def index_repositories(store: Store, contents: DataFrame, repos: DataFrame, enco
     """
     if "read_error" not in contents.columns:
         contents = contents.withColumn("read_error", F.lit(None).cast("string"))
-    extracted = written(
-        extract(index_files(contents)).withColumn("error", F.coalesce("read_error", "error")), "extracted"
-    )
+    indexed = extract(index_files(contents)).withColumn("error", F.coalesce("read_error", "error"))
+    extracted = written(indexed, "extracted", folder)
     replace_repositories(extracted, repos, f"{store.path}/files", schemas.INDEXED_FILES)
-
     symbols = schemas.conform(symbols_of(extracted), schemas.SYMBOLS)
     replace_repositories(symbols, repos, f"{store.path}/symbols", schemas.SYMBOLS)
 
-    vectors, new_cache = embed_incremental(symbols, store.cache(), encoder)
-    new_cache.write.mode("append").parquet(f"{store.path}/embeddings_cache")
+    vectors, fresh = embed_incremental(symbols, store.cache(), encoder, folder=folder)
     replace_repositories(vectors, repos, f"{store.path}/symbol_vectors", schemas.SYMBOL_VECTORS)
+    fresh.write.mode("append").parquet(f"{store.path}/embeddings_cache")
 
 
-def match_all(
-    store: Store, topk: int = 50, min_cos: float = 0.45, existing: DataFrame | None = None
+def match(
+    store: Store,
+    topk: int = 50,
+    min_cos: float = 0.45,
+    changed: DataFrame | None = None,
+    accumulate: bool = False,
+    folder: str | None = None,
 ) -> None:
-    """Recompute the hits of the whole store.
+    """Compute the hits of the store and replace the stored ones.
 
-    By default they depend on the stored tables only, not on the order in which repositories came in.
-    With ``existing`` hits, those win over new ones with the same key, and stay.
+    The hits depend on the stored tables only, not on the order in which repositories came in: the
+    semantic top k is always taken over all vectors. Given the repositories in ``changed``, and a
+    catalogue that is still the one of the last run, only their texts are scanned for keywords; the
+    keyword hits of the others cannot differ from the stored ones. With ``accumulate`` all
+    stored hits of the others stay and win over new ones with the same key.
     """
     symbols, patterns = store.symbols(), store.patterns()
-    keyword = keyword_scan(symbols, patterns)
+    scanned, existing = symbols, None
+    if changed is not None:
+        batch = changed.select("repo_id").distinct()
+        others = spread_join(store.hits(), batch, "repo_id", "symbol_id", "left_anti")
+        kept = others if accumulate else others.filter(F.col("match_kind") == "keyword")
+        existing = written(schemas.conform(kept, schemas.HITS), "kept_hits", folder)
+        scanned = symbols.join(batch, "repo_id", "left_semi")
+    keyword = keyword_scan(scanned, patterns)
     semantic = semantic_match(symbols, patterns, topk, min_cos, vectors=store.vectors())
-    hits = insert_ignore(None if existing is None else written(existing, "existing_hits"), keyword, semantic)
-    schemas.conform(hits, schemas.HITS).hint("rebalance", "repo_id").write.mode("overwrite").partitionBy(
-        "repo_id"
-    ).parquet(f"{store.path}/pattern_hits")
+    hits = schemas.conform(insert_ignore(existing, keyword, semantic), schemas.HITS)
+    hits.hint("rebalance", "repo_id").write.mode("overwrite").partitionBy("repo_id").parquet(
+        f"{store.path}/pattern_hits"
+    )
 
 
 def ingest(
@@ -128,19 +144,21 @@ def ingest(
     encoder: Encoder,
     topk: int = 50,
     min_cos: float = 0.45,
+    same_catalog: bool = False,
     accumulate: bool = False,
-    read: Callable[[DataFrame], DataFrame] = read_tree,
+    read: Callable[[DataFrame, str], DataFrame] = read_tree,
 ) -> None:
     """Ingest repositories (``url, local_path, default_branch``) in one batch and recompute the hits.
 
-    ``accumulate`` keeps the hits of the repositories that are not in the batch. A batch that broke off
-    is simply run again.
+    ``same_catalog`` says that the patterns are those of the last run, which spares the other
+    repositories the keyword scan; ``accumulate`` implies it and keeps all their hits. A batch that
+    broke off is simply run again.
     """
-    save_repos(store, repos)
-    batch = repos.select(schemas.key_of(F.col("url")).alias("repo_id"), F.col("local_path").alias("root"))
-    index_repositories(store, read(batch), batch, encoder)
-    others = spread_join(store.hits(), batch.select("repo_id"), "repo_id", "symbol_id", "left_anti") if accumulate else None
-    match_all(store, topk, min_cos, others)
+    with staging(store.spark) as folder:
+        save_repos(store, repos)
+        batch = repos.select(schemas.key_of(F.col("url")).alias("repo_id"), F.col("local_path").alias("root"))
+        index_repositories(store, read(batch, folder), batch, encoder, folder)
+        match(store, topk, min_cos, batch if same_catalog or accumulate else None, accumulate, folder)
 
 
 def run(
@@ -156,5 +174,5 @@ def run(
     store = Store(spark, store_path.rstrip("/"))
     if catalog_path:
         save_patterns(store, load_patterns(spark, catalog_path, encoder))
-    ingest(store, repos, encoder, topk, min_cos)
+    ingest(store, repos, encoder, topk, min_cos, same_catalog=catalog_path is None)
     return store.hits_enriched()

@@ -105,7 +105,7 @@ def _hashed(name: str, source: str, key: str, text: str) -> str:
 # --- generated sources --------------------------------------------------------------------------
 
 _PART_SYMBOLS = """part_files AS (
-  SELECT p_partkey, p_brand, replace(p_brand, '#', '-') AS repo, 'parts/p' || p_partkey || '.py' AS rel_path,
+  SELECT p_partkey, p_type AS repo, 'parts/p' || p_partkey || '.py' AS rel_path,
          'def size(self, n, /, m, *args, unit=''cm'', **kw):' || chr(10) || '        ''''''' || p_type || ''''''''
            || chr(10) || '        return ' || p_size AS size_source,
          'class Inner:' || chr(10) || '        async def run(self): pass' AS inner_source,
@@ -117,7 +117,7 @@ _PART_SYMBOLS = """part_files AS (
          p_name || chr(10) || chr(10) || 'in stock' AS class_doc, p_type
   FROM part),
 part_symbols AS (
-  SELECT p_partkey, p_brand, repo, rel_path, s.*
+  SELECT p_partkey, repo, rel_path, s.*
   FROM part_files, LATERAL (VALUES
     (0, 'class', 'Part' || p_partkey, 2, 15, NULL, class_doc, NULL,
      class_head || size_source || chr(10) || chr(10) || '    ' || inner_source || class_tail),
@@ -161,12 +161,37 @@ def _ws_class() -> str:
     return r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+# --- the whole ingest ---------------------------------------------------------------------------
+
+_INGESTED = f"""stored AS (
+  SELECT *, sha256('https://git.example.org/' || repo || '.git') AS repo_id
+  FROM (SELECT repo_id AS repo, rel_path, 0 AS ordinal, kind, rel_path AS name, NULL AS docstring, text AS source
+        FROM whole_files WHERE doc_id % 12 <> 8
+        UNION ALL SELECT repo, rel_path, ordinal, kind, name, docstring, source FROM part_symbols
+        UNION ALL SELECT repo, rel_path, ordinal, kind, name, NULL, source FROM cell_symbols)),
+embedded AS (
+  SELECT *, sha256(sha256(repo_id || chr(0) || rel_path) || chr(0) || ordinal) AS symbol_id,
+         {_strip("concat_ws(chr(10), kind, name, nullif(docstring, ''), nullif(left(source, 1500), ''))")} AS txt
+  FROM stored WHERE coalesce(length(docstring), 0) + length(source) >= 120),
+texts AS (SELECT DISTINCT txt FROM embedded),
+pattern_texts AS (
+  SELECT sha256(name) AS pattern_id, name AS pattern_name, indicators,
+         {_strip("concat_ws(' | ', name, nullif(description, ''))")} AS txt
+  FROM items),
+{_hashed("sym", "texts", "txt", "txt")},
+{_hashed("pat", "pattern_texts", "txt", "txt")},
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY score DESC, symbol_id) AS rn
+  FROM (SELECT p.*, e.*, list_dot_product(pd.v, sd.v) AS score
+        FROM pattern_texts p JOIN pat_dense pd ON pd.txt = p.txt, embedded e JOIN sym_dense sd ON sd.txt = e.txt)
+  WHERE score >= 0.45)"""
+
 _HOSTS = "regexp_extract(url, '^(https?://[^/]+)', 1)"
 
 ORACLES = {
-    "semantic_topk_by_label": f"""WITH {_ITEMS}, {_LABELS}, {_SEMANTIC}
+    "semantic_topk": f"""WITH {_ITEMS}, {_LABELS}, {_SEMANTIC}
 SELECT pattern_id, pattern_name, symbol_id, repo_id, round(score, 6) AS score FROM ranked WHERE rn <= 50""",
-    "semantic_match_gated": f"""WITH {_ITEMS}, {_LABELS}, {_SEMANTIC}
+    "semantic_match": f"""WITH {_ITEMS}, {_LABELS}, {_SEMANTIC}
 SELECT {_HIT}, round(score, 6) AS score FROM semantic_hits""",
     "semantic_hashed": f"""WITH {_hashed("item", "benchmark", "item_id", "text")}, {_hashed("doc", "documents", "doc_id", "text")}
 SELECT pattern_id, pattern_name, symbol_id, source AS repo_id, round(score, 6) AS score
@@ -178,7 +203,7 @@ QUALIFY row_number() OVER (PARTITION BY pattern_id ORDER BY score DESC, symbol_i
     "cosine_pairs": f"""WITH {_ITEMS}, {_LABELS}
 SELECT vec_id, label, round(list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score, -1.0::DOUBLE AS misfit
 FROM embeddings e JOIN label_patterns p ON p.pattern_id = e.label""",
-    "keyword_scan_items": f"WITH {_ITEMS}, {_KEYWORD} SELECT {_HIT} FROM keyword_hits",
+    "keyword_scan": f"WITH {_ITEMS}, {_KEYWORD} SELECT {_HIT} FROM keyword_hits",
     "keyword_contains": """SELECT doc_id AS symbol_id, contains(lower('doc_' || lang || ' ' || text), 'tion') AS has_tion,
        contains(lower('doc_' || lang || ' ' || text), lower(source)) AS has_source, false AS has_nothing
 FROM documents""",
@@ -250,7 +275,7 @@ SELECT repo_id, '/corpus/' || repo_id || '/' || rel_path AS path, rel_path, file
 FROM doc_files WHERE file_lang <> 'unknown' AND doc_id % 12 <> 8""",
     "symbols_index": f"""WITH {_DOC_FILES}, {_PART_SYMBOLS}, {_CELLS}
 SELECT 'doc' || doc_id AS file_id, repo_id, kind, 1::BIGINT AS n FROM whole_files
-UNION ALL SELECT 'part' || p_partkey, p_brand, kind, count(*) FROM part_symbols GROUP BY ALL
+UNION ALL SELECT 'part' || p_partkey, repo, kind, count(*) FROM part_symbols GROUP BY ALL
 UNION ALL SELECT 'chat' || file_id, repo, kind, count(*) FROM cell_symbols GROUP BY ALL""",
     "whole_file_symbols": f"""WITH {_DOC_FILES}
 SELECT doc_id AS file_id, 0::INT AS ordinal, kind, rel_path AS name, NULL::INT AS lineno, NULL::INT AS end_lineno,
@@ -263,7 +288,7 @@ FROM part_symbols""",
 SELECT file_id, ordinal, kind, name, NULL::INT AS lineno, NULL::INT AS end_lineno, NULL::VARCHAR AS signature,
        NULL::VARCHAR AS docstring, NULL::VARCHAR AS parent_name, sha256(source) AS source_hash
 FROM cell_symbols""",
-    "extract_errors": """SELECT p_partkey AS file_id, p_brand AS repo_id, 'parts/p' || p_partkey || '.py' AS rel_path, 'SyntaxError' AS error
+    "extract_errors": """SELECT p_partkey AS file_id, p_type AS repo_id, 'parts/p' || p_partkey || '.py' AS rel_path, 'SyntaxError' AS error
 FROM part WHERE p_partkey % 10 = 0""",
     "symbols_files_join": f"""WITH {_LINES}
 SELECT doc_id || ':' || ordinal AS symbol_id, doc_id AS file_id, source AS repo_id, ordinal FROM doc_lines JOIN documents USING (doc_id)""",
@@ -338,4 +363,10 @@ FROM doc_files WHERE repo_id <> 'src6'""",
   UNION ALL SELECT DISTINCT repo, 'repo' FROM part_files
   UNION ALL SELECT DISTINCT 'chat' || conv_id % 5, 'repo' FROM conversations)
 SELECT repo, what, count(*) AS n FROM found GROUP BY repo, what""",
+    "ingest_semantic_hits": f"""WITH {_ITEMS}, {_DOC_FILES}, {_PART_SYMBOLS}, {_CELLS}, {_INGESTED}
+SELECT pattern_name, repo AS repo_name, 'https://git.example.org/' || repo || '.git' AS repo_url,
+       printf('semantic=%.2f', score) AS reason, sha256(left(source, 8000)) AS snippet_hash
+FROM best
+WHERE rn <= 50 AND {_whole_word("name || ' ' || coalesce(docstring, '') || ' ' || source", "indicators")}
+QUALIFY row_number() OVER (PARTITION BY pattern_id, sha256(left(source, 8000)), repo_id ORDER BY score DESC, symbol_id) = 1""",
 }

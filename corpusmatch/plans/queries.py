@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmatch import schemas
@@ -11,7 +9,7 @@ from corpusmatch.functions import text as tx, vectors as vx
 from corpusmatch.operators import embed, extract as ex, hits as ht, lookups, upserts
 from corpusmatch.operators.keyword import keyword_pairs, keyword_scan
 from corpusmatch.operators.semantic import semantic_match, semantic_topk
-from corpusmatch.operators.storage import shared_dir
+from corpusmatch.operators.storage import new_folder
 from corpusmatch.plans import ingest as plan
 from corpusmatch.plans.roles import Corpus
 from corpusmatch.sources import catalog, files as fs, lines as ls
@@ -24,10 +22,12 @@ QUERIES = {}
 
 
 def query(function):
+    """Register under the function's name (without a final underscore, which only avoids a clash here)."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return function(Corpus(spark, sf_dir))
 
-    QUERIES[function.__name__] = run
+    QUERIES[function.__name__.rstrip("_")] = run
     return run
 
 
@@ -39,13 +39,13 @@ def _hash(c):
 
 
 @query
-def semantic_topk_by_label(c: Corpus) -> DataFrame:
+def semantic_topk_(c: Corpus) -> DataFrame:
     best = semantic_topk(c.vector_symbols(), c.label_patterns(), TOPK, MIN_COS)
     return best.withColumn("score", F.round("score", 6))
 
 
 @query
-def semantic_match_gated(c: Corpus) -> DataFrame:
+def semantic_match_(c: Corpus) -> DataFrame:
     found = semantic_match(c.vector_symbols(), c.label_patterns(), TOPK, MIN_COS)
     return found.select(*_HIT, F.round("score", 6).alias("score"))
 
@@ -75,7 +75,7 @@ def cosine_pairs(c: Corpus) -> DataFrame:
 
 
 @query
-def keyword_scan_items(c: Corpus) -> DataFrame:
+def keyword_scan_(c: Corpus) -> DataFrame:
     return keyword_scan(c.doc_symbols(), c.item_patterns()).select(*_HIT)
 
 
@@ -500,14 +500,10 @@ def collect_urls(c: Corpus) -> DataFrame:
     return ls.first_occurrences(entries).select("url", "source_rank", "pos")
 
 
-def _scratch(c: Corpus) -> str:
-    return f"{shared_dir(c.spark)}/corpusmatch/{uuid.uuid4().hex}"
-
-
 @query
 def replace_by_repo(c: Corpus) -> DataFrame:
     """Index all documents, then again for three repositories: one changed, one emptied, one new."""
-    path = f"{_scratch(c)}/files"
+    path = f"{new_folder(c.spark)}/files"
     rows = c.doc_files().withColumn("file_id", F.col("file_id").cast("string"))
     batch = c.table("documents").select(F.col("source").alias("repo_id")).distinct()
     replace_repositories(rows.filter("repo_id <> 'src4'"), batch, path, schemas.FILES)
@@ -544,7 +540,7 @@ def _ingested(c: Corpus) -> plan.Store:
     def url(name):
         return F.concat(F.lit("https://git.example.org/"), name, F.lit(".git"))
 
-    store = plan.Store(c.spark, _scratch(c))
+    store = plan.Store(c.spark, new_folder(c.spark))
     encoder = embed.hashed_bag_of_words()
     items = c.item_patterns().withColumn("pattern_id", schemas.key_of(F.col("name")))
     empty = F.lit("")
@@ -558,14 +554,14 @@ def _ingested(c: Corpus) -> plan.Store:
         .unionByName(c.turn_notebooks().select(*cols))
     )
     contents = fs.known_files(everything.filter(tx.outside_git_dir(F.col("rel_path")))).select(
-        schemas.key_of(url(F.regexp_replace("repo_id", "#", "-"))).alias("repo_id"),
+        schemas.key_of(url("repo_id")).alias("repo_id"),
         F.col("rel_path").alias("path"),
         "rel_path",
         "lang",
         F.col("text").cast("binary").alias("content"),
     )
-    repos = everything.select(url(F.regexp_replace("repo_id", "#", "-")).alias("url")).distinct().select(
+    repos = everything.select(url("repo_id").alias("url")).distinct().select(
         "url", F.lit("/none").alias("local_path"), F.lit("main").alias("default_branch")
     )
-    plan.ingest(store, repos, encoder, TOPK, 0.45, read=lambda _: contents)
+    plan.ingest(store, repos, encoder, TOPK, 0.45, read=lambda *_: contents)
     return store

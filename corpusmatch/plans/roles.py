@@ -124,12 +124,11 @@ class Corpus:
         )
         return self.table("part").select(
             F.col("p_partkey").alias("file_id"),
-            "p_brand",
             F.concat(F.lit("parts/p"), key, F.lit(".py")).alias("rel_path"),
-            F.col("p_brand").alias("repo_id"),
+            F.col("p_type").alias("repo_id"),
             F.lit("python").alias("lang"),
             text.alias("text"),
-        ).drop("p_brand")
+        )
 
     def turn_notebooks(self) -> DataFrame:
         """Each conversation turn as a notebook of four cells; every seventh conversation is not JSON."""

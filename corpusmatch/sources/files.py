@@ -89,8 +89,8 @@ def list_tree(roots: DataFrame) -> DataFrame:
     walked in parallel, so one huge root does not occupy one task alone.
     """
     top = roots.select("repo_id", "root", F.col("root").alias("path"), F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("bytes"))
-    first_level = top.mapInArrow(lambda it: _list_batches(it, deep=False), _LISTED)
-    tasks = max(roots.sparkSession.sparkContext.defaultParallelism, 1)
+    tasks = roots.sparkSession.sparkContext.defaultParallelism
+    first_level = top.repartition(tasks, "path").mapInArrow(lambda it: _list_batches(it, deep=False), _LISTED)
     everything = first_level.repartition(tasks, "path").mapInArrow(lambda it: _list_batches(it, deep=True), _LISTED)
     return everything.filter(tx.outside_git_dir(tx.relative_path(F.col("path"), F.col("root")))).drop("is_dir")
 
@@ -125,12 +125,12 @@ def read_contents(paths: DataFrame, bytes_per_task: int = BYTES_PER_TASK) -> Dat
     return paths.repartition(int(tasks), "path").mapInArrow(read, schema + ", content binary, read_error string")
 
 
-def read_tree(roots: DataFrame) -> DataFrame:
+def read_tree(roots: DataFrame, folder: str | None = None) -> DataFrame:
     """``repo_id, path, rel_path, lang, content, read_error`` of all files of a known language below the roots."""
     rel_path = tx.relative_path(F.col("path"), F.col("root"))
     listed = list_tree(roots).select("repo_id", "path", rel_path.alias("rel_path"), "bytes")
     known = known_files(listed)
-    return read_contents(written(known, "paths")).drop("bytes")
+    return read_contents(written(known, "paths", folder)).drop("bytes")
 
 
 def known_files(files: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def test_a_repository_is_replaced_as_a_whole(spark, setting):
     for path in ("agent.py", "README.md", "bad.py"):
         (tmp_path / "one" / path).unlink()
     one = repos.filter("url like '%one.git'")
-    plan.ingest(store, one, encoder, min_cos=0.3)
+    plan.ingest(store, one, encoder, min_cos=0.3, same_catalog=True)
     assert _hits(store) == [h for h in before if h[1] != "one"]
     names = {r["repo_id"]: r["name"] for r in store.repos().collect()}
     for table in (store.files(), store.symbols(), store.vectors()):

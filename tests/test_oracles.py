@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
@@ -11,7 +12,7 @@ def _canonical(frame):
     columns = sorted(frame.columns)
 
     def plain(value):
-        if value is None or value != value:
+        if pd.api.types.is_scalar(value) and pd.isna(value):
             return None
         if hasattr(value, "item"):
             value = value.item()
