@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from corpusmatch.functions import text as tx
@@ -23,22 +24,9 @@ CONFIG_LANGS = ["yaml", "json", "toml", "ini", "dockerfile", "requirements"]
 DOC_LANGS = ["markdown", "text"]
 PARSED_LANGS = ["python", "ipynb"]
 
-_SYMBOL = pa.struct(
-    [
-        ("kind", pa.string()),
-        ("name", pa.string()),
-        ("lineno", pa.int32()),
-        ("end_lineno", pa.int32()),
-        ("signature", pa.string()),
-        ("docstring", pa.string()),
-        ("parent_name", pa.string()),
-        ("source", pa.string()),
-    ]
-)
-_PARSED = pa.struct([("symbols", pa.list_(_SYMBOL)), ("error", pa.string())])
-_PARSED_TYPE = table(
-    symbols=ArrayType(StructType([SYMBOLS[name] for name in _SYMBOL.names])), error=StringType()
-)
+_SYMBOL_FIELDS = ["kind", "name", "lineno", "end_lineno", "signature", "docstring", "parent_name", "source"]
+_PARSED = table(symbols=ArrayType(StructType([SYMBOLS[name] for name in _SYMBOL_FIELDS])), error=StringType())
+_PARSED_ARROW = to_arrow_type(_PARSED)
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -127,11 +115,11 @@ def _parse(lang: str, text: str) -> dict:
     return {"symbols": symbols, "error": None}
 
 
-@F.arrow_udf(_PARSED_TYPE)
+@F.arrow_udf(_PARSED)
 def _parse_files(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for langs, texts in batches:
         pairs = zip(langs.to_pylist(), texts)
-        yield pa.array([_parse(lang, t.as_py()) if t.is_valid else None for lang, t in pairs], type=_PARSED)
+        yield pa.array([_parse(lang, t.as_py()) if t.is_valid else None for lang, t in pairs], type=_PARSED_ARROW)
 
 
 # or Spark would parse once more for every filter on the result

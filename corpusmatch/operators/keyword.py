@@ -7,6 +7,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from corpusmatch.functions import text as tx
@@ -16,22 +17,20 @@ from corpusmatch.schemas import table
 
 def _matcher(block: list[Row], id_type: DataType):
     """Arrow UDF: text -> [(pattern_id, pattern_name, indicators found)], one pass over the text for all needles."""
-    ids = pa.array([row["pattern_id"] for row in block])
-    matches = pa.list_(
-        pa.struct([("pattern_id", ids.type), ("pattern_name", pa.string()), ("words", pa.list_(pa.string()))])
-    )
+    match_type = ArrayType(table(pattern_id=id_type, pattern_name=StringType(), words=ArrayType(StringType())))
+    arrow_type = to_arrow_type(match_type)
     owners_by_needle: dict[str, list[tuple[int, str]]] = {}
     for number, row in enumerate(block):
         for word in dict.fromkeys(w for w in row["indicators"] if w):
             owners_by_needle.setdefault(word.lower(), []).append((number, word))
-    names = [row["pattern_name"] for row in block]
-    shared = SparkSession.active().sparkContext.broadcast((owners_by_needle, ids.to_pylist(), names))
+    named = [(row["pattern_id"], row["pattern_name"]) for row in block]
+    shared = SparkSession.active().sparkContext.broadcast((owners_by_needle, named))
 
-    @F.arrow_udf(ArrayType(table(pattern_id=id_type, pattern_name=StringType(), words=ArrayType(StringType()))))
+    @F.arrow_udf(match_type)
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
-        owners_by_needle, ids, names = shared.value
+        owners_by_needle, named = shared.value
         automaton = ahocorasick.Automaton()
         for needle, owners in owners_by_needle.items():
             automaton.add_word(needle, (needle, owners))
@@ -44,10 +43,8 @@ def _matcher(block: list[Row], id_type: DataType):
                 for owners in needles.values():
                     for pattern, word in owners:
                         words_by_pattern.setdefault(pattern, []).append(word)
-                found.append(
-                    [{"pattern_id": ids[p], "pattern_name": names[p], "words": w} for p, w in words_by_pattern.items()]
-                )
-            yield pa.array(found, type=matches)
+                found.append([(*named[p], words) for p, words in words_by_pattern.items()])
+            yield pa.array(found, type=arrow_type)
 
     return match
 

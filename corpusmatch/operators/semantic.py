@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from corpusmatch.functions import text as tx, vectors as vx
@@ -18,6 +19,8 @@ from corpusmatch.schemas import table
 
 # Allowance for one winner row: two keys of 64 characters, the name and the score, in a hash relation.
 WINNER_BYTES = 320
+# Winners are broadcast to the symbol texts up to this size.
+MAX_WINNER_BYTES = 256 << 20
 # So many patterns are multiplied with a batch of symbols at a time.
 PATTERNS_AT_ONCE = 1024
 
@@ -87,7 +90,10 @@ def _block_scores(symbols: DataFrame, block: list[Row], schema: StructType, min_
         for dim, numbers in numbers_by_dim.items()
     }
     names = pa.table(
-        {name: pa.array([row[name] for row in block]) for name in ("pattern_id", "pattern_name")}
+        {
+            name: pa.array([row[name] for row in block], to_arrow_type(schema[name].dataType))
+            for name in ("pattern_id", "pattern_name")
+        }
     )
     shared = symbols.sparkSession.sparkContext.broadcast((matrices, names))
 
@@ -128,8 +134,8 @@ def _winner_schema(symbols: DataFrame, patterns: DataFrame) -> StructType:
 
 def _winner_blocks(
     symbols: DataFrame, patterns: DataFrame, topk: int, min_cos: float, max_block_bytes: int
-) -> list[DataFrame]:
-    """The top-k rows of each catalogue block; a block's vectors and its winners both stay within its size."""
+) -> list[tuple[DataFrame, int]]:
+    """For each catalogue block its top-k rows, and how many bytes they can come to at most."""
     schema = _winner_schema(symbols, patterns)
     embedded = symbols.filter(vx.is_embedded(F.col("embedding"))).select("symbol_id", "repo_id", "embedding")
     # a vector with a missing element scores NaN and so never matches
@@ -137,13 +143,14 @@ def _winner_blocks(
     catalogue = patterns.filter(vx.is_embedded(F.col("embedding"))).select(
         "pattern_id", F.col("name").alias("pattern_name"), dense.alias("embedding")
     )
-    row_bytes = F.octet_length("pattern_name") + 4 * F.size("embedding") + F.lit(WINNER_BYTES * topk)
+    row_bytes = 128 + F.octet_length("pattern_name") + 4 * F.size("embedding")
     order = [F.desc("score"), F.asc("symbol_id")]
-    winners = [
-        top_k(_block_scores(embedded, block, schema, min_cos, topk), "pattern_id", order, topk, row_key="symbol_id")
-        for block in collect_in_blocks(catalogue, row_bytes, max_block_bytes)
-    ]
-    return winners or [symbols.sparkSession.createDataFrame([], schema)]
+    winners = []
+    for block in collect_in_blocks(catalogue, row_bytes, max_block_bytes):
+        scored = _block_scores(embedded, block, schema, min_cos, topk)
+        best = top_k(scored, "pattern_id", order, topk, row_key="symbol_id")
+        winners.append((best, len(block) * topk * WINNER_BYTES))
+    return winners or [(symbols.sparkSession.createDataFrame([], schema), 0)]
 
 
 def _union(blocks: Iterable[DataFrame]) -> DataFrame:
@@ -163,7 +170,7 @@ def semantic_topk(
     that a batch already shows to be out of the top k, never leave the task that scans the symbols. The
     catalogue is broadcast in blocks of checked size.
     """
-    return _union(_winner_blocks(symbols, patterns, topk, min_cos, max_block_bytes))
+    return _union(best for best, _ in _winner_blocks(symbols, patterns, topk, min_cos, max_block_bytes))
 
 
 def semantic_match(
@@ -176,9 +183,9 @@ def semantic_match(
 ) -> DataFrame:
     """Semantic hits: threshold, top-k, then the whole-word gate; so a pattern may end with fewer than ``topk``.
 
-    Texts are fetched for the winners only. A block has at most ``topk`` winners per pattern, which its
-    size accounts for, so they are broadcast and the symbol texts are scanned in place, not shuffled;
-    joining on ``repo_id`` as well lets that scan skip the partitions of repositories without a winner.
+    Texts are fetched for the winners only. A block has at most ``topk`` winners per pattern: up to a bound
+    on their size they are broadcast, and the symbol texts are scanned in place and not shuffled. Joining on
+    ``repo_id`` as well lets that scan skip the partitions of repositories without a winner.
     ``vectors`` is a table of the symbols' vectors, where they are kept apart from the symbols.
     """
     vectors = symbols if vectors is None else vectors
@@ -188,10 +195,10 @@ def semantic_match(
         tx.gate_text(F.col("name"), F.col("docstring"), F.col("source")), F.col("indicators")
     )
     gated = _union(
-        texts.join(F.broadcast(winners), ["repo_id", "symbol_id"])
+        texts.join(F.broadcast(best) if size <= MAX_WINNER_BYTES else best, ["repo_id", "symbol_id"])
         .join(indicators, "pattern_id")
         .filter(passes)
-        for winners in _winner_blocks(vectors, patterns, topk, min_cos, max_block_bytes)
+        for best, size in _winner_blocks(vectors, patterns, topk, min_cos, max_block_bytes)
     )
     snippet = tx.first_chars(F.col("source"), tx.SNIPPET_CHARS)
     return gated.select(

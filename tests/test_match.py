@@ -83,6 +83,16 @@ def test_vectors_kept_apart_give_the_same_hits(vectors):
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
 
 
+def test_winners_too_many_to_broadcast(vectors, monkeypatch):
+    from corpusmatch.operators import semantic
+
+    symbols, patterns, _, _ = vectors
+    broadcast = semantic_match(symbols, patterns, 20, 0.0)
+    monkeypatch.setattr(semantic, "MAX_WINNER_BYTES", 0)
+    shuffled = semantic_match(symbols, patterns, 20, 0.0)
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, broadcast.collect()))
+
+
 def test_no_patterns_no_hits(vectors):
     symbols, patterns, _, _ = vectors
     nothing = patterns.filter("pattern_id = 'q'")
