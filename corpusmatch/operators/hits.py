@@ -16,7 +16,8 @@ _PRIORITY = {"existing": 0, "keyword": 1, "semantic": 2}
 def backfill_hash(hits: DataFrame) -> DataFrame:
     """Fill a NULL or empty ``snippet_hash`` where there is a snippet to hash."""
     missing = F.coalesce(F.col("snippet_hash") == "", F.lit(True)) & F.col("code_snippet").isNotNull()
-    return hits.withColumn("snippet_hash", F.when(missing, tx.text_hash(F.col("code_snippet"))).otherwise(F.col("snippet_hash")))
+    filled = F.when(missing, tx.text_hash(F.col("code_snippet"))).otherwise(F.col("snippet_hash"))
+    return hits.withColumn("snippet_hash", filled)
 
 
 def dedup_hits(hits: DataFrame, id_col: str) -> DataFrame:

@@ -11,9 +11,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from corpusmatch.functions import text as tx
-from corpusmatch.operators.bounded import MAX_BLOCK_BYTES, collect_in_blocks
+from corpusmatch.operators.bounded import collect_in_blocks
 from corpusmatch.schemas import table
 
+# A block of indicators is held by every Python worker as an automaton, some ten times its size.
+MAX_KEYWORD_BYTES = 16 << 20
+
 
 def _matcher(block: list[Row], id_type: DataType):
     """Arrow UDF: text -> [(pattern_id, pattern_name, indicators found)], one pass over the text for all needles."""
@@ -50,7 +53,7 @@ def _matcher(block: list[Row], id_type: DataType):
 
 
 def keyword_pairs(
-    symbols: DataFrame, patterns: DataFrame, text: Column, max_block_bytes: int = MAX_BLOCK_BYTES
+    symbols: DataFrame, patterns: DataFrame, text: Column, max_block_bytes: int = MAX_KEYWORD_BYTES
 ) -> DataFrame:
     """``symbols`` columns plus ``pattern_id, pattern_name, words`` for each pattern with an indicator in ``text``.
 
@@ -74,7 +77,7 @@ def keyword_pairs(
     return reduce(DataFrame.unionByName, scanned)
 
 
-def keyword_scan(symbols: DataFrame, patterns: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+def keyword_scan(symbols: DataFrame, patterns: DataFrame, max_block_bytes: int = MAX_KEYWORD_BYTES) -> DataFrame:
     """Keyword hits. The snippet is the full source; duplicates are left to ``insert_ignore``."""
     needed = symbols.select("symbol_id", "repo_id", "name", "docstring", "source")
     pairs = keyword_pairs(needed, patterns, tx.keyword_text(F.col("name"), F.col("docstring")), max_block_bytes)

@@ -36,18 +36,29 @@ def _exact_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scores_above(a: np.ndarray, b: np.ndarray, min_cos: float, pairs_at_once: int = 1 << 16):
-    """All (i, j, score) with score >= min_cos.
+def _candidates(a: np.ndarray, b: np.ndarray, min_cos: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs that may reach ``min_cos`` and be among the best ``k`` of their ``b``.
 
-    A float32 matrix product finds the candidates, with the slack its rounding can need at most; the
-    candidates alone are scored exactly.
+    Judged by a float32 matrix product, whose rounding error has a bound: a pair is only left out when
+    it stays below the threshold, or below ``k`` others, by more than that.
     """
-    dim = a.shape[1]
     with np.errstate(all="ignore"):
         norms = np.sqrt((a.astype(np.float64) ** 2).sum(1).max() * (b.astype(np.float64) ** 2).sum(1).max())
-        slack = 2 * (dim + 1) * _EPS32 * norms
-        floor = min_cos - slack if np.isfinite(slack) else -np.inf
-        i, j = np.nonzero(~(a @ b.T < floor))
+        if not norms < 1e37:  # float32 may overflow: judge nothing
+            return np.nonzero(np.ones((len(a), len(b)), dtype=bool))
+        error = (a.shape[1] + 1) * _EPS32 * norms
+    rough = a @ b.T
+    floor = np.full(len(b), min_cos - error)
+    crowded = np.flatnonzero((rough >= floor).sum(axis=0) > k)
+    if len(crowded):
+        kth = np.partition(rough[:, crowded], len(a) - k, axis=0)[len(a) - k]
+        floor[crowded] = np.maximum(floor[crowded], kth - 2 * error)
+    return np.nonzero(rough >= floor)
+
+
+def _scores_above(a: np.ndarray, b: np.ndarray, min_cos: float, k: int, pairs_at_once: int = 1 << 16):
+    """(i, j, score) with score >= min_cos, complete as far as the best ``k`` of each ``b`` go."""
+    i, j = _candidates(a, b, min_cos, k)
     score = np.empty(len(i))
     for lo in range(0, len(i), pairs_at_once):
         part = slice(lo, lo + pairs_at_once)
@@ -57,13 +68,19 @@ def _scores_above(a: np.ndarray, b: np.ndarray, min_cos: float, pairs_at_once: i
 
 
 def _vectors_by_dim(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Split a list array by length: {dim: (row numbers, matrix)}."""
+    """Split a list array by length: {dim: (row numbers, matrix)}.
+
+    A vector with a missing or NaN element is left out: its score is NaN and never matches.
+    """
     lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
     out = {}
     for dim in np.unique(lengths):
         rows = np.flatnonzero(lengths == dim)
         flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-        out[int(dim)] = rows, flat.astype(np.float32).reshape(len(rows), int(dim))
+        matrix = flat.astype(np.float32).reshape(len(rows), int(dim))
+        usable = ~np.isnan(matrix).any(axis=1)
+        if usable.any():
+            out[int(dim)] = rows[usable], matrix[usable]
     return out
 
 
@@ -82,13 +99,7 @@ def _best_per_pattern(pattern: np.ndarray, score: np.ndarray, symbol_id: pa.Arra
 
 def _block_scores(symbols: DataFrame, block: list[Row], schema: StructType, min_cos: float, k: int) -> DataFrame:
     """Score every symbol against one broadcast block of patterns inside the tasks that scan the symbols."""
-    numbers_by_dim: dict[int, list[int]] = {}
-    for number, row in enumerate(block):
-        numbers_by_dim.setdefault(len(row["embedding"]), []).append(number)
-    matrices = {
-        dim: (np.array(numbers), np.array([block[n]["embedding"] for n in numbers], dtype=np.float32))
-        for dim, numbers in numbers_by_dim.items()
-    }
+    matrices = _vectors_by_dim(pa.array([row["embedding"] for row in block], pa.list_(pa.float32())))
     names = pa.table(
         {
             name: pa.array([row[name] for row in block], to_arrow_type(schema[name].dataType))
@@ -102,7 +113,7 @@ def _block_scores(symbols: DataFrame, block: list[Row], schema: StructType, min_
             for pattern_dim, (numbers, patterns) in shared.value[0].items():
                 if pattern_dim == dim:
                     for lo in range(0, len(numbers), PATTERNS_AT_ONCE):
-                        i, j, score = _scores_above(matrix, patterns[lo : lo + PATTERNS_AT_ONCE], min_cos)
+                        i, j, score = _scores_above(matrix, patterns[lo : lo + PATTERNS_AT_ONCE], min_cos, k)
                         yield rows[i], numbers[lo + j], score
                 elif min_cos <= -1.0:
                     i, j = np.divmod(np.arange(len(rows) * len(numbers)), len(numbers))
@@ -138,10 +149,8 @@ def _winner_blocks(
     """For each catalogue block its top-k rows, and how many bytes they can come to at most."""
     schema = _winner_schema(symbols, patterns)
     embedded = symbols.filter(vx.is_embedded(F.col("embedding"))).select("symbol_id", "repo_id", "embedding")
-    # a vector with a missing element scores NaN and so never matches
-    dense = F.transform("embedding", lambda x: F.coalesce(x, F.lit("NaN").cast("float")))
     catalogue = patterns.filter(vx.is_embedded(F.col("embedding"))).select(
-        "pattern_id", F.col("name").alias("pattern_name"), dense.alias("embedding")
+        "pattern_id", F.col("name").alias("pattern_name"), "embedding"
     )
     row_bytes = 128 + F.octet_length("pattern_name") + 4 * F.size("embedding")
     order = [F.desc("score"), F.asc("symbol_id")]

@@ -13,10 +13,12 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StringType
 
 from corpusmatch.functions import text as tx
 from corpusmatch.operators.storage import written
-from corpusmatch.schemas import key_of
+from corpusmatch.schemas import conform, key_of, table
 
 BYTES_PER_TASK = 128 << 20
 _BATCH_BYTES = 32 << 20
@@ -54,13 +56,11 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-_LISTED = "repo_id string, root string, path string, is_dir boolean, bytes bigint"
+_LISTED = table(repo_id=StringType(), root=StringType(), path=StringType(), is_dir=BooleanType(), bytes=LongType())
+_LISTED_ARROW = to_arrow_schema(_LISTED)
 
 
 def _list_batches(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("repo_id", pa.string()), ("root", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("bytes", pa.int64())]
-    )
     rows = []
     for batch in batches:
         for given in batch.to_pylist():
@@ -77,9 +77,9 @@ def _list_batches(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.
                     else:
                         rows.append({**given, "path": path, "is_dir": is_dir, "bytes": size})
                     if len(rows) >= _BATCH_PATHS:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        yield pa.RecordBatch.from_pylist(rows, _LISTED_ARROW)
                         rows = []
-    yield pa.RecordBatch.from_pylist(rows, schema)
+    yield pa.RecordBatch.from_pylist(rows, _LISTED_ARROW)
 
 
 def list_tree(roots: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def list_tree(roots: DataFrame) -> DataFrame:
     The first level is listed per root; what lies there is then dealt out over all tasks and
     walked in parallel, so one huge root does not occupy one task alone.
     """
-    top = roots.select("repo_id", "root", F.col("root").alias("path"), F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("bytes"))
+    top = conform(roots.withColumns({"path": F.col("root"), "is_dir": F.lit(True)}), _LISTED)
     tasks = roots.sparkSession.sparkContext.defaultParallelism
     first_level = top.repartition(tasks, "path").mapInArrow(lambda it: _list_batches(it, deep=False), _LISTED)
     everything = first_level.repartition(tasks, "path").mapInArrow(lambda it: _list_batches(it, deep=True), _LISTED)

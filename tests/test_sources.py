@@ -43,6 +43,16 @@ def test_load_patterns(spark, tmp_path, sep, prefix):
     assert rows["Plan it"]["description"] == "new"
 
 
+def test_catalog_in_a_legacy_encoding(spark, tmp_path):
+    (tmp_path / "old.csv").write_bytes("name\tdescription\nCafé\t“quoted”\n".encode("cp1252"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        row = catalog.load_patterns(spark, f"{tmp_path}/old.csv", sep="\t", encoding="cp1252").first()
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    assert (row["name"], row["description"]) == ("Café", "“quoted”")
+
+
 def test_catalog_variants(spark, tmp_path):
     repeated = spark.createDataFrame([("a", "b", "c")], "Name string, `Pattern  Name` string, d string")
     assert [r["name"] for r in catalog.catalog_from_sheet(repeated).collect()] == ["b"]
