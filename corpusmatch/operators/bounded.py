@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 MAX_BLOCK_BYTES = 64 << 20
 
@@ -17,7 +17,7 @@ def collect_in_blocks(df: DataFrame, row_bytes: Column, max_bytes: int = MAX_BLO
     """
     block: list[Row] = []
     held = 0
-    for row in df.withColumn("_bytes", row_bytes).toLocalIterator():
+    for row in df.withColumn("_bytes", F.coalesce(row_bytes, F.lit(0))).toLocalIterator():
         if block and held + row["_bytes"] > max_bytes:
             yield block
             block, held = [], 0

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StringType, StructType
 
@@ -17,7 +17,7 @@ from corpusmatch.operators.bounded import MAX_BLOCK_BYTES, collect_in_blocks
 from corpusmatch.operators.skew import top_k
 from corpusmatch.schemas import table
 
-# Allowance for one winner row: two keys of 64 characters, the name and the score, in a hash relation.
+# Allowance for one winner row beside its name: keys of 64 characters and the score, in a hash relation.
 WINNER_BYTES = 320
 # Winners are broadcast to the symbol texts up to this size.
 MAX_WINNER_BYTES = 256 << 20
@@ -143,27 +143,25 @@ def _winner_schema(symbols: DataFrame, patterns: DataFrame) -> StructType:
     )
 
 
-def _winner_blocks(
-    symbols: DataFrame, patterns: DataFrame, topk: int, min_cos: float, max_block_bytes: int
-) -> list[tuple[DataFrame, int]]:
-    """For each catalogue block its top-k rows, and how many bytes they can come to at most."""
+def _winners(
+    symbols: DataFrame, patterns: DataFrame, topk: int, min_cos: float, max_block_bytes: int, carried: Column
+) -> tuple[DataFrame, int]:
+    """The top-k rows of all patterns, and how many bytes they weigh at most with ``carried`` bytes more each."""
     schema = _winner_schema(symbols, patterns)
     embedded = symbols.filter(vx.is_embedded(F.col("embedding"))).select("symbol_id", "repo_id", "embedding")
     catalogue = patterns.filter(vx.is_embedded(F.col("embedding"))).select(
-        "pattern_id", F.col("name").alias("pattern_name"), "embedding"
+        "pattern_id", F.col("name").alias("pattern_name"), "embedding", carried.alias("carried")
     )
     row_bytes = 128 + F.octet_length("pattern_name") + 4 * F.size("embedding")
     order = [F.desc("score"), F.asc("symbol_id")]
-    winners = []
+    best, size = [], 0
     for block in collect_in_blocks(catalogue, row_bytes, max_block_bytes):
         scored = _block_scores(embedded, block, schema, min_cos, topk)
-        best = top_k(scored, "pattern_id", order, topk, row_key="symbol_id")
-        winners.append((best, len(block) * topk * WINNER_BYTES))
-    return winners or [(symbols.sparkSession.createDataFrame([], schema), 0)]
-
-
-def _union(blocks: Iterable[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, blocks)
+        best.append(top_k(scored, "pattern_id", order, topk, row_key="symbol_id"))
+        size += sum(topk * (WINNER_BYTES + 4 * len(row["pattern_name"] or "") + row["carried"]) for row in block)
+    if not best:
+        return symbols.sparkSession.createDataFrame([], schema), 0
+    return reduce(DataFrame.unionByName, best), size
 
 
 def semantic_topk(
@@ -179,7 +177,7 @@ def semantic_topk(
     that a batch already shows to be out of the top k, never leave the task that scans the symbols. The
     catalogue is broadcast in blocks of checked size.
     """
-    return _union(best for best, _ in _winner_blocks(symbols, patterns, topk, min_cos, max_block_bytes))
+    return _winners(symbols, patterns, topk, min_cos, max_block_bytes, F.lit(0))[0]
 
 
 def semantic_match(
@@ -192,23 +190,20 @@ def semantic_match(
 ) -> DataFrame:
     """Semantic hits: threshold, top-k, then the whole-word gate; so a pattern may end with fewer than ``topk``.
 
-    Texts are fetched for the winners only. A block has at most ``topk`` winners per pattern: up to a bound
-    on their size they are broadcast, and the symbol texts are scanned in place and not shuffled. Joining on
-    ``repo_id`` as well lets that scan skip the partitions of repositories without a winner.
-    ``vectors`` is a table of the symbols' vectors, where they are kept apart from the symbols.
+    Texts are fetched for the winners only, in one pass. There are at most ``topk`` winners per pattern: up to
+    a bound on what they weigh with their indicators they are broadcast, and the symbol texts are scanned in
+    place and not shuffled. Joining on ``repo_id`` as well lets that scan skip the partitions of
+    repositories without a winner. ``vectors`` is a table of the symbols' vectors, where they are kept apart.
     """
     vectors = symbols if vectors is None else vectors
     texts = symbols.select("repo_id", "symbol_id", "name", "docstring", "source")
-    indicators = patterns.select("pattern_id", "indicators")
+    carried = F.coalesce(F.octet_length(F.array_join("indicators", "")) + 32 * F.size("indicators"), F.lit(0))
+    best, size = _winners(vectors, patterns, topk, min_cos, max_block_bytes, carried)
+    wanted = best.join(patterns.select("pattern_id", "indicators"), "pattern_id")
     passes = tx.has_whole_word(
         tx.gate_text(F.col("name"), F.col("docstring"), F.col("source")), F.col("indicators")
     )
-    gated = _union(
-        texts.join(F.broadcast(best) if size <= MAX_WINNER_BYTES else best, ["repo_id", "symbol_id"])
-        .join(indicators, "pattern_id")
-        .filter(passes)
-        for best, size in _winner_blocks(vectors, patterns, topk, min_cos, max_block_bytes)
-    )
+    gated = texts.join(F.broadcast(wanted) if size <= MAX_WINNER_BYTES else wanted, ["repo_id", "symbol_id"]).filter(passes)
     snippet = tx.first_chars(F.col("source"), tx.SNIPPET_CHARS)
     return gated.select(
         "pattern_id",
