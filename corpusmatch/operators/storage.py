@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,16 +12,25 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; only a local session without one gets its own."""
+    """The cluster's shared folder for cut lineage.
+
+    Only a session whose executors are threads of the driver gets a folder of its own where none is set;
+    that one is removed when Python ends.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    own = tempfile.mkdtemp(prefix="corpusmatch-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="corpusmatch-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
 
 
 def new_folder(spark: SparkSession) -> str:
