@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmatch.llm import sharding, simhash
+from corpusmatch.llm import packing, sharding, simhash, token_frames
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -19,11 +19,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_seekable_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_frames.token_table(_table(spark, sf_dir, "documents"), end_id=2)
+    return read.select(
+        "doc_id", "start", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), 2048, end_id=1))
+
+
 @query
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")

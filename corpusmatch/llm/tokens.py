@@ -9,6 +9,8 @@ import re
 import numpy as np
 import tokenizers
 
+from corpusmatch.functions.worker import once_per_worker
+
 # A byte-level vocabulary never merges this byte with another, so it keeps joined pieces apart.
 _MARK = "\x00"
 # A blank or line end before other white space or at the end: such texts are not cut into pieces.
@@ -100,7 +102,6 @@ class Encoder:
                 start = end + 1
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per Python worker."""
-    return Encoder(path)
+    return once_per_worker(("encoder", path), lambda: Encoder(path))
