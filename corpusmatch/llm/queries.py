@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmatch.llm import packing, sharding, simhash, token_frames
+from corpusmatch.llm import divergence, packing, sharding, simhash, token_frames
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 @query
 def op9_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), 2048, end_id=1))
