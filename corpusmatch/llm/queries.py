@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmatch.llm import divergence, packing, sharding, simhash, token_frames
+from corpusmatch.llm import divergence, mincut, packing, sharding, simhash, token_frames
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,12 @@ def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+@query
+def op8_minimum_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = mincut.extract(_table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op9_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), 2048, end_id=1))
