@@ -180,8 +180,8 @@ def costs(found: list[Block]) -> list[float]:
             out.append(-_CERTAIN)
             continue
         n = len(b.text)
-        score = -1.0 + min(n, 200) / 100 - 3.0 * min(1.0, b.linked / max(n, 1))
-        score += 1.0 * (b.text[-1] in ".!?…\"'”»") + 0.8 * b.heading
+        score = -1.0 + min(n, 200) / 60 - 3.0 * min(1.0, b.linked / max(n, 1))
+        score += 1.5 * (b.text[-1] in ".!?…\"'”»") + 0.8 * b.heading
         if b.here:
             score += 3.0
         elif marked:
