@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmatch.llm import divergence, mincut, packing, ppm, sharding, simhash, token_frames
+from corpusmatch.llm import decontaminate, divergence, mincut, packing, ppm, sharding, simhash, token_frames
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op1_spaced_seed_decontamination"] = decontaminate.oracle()
+
+
 @query
 def op2_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_table(spark, sf_dir, "documents"))
