@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmatch.llm import decontaminate, divergence, mincut, packing, ppm, sharding, simhash, token_frames
+from corpusmatch.llm import decontaminate, divergence, mincut, packing, ppm, sharding, simhash, suffixes, token_frames
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+@query
+def op7_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(_table(spark, sf_dir, "documents"), 50)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_minimum_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = mincut.extract(_table(spark, sf_dir, "pages"))
