@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmatch.llm import decontaminate, divergence, mincut, packing, ppm, sharding, simhash, suffixes, token_frames
+from corpusmatch.llm import decontaminate, divergence, mincut, packing, ppm, sharding, simhash, suffixes, token_frames, transcripts
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,21 @@ def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+@query
+def op6_transcript_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations written out as transcripts in several styles, parsed again."""
+    told = transcripts.transcripts(_table(spark, sf_dir, "conversations"))
+    model = transcripts.learn(told.filter(F.pmod("conv_id", F.lit(5)) != 0), "known")
+    found = transcripts.parse(told.drop("known"), model)
+    return found.select(
+        "conv_id",
+        "block",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"),
+        "rendered",
+    )
+
+
 @query
 def op7_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffixes.remove_repeats(_table(spark, sf_dir, "documents"), 50)
