@@ -33,6 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusmatch.operators.storage import written
 
@@ -214,38 +215,49 @@ def deep_shallow_sort(strings: np.ndarray, shallow: int = 3) -> tuple[np.ndarray
 
 # --- the steps ------------------------------------------------------------------------------------
 
-_BLOCKS = "block long, ids binary, sizes binary, text binary"
+_BLOCKS = "block long, ids binary, sizes binary, text binary, rest binary"
 
 
 def blocks(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """Documents in their order, packed; ``rest`` holds their other columns as an Arrow stream."""
+    names = [x.split()[0] for x in _BLOCKS.split(", ")]
+    kinds = [pa.int64()] + [pa.binary()] * 4
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         packer = zstandard.ZstdCompressor(level=1)
 
-        def out(ids, parts):
+        def out(some: pa.RecordBatch):
             nonlocal number
             number += 1
-            sizes = np.array([len(p) for p in parts], np.int64)
-            columns = [np.array(ids, np.int64).tobytes(), sizes.tobytes(), packer.compress(b"".join(parts))]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number - 1], pa.int64()), *[pa.array([c], pa.binary()) for c in columns]],
-                ["block", "ids", "sizes", "text"],
-            )
-
-        ids, parts, weight = [], [], 0
+            ids = [_LEAST if x is None else x for x in some.column(0).to_pylist()]
+            parts = [x or b"" for x in some.column(1).to_pylist()]
+            rest, stream = some.select(list(range(2, some.num_columns))), pa.BufferOutputStream()
+            if rest.num_columns:
+                with pa.ipc.new_stream(stream, rest.schema) as writer:
+                    writer.write_batch(rest)
+            columns = [
+                number - 1,
+                np.array(ids, np.int64).tobytes(),
+                np.array([len(p) for p in parts], np.int64).tobytes(),
+                packer.compress(b"".join(parts)),
+                packer.compress(stream.getvalue().to_pybytes()),
+            ]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], names)
+
         for batch in batches:
-            for doc_id, some in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = some.as_py() or b""
-                if ids and weight + len(raw) > size:
-                    yield out(ids, parts)
-                    ids, parts, weight = [], [], 0
-                ids.append(_LEAST if doc_id is None else doc_id)
-                parts.append(raw)
-                weight += len(raw)
-        if ids:
-            yield out(ids, parts)
-
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+            first, weight = 0, 0
+            for i, some in enumerate(batch.column(1)):
+                n = some.as_buffer().size if some.is_valid else 0
+                if i > first and weight + n > size:
+                    yield out(batch.slice(first, i - first))
+                    first, weight = i, 0
+                weight += n
+            if batch.num_rows > first:
+                yield out(batch.slice(first))
+
+    rest = [F.col(c) for c in docs.columns if c not in (key, text)]
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"), *rest)
     return rows.mapInArrow(run, _BLOCKS)
 
 
@@ -465,11 +477,22 @@ def _covered(block: Block, sent: list[dict]) -> np.ndarray:
     return np.cumsum(gone[:-1]) > 0
 
 
-def _results(table: DataFrame, length: int, seed: int) -> DataFrame:
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
-    kinds = [pa.int64()] * 4 + [pa.binary()]
+_FOUND = ["n_bytes", "n_removed", "n_spans", "kept"]
+
+
+def _results(
+    table: DataFrame, length: int, seed: int, key: str, rest: StructType, as_text: bool
+) -> DataFrame:
+    schema = StructType([StructField(key, LongType())])
+    for name in _FOUND[:3]:
+        schema = schema.add(name, "long")
+    schema = schema.add("kept", "string" if as_text else "binary")
+    others = [f for f in rest.fields if f.name not in schema.names]
+    names, kinds = schema.names, [pa.int64()] * 4 + [pa.string() if as_text else pa.binary()]
+    schema = StructType(schema.fields + others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in batch.to_pylist():
                 block = _opened(row["ids"], row["sizes"], row["text"], length, seed)
@@ -480,11 +503,15 @@ def _results(table: DataFrame, length: int, seed: int) -> DataFrame:
                     spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if size else 0
                     removed = int(own.sum())
                     kept = (text if not removed else text[~own]).tobytes()
+                    kept = kept.decode("utf-8", "ignore") if as_text else kept
                     out.append((None if doc_id == _LEAST else doc_id, size, removed, spans, kept))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                if others:
+                    more = pa.ipc.open_stream(unpacker.decompress(row["rest"])).read_next_batch()
+                    columns += [more.column(f.name) for f in others]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *[f.name for f in others]])
 
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return table.select("block", "ids", "sizes", "text", "sent").mapInArrow(run, schema)
+    return table.select("block", "ids", "sizes", "text", "rest", "sent").mapInArrow(run, schema)
 
 
 def remove_repeats(
@@ -494,13 +521,17 @@ def remove_repeats(
     block_bytes: int = 4 << 20,
     key: str = "doc_id",
     text: str = "text",
+    as_text: bool = False,
 ) -> DataFrame:
-    """Of every row: its id (under the name of ``key``), ``n_bytes, n_removed, n_spans`` and ``kept`` (the bytes left)."""
+    """Of every row: its id, ``n_bytes, n_removed, n_spans``, ``kept`` (the bytes left) and its other columns.
+
+    With ``as_text`` ``kept`` is a string, without the characters that were cut in two. The text itself is left out, and so is a column that is named like a result.
+    """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = written(blocks(docs, block_bytes, key, text), "blocks")
-    shared = _shared(_anchors(table, length, seed, buckets))
-    sent = _segments(_per_block(table, shared), length, seed, buckets)
+    plain = table.drop("rest")
+    shared = _shared(_anchors(plain, length, seed, buckets))
+    sent = _segments(_per_block(plain, shared), length, seed, buckets)
     verdicts = _sorted_windows(sent, length)
-    found = _results(_per_block(table, verdicts), length, seed)
-    return found.withColumnRenamed("id", key)
+    return _results(_per_block(table, verdicts), length, seed, key, docs.drop(key, text).schema, as_text)
