@@ -40,7 +40,7 @@ END, START = 256, 257
 SYMBOLS = 257  # bytes and the end
 HALF = 0.5
 
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 
 
 def held_out(key: Column, parts: int = 5, held: int = 1) -> Column:
@@ -101,11 +101,13 @@ def counts(rows: DataFrame, order: int) -> DataFrame:
 
     Contexts of rows held out are there too, with zero. ``rows``: text (binary), held_out.
     """
-    most = 2_000_000
+    most = 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key, n):
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+            for at in range(0, len(key), 50_000):
+                part = [pa.array(x[at : at + 50_000], pa.int64()) for x in (key, n)]
+                yield pa.RecordBatch.from_arrays(part, ["key", "n"])
 
         words: Counter = Counter()
         ends, keys, totals = 0, [], []
@@ -115,8 +117,8 @@ def counts(rows: DataFrame, order: int) -> DataFrame:
                 if not held[i]:
                     words.update((text.as_py() or b"").lower().split())
                     ends += 1
-                if len(words) > 300_000:
-                    yield out(list(map(_word_key, words)), list(words.values()))
+                if len(words) > 150_000:
+                    yield from out(list(map(_word_key, words)), list(words.values()))
                     words.clear()
             for numbers, pieces in _batches(batch, 0, order):
                 learns = [p for i, p in zip(numbers, pieces) if not held[i]]
@@ -132,13 +134,13 @@ def counts(rows: DataFrame, order: int) -> DataFrame:
                 if sum(map(len, keys)) > most:
                     keys, totals = _merged(keys, totals)
                     if len(keys[0]) > most // 2:
-                        yield out(keys[0], totals[0])
+                        yield from out(keys[0], totals[0])
                         keys, totals = [], []
         if ends:
-            yield out([*map(_word_key, words), _END_WORD], [*words.values(), ends])
+            yield from out([*map(_word_key, words), _END_WORD], [*words.values(), ends])
         if keys:
             keys, totals = _merged(keys, totals)
-            yield out(keys[0], totals[0])
+            yield from out(keys[0], totals[0])
 
     found = rows.select("text", "held_out").mapInArrow(run, "key long, n long")
     return found.groupBy("key").agg(F.sum("n").alias("n"))
@@ -220,8 +222,8 @@ def score(
     key: str = "doc_id",
     text: str = "text",
     held: Column | None = None,
-    sent_entries: int = 3_000_000,
-    sent_words: int = 2_000_000,
+    sent_entries: int = 1_500_000,
+    sent_words: int = 1_000_000,
 ) -> DataFrame:
     """Of every row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
