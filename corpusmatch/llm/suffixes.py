@@ -299,7 +299,8 @@ def _anchors(table: DataFrame, length: int, seed: int, buckets: int) -> DataFram
                         [pa.array(c, k) for c, k in zip(zip(*found), kinds)], ["bucket", "block", "anchors", "several"]
                     )
 
-    return table.mapInArrow(run, "bucket long, block long, anchors binary, several binary")
+    columns = table.select("block", "ids", "sizes", "text")
+    return columns.mapInArrow(run, "bucket long, block long, anchors binary, several binary")
 
 
 def _shared(sent: DataFrame) -> DataFrame:
@@ -324,11 +325,11 @@ def _shared(sent: DataFrame) -> DataFrame:
     )
 
 
-def _segment_hash(block: Block, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hash of a segment's bytes, from the hashes of its first and last window and its size."""
-    whole = _window_hashes(block.text, block.length)
-    last = first + size - block.length
-    middle = first + (size - block.length) // 2
+def _segment_hash(text: np.ndarray, length: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of a segment's bytes, from the hashes of its first, middle and last window and its size."""
+    whole = _window_hashes(text, length)
+    last = first + size - length
+    middle = first + (size - length) // 2
     return _mixed(_mixed(whole[first] * _MIX + whole[last]) * _MIX + whole[middle] + size.astype(np.uint64))
 
 
@@ -348,7 +349,7 @@ class _Segments:
                 keep[i] = known[at] == low[i]
         self.run = np.flatnonzero(keep)
         first, count = block.first[self.run], block.count[self.run]
-        hashes = _segment_hash(block, first, count + block.length - 1)
+        hashes = _segment_hash(block.text, block.length, first, count + block.length - 1)
         self.hash, at, self.of = np.unique(hashes, return_index=True, return_inverse=True)
         self.first, self.count, self.bucket = first[at], count[at], bucket[self.run][at]
         ids = block.ids[block.doc[self.run]]
@@ -366,37 +367,40 @@ def _per_block(table: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def _segments(table: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
-    """``bucket, block, first, size, least, greatest, text`` of the distinct segments of a block, by bucket."""
-    names = ["bucket", "block", "counts", "least", "greatest", "hashes", "text"]
-    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
+    """The distinct segments of a block by bucket: windows, least and greatest id, and bytes of each, compressed."""
+    names = ["bucket", "block", "counts", "base", "least", "span", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()] + [pa.binary()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 if not row["sent"]:
                     continue
+                pack = zstandard.ZstdCompressor(level=1).compress
                 block = _opened(row["ids"], row["sizes"], row["text"], length, seed)
                 segments = _Segments(block, {x["bucket"]: x["anchors"] for x in row["sent"]}, buckets)
                 out = []
                 for b, i in _by_bucket(segments.bucket):
                     size = segments.count[i] + length - 1
                     places = np.repeat(segments.first[i] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    least, base = segments.least[i], int(segments.least[i].min())
                     out.append(
                         (
                             b,
                             row["block"],
                             segments.count[i].astype(np.uint8).tobytes(),
-                            segments.least[i].tobytes(),
-                            segments.greatest[i].tobytes(),
-                            segments.hash[i].tobytes(),
-                            block.text[places].tobytes(),
+                            base,
+                            pack((least - base).tobytes()),
+                            pack((segments.greatest[i] - least).tobytes()),
+                            pack(block.text[places].tobytes()),
                         )
                     )
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    schema = "bucket long, block long, counts binary, least binary, greatest binary, hashes binary, text binary"
-    return table.select("block", "ids", "sizes", "text", "sent").mapInArrow(run, schema)
+    schema = "bucket long, block long, counts binary, base long, least binary, span binary, text binary"
+    # all columns of the blocks, so that their shuffle is the same as the one before the results
+    return table.mapInArrow(run, schema)
 
 
 def _sorted_windows(sent: DataFrame, length: int) -> DataFrame:
@@ -405,14 +409,16 @@ def _sorted_windows(sent: DataFrame, length: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         counts = [np.frombuffer(c, np.uint8).astype(np.int64) for c in rows["counts"]]
         count = np.concatenate(counts)
-        least, greatest = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("least", "greatest"))
-        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]])
-        text = np.frombuffer(b"".join(rows["text"]), np.uint8)
+        unpack = zstandard.ZstdDecompressor().decompress
+        least = np.concatenate([np.frombuffer(unpack(x), np.int64) + b for x, b in zip(rows["least"], rows["base"])])
+        greatest = least + np.concatenate([np.frombuffer(unpack(x), np.int64) for x in rows["span"]])
+        text = np.frombuffer(b"".join(map(unpack, rows["text"])), np.uint8)
+        size = count + length - 1
+        start = np.cumsum(size) - size
+        hashes = _segment_hash(text, length, start, size)
         owner = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
         # the same segment from several blocks is sorted once
         _, at, of = np.unique(hashes, return_index=True, return_inverse=True)
-        size = count + length - 1
-        start = np.cumsum(size) - size
         low = np.full(len(at), np.iinfo(np.int64).max)
         np.minimum.at(low, of, least)
         segment = np.repeat(np.arange(len(at)), count[at])
@@ -465,7 +471,7 @@ def _covered(block: Block, sent: list[dict]) -> np.ndarray:
     )
     order = np.argsort(hashes, kind="stable")
     hashes, starts, ends, ids = hashes[order], starts[order].astype(np.int64), ends[order].astype(np.int64), ids[order]
-    own = _segment_hash(block, block.first, block.count + block.length - 1)
+    own = _segment_hash(block.text, block.length, block.first, block.count + block.length - 1)
     a, b = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
     n = b - a
     run = np.repeat(np.arange(len(own)), n)
@@ -511,7 +517,7 @@ def _results(
                     columns += [more.column(f.name) for f in others]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *[f.name for f in others]])
 
-    return table.select("block", "ids", "sizes", "text", "rest", "sent").mapInArrow(run, schema)
+    return table.mapInArrow(run, schema)
 
 
 def remove_repeats(
@@ -530,8 +536,7 @@ def remove_repeats(
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = written(blocks(docs, block_bytes, key, text), "blocks")
-    plain = table.drop("rest")
-    shared = _shared(_anchors(plain, length, seed, buckets))
-    sent = _segments(_per_block(plain, shared), length, seed, buckets)
+    shared = _shared(_anchors(table, length, seed, buckets))
+    sent = _segments(_per_block(table, shared), length, seed, buckets)
     verdicts = _sorted_windows(sent, length)
     return _results(_per_block(table, verdicts), length, seed, key, docs.drop(key, text).schema, as_text)
