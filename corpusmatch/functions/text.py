@@ -38,7 +38,7 @@ SUFFIXES = {
 }
 UNKNOWN_LANG = "unknown"
 
-# Limits on what is embedded and kept.
+# Limits on what is embedded and kept, for those who ask for them. Nothing is cut by default.
 MIN_EMBED_CHARS = 120
 MAX_BODY_CHARS = 1500
 SNIPPET_CHARS = 8000
@@ -61,8 +61,9 @@ def text_hash(c: Column) -> Column:
     return F.sha2(text_or_empty(c), 256)
 
 
-def first_chars(c: Column, n: int) -> Column:
-    return F.substring(text_or_empty(c), 1, n)
+def first_chars(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or all."""
+    return text_or_empty(c) if n is None else F.substring(text_or_empty(c), 1, n)
 
 
 def join_nonempty(sep: str, *parts: Column) -> Column:
@@ -71,8 +72,8 @@ def join_nonempty(sep: str, *parts: Column) -> Column:
 
 
 def symbol_text(name: Column, kind: Column, doc: Column, source: Column, max_body: int | None = None) -> Column:
-    """What is embedded for a symbol: kind, name, docstring and the head of its body, one per line."""
-    return strip(join_nonempty("\n", kind, name, doc, first_chars(source, max_body or MAX_BODY_CHARS)))
+    """What is embedded for a symbol: kind, name, docstring and its body (or the head of it), one per line."""
+    return strip(join_nonempty("\n", kind, name, doc, first_chars(source, max_body)))
 
 
 def pattern_text(name: Column, description: Column, motivation: Column, solution: Column) -> Column:
@@ -127,7 +128,7 @@ def relative_path(path: Column, root: Column) -> Column:
     return F.substr(path, F.length(base) + 2)
 
 
-def long_enough(doc: Column, source: Column, min_chars: int = MIN_EMBED_CHARS) -> Column:
+def long_enough(doc: Column, source: Column, min_chars: int) -> Column:
     """Docstring and body together reach ``min_chars`` characters."""
     return F.length(text_or_empty(doc)) + F.length(text_or_empty(source)) >= F.lit(min_chars)
 

@@ -6,16 +6,16 @@ a JVM expression, or an iterator UDF that loads a model once per worker.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmatch.functions import text as tx, vectors as vx
+from corpusmatch.functions.worker import once_per_worker
 from corpusmatch.operators.skew import spread_join
 from corpusmatch.operators.storage import written
 from corpusmatch.operators.upserts import replace_by_key
@@ -28,21 +28,31 @@ def hashed_bag_of_words(dim: int = 256) -> Encoder:
 
     @F.arrow_udf("array<float>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = re.compile("[a-z0-9_]+")
-
-        @lru_cache(maxsize=1 << 18)
-        def bucket(word: str) -> int:
-            return int(md5(word.encode()).hexdigest()[:4], 16) % dim
-
-        def unit_vector(text: str) -> np.ndarray:
-            buckets = np.fromiter(map(bucket, words.findall(text)), dtype=np.int64)
-            counts = np.bincount(buckets, minlength=dim)
-            norm = np.sqrt(float(counts @ counts))
-            return (counts / norm if norm else counts).astype(np.float32)
+        bucket_of_word = once_per_worker(("hashed words", dim), dict)
+
+        def vectors(texts: pa.Array) -> pa.Array:
+            words = pc.split_pattern_regex(texts.fill_null(""), "[^a-z0-9_]+")
+            coded = words.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if len(bucket_of_word) > 1 << 20:
+                bucket_of_word.clear()
+            for word in distinct:
+                if word not in bucket_of_word:
+                    bucket_of_word[word] = int(md5(word.encode()).hexdigest()[:4], 16) % dim
+            bucket = np.array([bucket_of_word[w] if w else -1 for w in distinct], np.int64)[
+                coded.indices.to_numpy(zero_copy_only=False)
+            ]
+            row = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy(zero_copy_only=False))
+            counts = np.bincount((row * dim + bucket)[bucket >= 0], minlength=len(texts) * dim).reshape(-1, dim)
+            norm = np.sqrt((counts * counts).sum(axis=1).astype(float))[:, None]
+            unit = (counts / np.where(norm == 0, 1, norm)).astype(np.float32)
+            offsets = np.arange(len(texts) + 1, dtype=np.int32) * dim
+            mask = texts.is_null() if texts.null_count else None
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()), mask=mask)
 
         for texts in batches:
-            vectors = [None if t is None else unit_vector(t) for t in texts.to_pylist()]
-            yield pa.array(vectors, type=pa.list_(pa.float32()))
+            parts = [vectors(texts.slice(at, 1000)) for at in range(0, len(texts), 1000)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
     # or Spark would encode once more for every filter on the vector
     once = encode.asNondeterministic()
@@ -55,7 +65,7 @@ def embed_texts(df: DataFrame, text: str, encoder: Encoder, out: str = "embeddin
 
 
 def with_embedding_text(
-    symbols: DataFrame, min_chars: int = tx.MIN_EMBED_CHARS, max_body: int | None = None
+    symbols: DataFrame, min_chars: int = 0, max_body: int | None = None
 ) -> DataFrame:
     """Add ``text`` and ``text_hash`` where a symbol still needs a vector and is long enough, else NULL."""
     text = tx.symbol_text(F.col("name"), F.col("kind"), F.col("docstring"), F.col("source"), max_body)
@@ -101,20 +111,23 @@ def attach_embeddings(rows: DataFrame, cache: DataFrame, row_key: str = "symbol_
 
 def embed_incremental(
     symbols: DataFrame,
-    cache: DataFrame,
+    cache: DataFrame | Callable[[DataFrame], DataFrame],
     encoder: Encoder,
-    min_chars: int = tx.MIN_EMBED_CHARS,
+    min_chars: int = 0,
     folder: str | None = None,
+    max_body: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(vectors, fresh)``: a vector per embeddable symbol, and the cache rows this run had to add.
 
     One pass over the symbols writes the short texts to be embedded; everything after reads those. The
     encoder, the expensive step, runs once per distinct text the cache lacks, and its result is
-    written too. ``vectors`` is (symbol_id, repo_id, text_hash, embedding): the wide symbol rows
+    written too. ``cache`` may be a function that gives the cache for a table of hashes, so that it need not be read
+    whole. ``vectors`` is (symbol_id, repo_id, text_hash, embedding): the wide symbol rows
     themselves are never shuffled. Appending ``fresh`` completes the cache, since no old row changes.
     """
-    due = with_embedding_text(symbols, min_chars).filter(F.col("text_hash").isNotNull())
+    due = with_embedding_text(symbols, min_chars, max_body).filter(F.col("text_hash").isNotNull())
     texts = written(due.select("symbol_id", "repo_id", "text_hash", "text"), "texts", folder)
+    cache = cache(texts.select("text_hash")) if callable(cache) else cache
     encoded = embed_texts(cache_misses(texts, cache), "text", encoder).select("text_hash", "embedding")
     fresh = written(encoded, "new_vectors", folder)
     complete = cache.select("text_hash", "embedding").unionByName(fresh)

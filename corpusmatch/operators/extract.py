@@ -87,25 +87,31 @@ def python_symbols(source: str) -> Iterator[dict]:
         }
 
 
-def notebook_symbols(text: str) -> Iterator[dict]:
-    """One symbol per cell with a source; blank cells count in the numbering. No JSON, no symbols."""
+def notebook_cells(text: str) -> list[dict]:
+    """Every cell in order, its type as kind; what is a symbol and its name is decided in ``_cell_symbols``."""
     try:
-        notebook = json.loads(text)
+        cells = json.loads(text).get("cells", ())
     except ValueError:
-        return
-    for number, cell in enumerate(notebook.get("cells", [])):
-        cell_type = cell.get("cell_type", "")
-        source = "".join(cell.get("source", []))
-        if source.strip():
-            kind = "notebook_code" if cell_type == "code" else "notebook_markdown"
-            yield {"kind": kind, "name": f"cell_{number}_{cell_type}", "source": source}
+        return []
+    return [{"kind": f"{c.get('cell_type', '')}", "source": "".join(c.get("source", ()))} for c in cells]
+
+
+def _cell_symbols(cells: Column) -> Column:
+    """Cells with a source as symbols; the name has the number that the cell has among all cells."""
+
+    def named(cell: Column, number: Column) -> Column:
+        kind = F.when(cell["kind"] == "code", "notebook_code").otherwise("notebook_markdown")
+        name = F.concat(F.lit("cell_"), number, F.lit("_"), cell["kind"])
+        return cell.withField("name", name).withField("kind", kind)
+
+    return F.filter(F.transform(cells, named), lambda cell: tx.strip(cell["source"]) != "")
 
 
 def _parse(lang: str, text: str) -> dict:
     """Symbols of one file and what went wrong, so that a bad file costs only itself."""
     symbols = []
     try:
-        for symbol in list(python_symbols(text) if lang == "python" else notebook_symbols(text)):
+        for symbol in list(python_symbols(text) if lang == "python" else notebook_cells(text)):
             for field in ("name", "docstring", "source"):
                 (symbol.get(field) or "").encode()  # a lone surrogate cannot be stored
             symbols.append(symbol)
@@ -149,6 +155,7 @@ def extract(files: DataFrame) -> DataFrame:
     symbols = (
         F.when(lang.isin(CONFIG_LANGS), _whole_file("config"))
         .when(lang.isin(DOC_LANGS), _whole_file("doc"))
+        .when(lang == "ipynb", _cell_symbols(F.coalesce(F.col("_parsed.symbols"), F.array())))
         .otherwise(F.coalesce(F.col("_parsed.symbols"), F.array()))
     )
     return parsed.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from corpusmatch.functions import text as tx
+from corpusmatch.functions.worker import once_per_worker
 from corpusmatch.operators.bounded import collect_in_blocks
 from corpusmatch.schemas import table
 
@@ -28,16 +30,20 @@ def _matcher(block: list[Row], id_type: DataType):
             owners_by_needle.setdefault(word.lower(), []).append((number, word))
     named = [(row["pattern_id"], row["pattern_name"]) for row in block]
     shared = SparkSession.active().sparkContext.broadcast((owners_by_needle, named))
+    key = uuid.uuid4().hex
 
     @F.arrow_udf(match_type)
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
-        owners_by_needle, named = shared.value
-        automaton = ahocorasick.Automaton()
-        for needle, owners in owners_by_needle.items():
-            automaton.add_word(needle, (needle, owners))
-        automaton.make_automaton()
+        def build():
+            automaton = ahocorasick.Automaton()
+            for needle, owners in shared.value[0].items():
+                automaton.add_word(needle, (needle, owners))
+            automaton.make_automaton()
+            return automaton
+
+        automaton, named = once_per_worker(("keywords", key), build, keep=2), shared.value[1]
         for texts in batches:
             found = []
             for value in texts:

@@ -19,10 +19,13 @@ def symbols_with_repo(symbols: DataFrame, files: DataFrame, repo_id=None) -> Dat
 
 
 def repo_of_symbols(ids: DataFrame, symbols: DataFrame, files: DataFrame, repos: DataFrame) -> DataFrame:
-    """``symbol_id, repo_id`` for the given symbols, as far as the chain down to ``repos`` holds."""
+    """``symbol_id, repo_id`` for the given symbols, as far as the chain down to ``repos`` holds.
+
+    Plain joins on ids: only what was asked for goes on, and adaptive execution splits a file with very many of them.
+    """
     wanted = symbols.select("symbol_id", "file_id").join(ids.select("symbol_id").distinct(), "symbol_id")
-    known = spread_join(files.select("file_id", "repo_id"), repos.select("repo_id"), "repo_id", "file_id", "left_semi")
-    return spread_join(wanted, known, "file_id", row_key="symbol_id").select("symbol_id", "repo_id")
+    known = files.select("file_id", "repo_id").join(repos.select("repo_id"), "repo_id", "left_semi")
+    return wanted.join(known, "file_id").select("symbol_id", "repo_id")
 
 
 def symbols_without_repo(ids: DataFrame, symbols: DataFrame, files: DataFrame, repos: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ WINNER_BYTES = 320
 # Winners are broadcast to the symbol texts up to this size.
 MAX_WINNER_BYTES = 256 << 20
 # So many patterns are multiplied with a batch of symbols at a time.
+# A task holds about so many scored pairs before it drops what is out of the top k, or hands them on.
+HELD_ROWS = 500_000
 PATTERNS_AT_ONCE = 1024
 
 _EPS32 = float(np.finfo(np.float32).eps)
@@ -120,15 +122,36 @@ def _block_scores(symbols: DataFrame, block: list[Row], schema: StructType, min_
                     yield rows[i], numbers[j], np.full(len(i), -1.0)
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the best k of each pattern so far, over all batches of the task
+        held: list[pa.Table] = []
+        weight = 0
+
+        def best() -> pa.Table:
+            found = pa.concat_tables(held)
+            number, score = (found[c].to_numpy() for c in ("_number", "score"))
+            return found.take(pa.array(_best_per_pattern(number, score, found["symbol_id"].combine_chunks(), k)))
+
+        def rows(found: pa.Table) -> list[pa.RecordBatch]:
+            of_pattern = shared.value[1].take(found["_number"])
+            columns = [*of_pattern.columns, *[found[c] for c in ("symbol_id", "repo_id", "score")]]
+            return pa.table(columns, names=schema.fieldNames()).to_batches(max_chunksize=10_000)
+
         for batch in batches:
-            for rows, numbers, score in pairs(batch["embedding"]):
-                best = _best_per_pattern(numbers, score, batch["symbol_id"].take(pa.array(rows)), k)
-                of_pattern = shared.value[1].take(pa.array(numbers[best]))
-                of_symbol = batch.select(["symbol_id", "repo_id"]).take(pa.array(rows[best]))
-                hits = pa.table(
-                    [*of_pattern.columns, *of_symbol.columns, pa.array(score[best])], names=schema.fieldNames()
-                )
-                yield from hits.to_batches()
+            for at, numbers, score in pairs(batch["embedding"]):
+                some = _best_per_pattern(numbers, score, batch["symbol_id"].take(pa.array(at)), k)
+                of_symbol = batch.select(["symbol_id", "repo_id"]).take(pa.array(at[some]))
+                names = ["_number", "symbol_id", "repo_id", "score"]
+                columns = [pa.array(numbers[some]), *of_symbol.columns, pa.array(score[some])]
+                held.append(pa.table(columns, names=names))
+                weight += len(some)
+                if weight > HELD_ROWS:
+                    held = [best()]
+                    weight = len(held[0])
+                    if weight > HELD_ROWS // 2:
+                        yield from rows(held[0])
+                        held, weight = [], 0
+        if held:
+            yield from rows(best())
 
     return symbols.mapInArrow(score_batches, schema)
 
@@ -187,13 +210,14 @@ def semantic_match(
     min_cos: float = 0.45,
     max_block_bytes: int = MAX_BLOCK_BYTES,
     vectors: DataFrame | None = None,
+    snippet_chars: int | None = None,
 ) -> DataFrame:
     """Semantic hits: threshold, top-k, then the whole-word gate; so a pattern may end with fewer than ``topk``.
 
     Texts are fetched for the winners only, in one pass. There are at most ``topk`` winners per pattern: up to
     a bound on what they weigh with their indicators they are broadcast, and the symbol texts are scanned in
     place and not shuffled. Joining on ``repo_id`` as well lets that scan skip the partitions of
-    repositories without a winner. ``vectors`` is a table of the symbols' vectors, where they are kept apart.
+    repositories without a winner. Only the first ``snippet_chars`` of a text are its snippet. ``vectors`` is a table of the symbols' vectors, where they are kept apart.
     """
     vectors = symbols if vectors is None else vectors
     texts = symbols.select("repo_id", "symbol_id", "name", "docstring", "source")
@@ -204,7 +228,7 @@ def semantic_match(
         tx.gate_text(F.col("name"), F.col("docstring"), F.col("source")), F.col("indicators")
     )
     gated = texts.join(F.broadcast(wanted) if size <= MAX_WINNER_BYTES else wanted, ["repo_id", "symbol_id"]).filter(passes)
-    snippet = tx.first_chars(F.col("source"), tx.SNIPPET_CHARS)
+    snippet = tx.first_chars(F.col("source"), snippet_chars)
     return gated.select(
         "pattern_id",
         "pattern_name",

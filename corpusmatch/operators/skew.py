@@ -7,24 +7,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from corpusmatch.operators.storage import written
+
 # A key may keep this many rows in one task; a heavier one is split into that many more tasks.
 HOT_ROWS = 1_000_000
-# Only the heaviest keys are split. A key outside this list holds less than 1/10,000 of all rows,
-# and the list itself (keys and counts) stays around a megabyte, so it may be broadcast.
-MAX_HOT_KEYS = 10_000
+# A right side of at most so many rows and bytes goes to all tasks.
+SMALL_ROWS, SMALL_BYTES = 100_000, 16 << 20
+
+
+def fits_all_tasks(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """Whether ``df`` is small enough to be broadcast; at most ``rows`` of it (and one) are looked at."""
+    weight = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(16))
+    found = df.select(weight.alias("w")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
+    return found["n"] <= rows and (found["w"] or 0) <= size
 
 
 def _heavy_keys(df: DataFrame, on: Sequence[str], hot_rows: int) -> DataFrame:
+    """All keys with more than ``hot_rows`` rows: one row per so many rows of ``df`` at most. Counted once, and written."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    heaviest = counts.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS)
-    return heaviest.select(
+    named = counts.select(
         *[F.col(c).alias(f"_hot_{c}") for c in on], F.ceil(F.col("_n") / hot_rows).cast("int").alias("_splits")
     )
+    return written(named, "heavy_keys")
 
 
 def _with_splits(df: DataFrame, heavy: DataFrame, on: Sequence[str]) -> DataFrame:
     same_key = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in on])
-    tagged = df.join(F.broadcast(heavy), same_key, "left").drop(*[f"_hot_{c}" for c in on])
+    tagged = df.join(heavy, same_key, "left").drop(*[f"_hot_{c}" for c in on])
     return tagged.withColumn("_splits", F.coalesce("_splits", F.lit(1)))
 
 
@@ -35,14 +44,18 @@ def spread_join(
     row_key: str,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Equi-join whose left side may be skewed (NULL keys included) and whose right side is not.
 
-    The heavy left keys are found by a map-side combined count over the key column only. Their left
-    rows are dealt out over several salts by ``row_key``, and just their right rows are repeated once
-    per salt. ``how`` is inner, left, left_semi or left_anti.
+    A small right side is broadcast, and the left one is read once. Otherwise the heavy left keys are found by a
+    map-side combined count over the key column only; their left rows are dealt out over several salts by
+    ``row_key``, and just their right rows are repeated once per salt. Both sides are read twice then: pass what is
+    costly as a written table. ``how`` is inner, left, left_semi or left_anti.
     """
     on = [on] if isinstance(on, str) else list(on)
+    if small_rows and fits_all_tasks(right, small_rows):
+        return left.join(F.broadcast(right), on, how)
     heavy = _heavy_keys(left, on, hot_rows)
     dealt = _with_splits(left, heavy, on).withColumn(
         "_salt", F.pmod(F.xxhash64(row_key), F.col("_splits")).cast("int")

@@ -2,73 +2,93 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmatch import schemas
 from corpusmatch.functions import text as tx
 from corpusmatch.operators.embed import Encoder, embed_incremental
 from corpusmatch.operators.extract import errors_of, extract, symbols_of
-from corpusmatch.operators.hits import enrich_hits, insert_ignore
+from corpusmatch.operators.hits import HIT_KEY, attach_snippets, backfill_hash, enrich_hits, insert_ignore
 from corpusmatch.operators.keyword import keyword_scan
 from corpusmatch.operators.semantic import semantic_match
-from corpusmatch.operators.skew import spread_join
+from corpusmatch.operators.skew import keep_first
 from corpusmatch.operators.storage import staging, written
 from corpusmatch.operators.upserts import upsert_patterns, upsert_repos
-from corpusmatch.sources.catalog import load_patterns
+from corpusmatch.sources.catalog import embed_catalog, load_patterns
 from corpusmatch.sources.files import index_files, read_tree
-from corpusmatch.sources.tables import read_table, replace_repositories
+from corpusmatch.sources.lines import collect_urls
+from corpusmatch.sources.tables import Tables
+
+CACHE_BUCKETS = 256
+
 
 @dataclass(frozen=True)
-class Store:
-    """The tables below one folder that all executors can reach."""
+class Limits:
+    """What is passed over or cut. Nothing by default; the values of the original tool are 120, 1500 and 8000."""
+
+    min_chars: int = 0
+    max_body: int | None = None
+    snippet_chars: int | None = None
 
-    spark: SparkSession
-    path: str
 
-    def _read(self, name: str, schema: StructType, key: str | None = None) -> DataFrame:
-        return read_table(self.spark, f"{self.path}/{name}", schema, key)
+class Store(Tables):
+    """The tables of a corpus."""
 
     def repos(self) -> DataFrame:
-        return self._read("repos", schemas.REPOS)
+        return self.read("repos", schemas.REPOS)
 
     def patterns(self) -> DataFrame:
-        return self._read("patterns", schemas.PATTERNS)
+        return self.read("patterns", schemas.PATTERNS)
 
-    def cache(self) -> DataFrame:
-        return self._read("embeddings_cache", schemas.CACHE)
+    def cache(self, encoder: str = "default", hashes: DataFrame | None = None) -> DataFrame:
+        """Cached vectors of an encoder; with ``hashes`` only the buckets that these can be in."""
+        only = None if hashes is None else [r["b"] for r in hashes.select(_cache_bucket().alias("b")).distinct().collect()]
+        rows = self.read("embeddings_cache", schemas.STORED_CACHE, only).filter(F.col("encoder") == encoder)
+        return rows.select("text_hash", "embedding")
 
     def files(self) -> DataFrame:
-        return self._read("files", schemas.FILES, "file_id")
+        return self.read("files", schemas.FILES)
 
     def extract_errors(self) -> DataFrame:
-        return errors_of(self._read("files", schemas.INDEXED_FILES, "file_id"))
+        return errors_of(self.read("files", schemas.INDEXED_FILES))
 
     def symbols(self) -> DataFrame:
-        return self._read("symbols", schemas.SYMBOLS, "symbol_id")
+        return self.read("symbols", schemas.SYMBOLS)
 
     def vectors(self) -> DataFrame:
-        return self._read("symbol_vectors", schemas.SYMBOL_VECTORS, "symbol_id")
+        return self.read("symbol_vectors", schemas.SYMBOL_VECTORS)
 
     def hits(self) -> DataFrame:
-        return self._read("pattern_hits", schemas.HITS, "pattern_id")
+        return self.read("pattern_hits", schemas.HITS)
 
     def hits_enriched(self) -> DataFrame:
         return enrich_hits(self.hits(), self.repos())
 
-    def rewrite(self, name: str, merged: DataFrame) -> None:
-        """Overwrite a table by a result that was computed from it."""
-        with staging(self.spark) as folder:
-            written(merged, name, folder).write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+def _cache_bucket() -> Column:
+    return F.conv(F.substring("text_hash", 1, 2), 16, 10).cast("int")
+
+
+def encoder_name(encoder: Encoder) -> str:
+    """An encoder may say its name; vectors of different names are kept apart."""
+    return getattr(encoder, "name", "default")
 
 
-def save_patterns(store: Store, patterns: DataFrame) -> None:
-    """Upsert the catalogue by name; names it no longer has stay."""
-    placed = patterns.withColumn("pos", F.lit(0))
-    store.rewrite("patterns", upsert_patterns(store.patterns(), placed))
+def save_patterns(store: Store, patterns: DataFrame, encoder: Encoder | None = None) -> None:
+    """Upsert the catalogue by name; names it no longer has stay.
+
+    With an encoder every stored pattern gets its vector, those that stay as well: their old one may be missing or
+    come from another encoder.
+    """
+    merged = upsert_patterns(store.patterns(), patterns.withColumn("pos", F.lit(0)))
+    store.overwrite("patterns", merged if encoder is None else embed_catalog(merged, encoder), schemas.PATTERNS)
+
+
+def embed_all_patterns(store: Store, encoder: Encoder) -> None:
+    store.overwrite("patterns", embed_catalog(store.patterns(), encoder), schemas.PATTERNS)
 
 
 def save_repos(store: Store, repos: DataFrame) -> None:
@@ -82,11 +102,11 @@ def save_repos(store: Store, repos: DataFrame) -> None:
         F.current_timestamp().alias("last_sync_ts"),
         F.lit(0).alias("pos"),
     )
-    store.rewrite("repos", upsert_repos(store.repos(), new))
+    store.overwrite("repos", upsert_repos(store.repos(), new), schemas.REPOS)
 
 
 def index_repositories(
-    store: Store, contents: DataFrame, repos: DataFrame, encoder: Encoder, folder: str | None = None
+    store: Store, contents: DataFrame, repos: DataFrame, encoder: Encoder, folder: str, limits: Limits = Limits()
 ) -> None:
     """Replace files, symbols and vectors of the repositories in ``repos`` by what ``contents`` holds.
 
@@ -97,13 +117,23 @@ def index_repositories(
         contents = contents.withColumn("read_error", F.lit(None).cast("string"))
     indexed = extract(index_files(contents)).withColumn("error", F.coalesce("read_error", "error"))
     extracted = written(indexed, "extracted", folder)
-    replace_repositories(extracted, repos, f"{store.path}/files", schemas.INDEXED_FILES)
+    store.replace("files", extracted, repos, schemas.INDEXED_FILES, "repo_id")
     symbols = schemas.conform(symbols_of(extracted), schemas.SYMBOLS)
-    replace_repositories(symbols, repos, f"{store.path}/symbols", schemas.SYMBOLS)
+    store.replace("symbols", symbols, repos, schemas.SYMBOLS, "repo_id")
+
+    name = encoder_name(encoder)
+    vectors, fresh = embed_incremental(
+        symbols, lambda texts: store.cache(name, texts), encoder, limits.min_chars, folder, limits.max_body
+    )
+    store.replace("symbol_vectors", vectors, repos, schemas.SYMBOL_VECTORS, "repo_id")
+    store.append("embeddings_cache", fresh.withColumn("encoder", F.lit(name)), schemas.STORED_CACHE, _cache_bucket())
 
-    vectors, fresh = embed_incremental(symbols, store.cache(), encoder, folder=folder)
-    replace_repositories(vectors, repos, f"{store.path}/symbol_vectors", schemas.SYMBOL_VECTORS)
-    fresh.write.mode("append").parquet(f"{store.path}/embeddings_cache")
+
+def catalog_digest(patterns: DataFrame) -> str:
+    """Changes with what a keyword scan depends on: ids, names and indicators of the patterns."""
+    row = F.xxhash64("pattern_id", "name", F.to_json("indicators")).cast("decimal(38,0)")
+    found = patterns.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("s")).first()
+    return f"{found['n']}:{found['s']}"
 
 
 def match(
@@ -113,29 +143,46 @@ def match(
     changed: DataFrame | None = None,
     accumulate: bool = False,
     folder: str | None = None,
+    limits: Limits = Limits(),
 ) -> None:
     """Compute the hits of the store and replace the stored ones.
 
     The hits depend on the stored tables only, not on the order in which repositories came in: the
-    semantic top k is always taken over all vectors. Given the repositories in ``changed``, and a
-    catalogue that is still the one of the last run, only their texts are scanned for keywords; the
-    keyword hits of the others cannot differ from the stored ones. With ``accumulate`` all
-    stored hits of the others stay and win over new ones with the same key.
+    semantic top k is always taken over all vectors. Given the repositories in ``changed``, only their texts are
+    scanned for keywords if the catalogue is still the one that the stored hits were made with; the keyword hits of
+    the others cannot differ then. With ``accumulate`` all stored hits of the others stay and win over new ones with the same key.
     """
     symbols, patterns = store.symbols(), store.patterns()
-    scanned, existing = symbols, None
-    if changed is not None:
+    digest = catalog_digest(patterns)
+    same = changed is not None and store.note("hits_catalog") == digest
+    existing, scanned = None, symbols
+    if changed is not None and (same or accumulate):
         batch = changed.select("repo_id").distinct()
-        others = spread_join(store.hits(), batch, "repo_id", "symbol_id", "left_anti")
+        others = backfill_hash(store.hits()).join(batch, "repo_id", "left_anti")
         kept = others if accumulate else others.filter(F.col("match_kind") == "keyword")
         existing = written(schemas.conform(kept, schemas.HITS), "kept_hits", folder)
-        scanned = symbols.join(batch, "repo_id", "left_semi")
+        scanned = symbols.join(batch, "repo_id", "left_semi") if same else symbols
     keyword = keyword_scan(scanned, patterns)
-    semantic = semantic_match(symbols, patterns, topk, min_cos, vectors=store.vectors())
-    hits = schemas.conform(insert_ignore(existing, keyword, semantic), schemas.HITS)
-    hits.hint("rebalance", "repo_id").write.mode("overwrite").partitionBy("repo_id").parquet(
-        f"{store.path}/pattern_hits"
+    semantic = semantic_match(
+        symbols, patterns, topk, min_cos, vectors=store.vectors(), snippet_chars=limits.snippet_chars
     )
+    new = insert_ignore(None, keyword, semantic)
+    if existing is not None:
+        new = new.join(existing.select(*HIT_KEY).distinct(), HIT_KEY, "left_anti")
+    hits = schemas.conform(attach_snippets(new, symbols, limits.snippet_chars), schemas.HITS)
+    with store.change():
+        store.overwrite("pattern_hits", hits if existing is None else hits.unionByName(existing), schemas.HITS, "repo_id")
+        store.set_note("hits_catalog", digest)
+
+
+def upkeep(store: Store) -> None:
+    """Fill in missing snippet hashes of stored hits and keep the first hit of each key, by symbol."""
+    hits = backfill_hash(store.hits())
+    slim = keep_first(hits.drop("code_snippet"), HIT_KEY, F.col("symbol_id"), F.col("match_kind"))
+    texts = hits.groupBy(*HIT_KEY).agg(F.first("code_snippet").alias("code_snippet"))
+    same = [slim[c].eqNullSafe(texts[c]) for c in HIT_KEY]
+    joined = slim.join(texts, same[0] & same[1] & same[2]).select(slim["*"], "code_snippet")
+    store.overwrite("pattern_hits", joined, schemas.HITS, "repo_id")
 
 
 def ingest(
@@ -144,35 +191,64 @@ def ingest(
     encoder: Encoder,
     topk: int = 50,
     min_cos: float = 0.45,
-    same_catalog: bool = False,
     accumulate: bool = False,
     read: Callable[[DataFrame, str], DataFrame] = read_tree,
+    limits: Limits = Limits(),
 ) -> None:
     """Ingest repositories (``url, local_path, default_branch``) in one batch and recompute the hits.
 
-    ``same_catalog`` says that the patterns are those of the last run, which spares the other
-    repositories the keyword scan; ``accumulate`` implies it and keeps all their hits. A batch that
-    broke off is simply run again.
+    All tables change together, when everything has been written: a batch that breaks off leaves the store as it
+    was, and is run again. ``accumulate`` keeps all hits of the other repositories.
     """
-    with staging(store.spark) as folder:
+    with staging(store.spark) as folder, store.change():
         save_repos(store, repos)
         batch = repos.select(schemas.key_of(F.col("url")).alias("repo_id"), F.col("local_path").alias("root"))
-        index_repositories(store, read(batch, folder), batch, encoder, folder)
-        match(store, topk, min_cos, batch if same_catalog or accumulate else None, accumulate, folder)
+        index_repositories(store, read(batch, folder), batch, encoder, folder, limits)
+        match(store, topk, min_cos, batch, accumulate, folder, limits)
+
+
+def listed_repositories(
+    spark: SparkSession,
+    arguments: Sequence[str],
+    list_file: str | None = None,
+    local_path: Callable[[Column], Column] = lambda url: url,
+    default_branch: str = "main",
+) -> DataFrame:
+    """Repositories from entries, ``@file`` lists and a list file; ``local_path`` says where an entry's folder is.
+
+    No entry at all is an error.
+    """
+    entries = collect_urls(spark, arguments, list_file)
+    if entries.isEmpty():
+        raise ValueError("there is no repository to ingest: no entry was given and the lists hold none")
+    url = F.col("url")
+    return entries.select("url", local_path(url).alias("local_path"), F.lit(default_branch).alias("default_branch"))
 
 
 def run(
     spark: SparkSession,
     store_path: str,
-    repos: DataFrame,
+    repos: DataFrame | Sequence[str],
     encoder: Encoder,
     catalog_path: str | None = None,
     topk: int = 50,
     min_cos: float = 0.45,
+    limits: Limits = Limits(),
+    list_file: str | None = None,
 ) -> DataFrame:
-    """Load the catalogue (or use the stored one), ingest the repositories, return the enriched hits."""
-    store = Store(spark, store_path.rstrip("/"))
-    if catalog_path:
-        save_patterns(store, load_patterns(spark, catalog_path, encoder))
-    ingest(store, repos, encoder, topk, min_cos, same_catalog=catalog_path is None)
+    """Load the catalogue (or use the stored one), ingest the repositories, return the enriched hits.
+
+    ``repos`` is a table of them, or a list of entries as for ``listed_repositories``.
+    """
+    if not isinstance(repos, DataFrame):
+        repos = listed_repositories(spark, repos, list_file)
+    elif repos.isEmpty():
+        raise ValueError("there is no repository to ingest: the table is empty")
+    store = Store(spark, store_path)
+    with store.change():
+        if catalog_path:
+            save_patterns(store, load_patterns(spark, catalog_path), encoder)
+        else:
+            embed_all_patterns(store, encoder)
+        ingest(store, repos, encoder, topk, min_cos, limits=limits)
     return store.hits_enriched()

@@ -46,15 +46,16 @@ _KEYWORD = """keyword_hits AS (
 
 _SEMANTIC = f"""ranked AS (
   SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY score DESC, symbol_id) AS rn
-  FROM (SELECT p.pattern_id, p.name AS pattern_name, doc_id AS symbol_id, source AS repo_id, lang, text, indicators,
+  FROM (SELECT p.pattern_id, p.name AS pattern_name, vec_id AS symbol_id, coalesce(source, 'vectors') AS repo_id,
+               coalesce('doc_' || lang, '') AS doc_name, coalesce(text, '') AS text, indicators,
                list_dot_product(p.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
-        FROM label_patterns p, embeddings e JOIN documents ON doc_id = vec_id)
+        FROM label_patterns p, embeddings e LEFT JOIN documents ON doc_id = vec_id)
   WHERE score >= 0.1),
 semantic_hits AS (
   SELECT pattern_id, pattern_name, symbol_id, repo_id, 'semantic' AS match_kind,
          printf('semantic=%.2f', score) AS reason, sha256(left(text, 8000)) AS snippet_hash, score
   FROM ranked
-  WHERE rn <= 50 AND {_whole_word("'doc_' || lang || ' ' || text || ' ' || text", "indicators")})"""
+  WHERE rn <= 50 AND {_whole_word("doc_name || ' ' || text || ' ' || text", "indicators")})"""
 
 _HIT = "pattern_id, pattern_name, symbol_id, repo_id, match_kind, reason, snippet_hash"
 
@@ -212,8 +213,9 @@ SELECT k.pattern_id, k.symbol_id, {_whole_word("'doc_' || lang || ' ' || text ||
        true AS passes_empty, false AS passes_blank
 FROM keyword_hits k JOIN items i ON i.pattern_id = k.pattern_id JOIN documents ON doc_id = symbol_id""",
     "hits_dedup": f"""WITH {_ITEMS}, {_KEYWORD}, numbered AS (
-  SELECT symbol_id * 1000 + pattern_id AS id, * FROM keyword_hits
-  UNION ALL SELECT symbol_id * 1000 + pattern_id + 10000000000 AS id, * FROM keyword_hits)
+  SELECT '0-' || lpad(symbol_id::VARCHAR, 19, '0') || '-' || lpad(pattern_id::VARCHAR, 19, '0') AS id, * FROM keyword_hits
+  UNION ALL
+  SELECT '1-' || lpad(symbol_id::VARCHAR, 19, '0') || '-' || lpad(pattern_id::VARCHAR, 19, '0') AS id, * FROM keyword_hits)
 SELECT id, {_HIT} FROM numbered
 QUALIFY row_number() OVER (PARTITION BY pattern_id, snippet_hash, repo_id ORDER BY id) = 1""",
     "insert_ignore": f"""WITH {_ITEMS}, {_LABELS}, {_KEYWORD}, {_SEMANTIC}, everything AS (
@@ -272,6 +274,9 @@ SELECT '/corpus/' || repo_id || '/' || rel_path AS path, sha256(text) AS sha256
 FROM (SELECT doc_id, '(' || text || chr(10) || 'a' || chr(65533) || 'b' || chr(10) AS t FROM documents)""",
     "files_index": f"""WITH {_DOC_FILES}
 SELECT repo_id, '/corpus/' || repo_id || '/' || rel_path AS path, rel_path, file_lang AS lang, sha256(text) AS sha256
+FROM doc_files WHERE file_lang <> 'unknown' AND doc_id % 12 <> 8""",
+    "read_tree": f"""WITH {_DOC_FILES}
+SELECT repo_id, rel_path, file_lang AS lang, sha256(text) AS sha256
 FROM doc_files WHERE file_lang <> 'unknown' AND doc_id % 12 <> 8""",
     "symbols_index": f"""WITH {_DOC_FILES}, {_PART_SYMBOLS}, {_CELLS}
 SELECT 'doc' || doc_id AS file_id, repo_id, kind, 1::BIGINT AS n FROM whole_files

@@ -9,11 +9,11 @@ from corpusmatch.functions import text as tx, vectors as vx
 from corpusmatch.operators import embed, extract as ex, hits as ht, lookups, upserts
 from corpusmatch.operators.keyword import keyword_pairs, keyword_scan
 from corpusmatch.operators.semantic import semantic_match, semantic_topk
-from corpusmatch.operators.storage import new_folder
+from corpusmatch.operators.storage import new_folder, staging, written
 from corpusmatch.plans import ingest as plan
 from corpusmatch.plans.roles import Corpus
 from corpusmatch.sources import catalog, files as fs, lines as ls
-from corpusmatch.sources.tables import read_table, replace_repositories
+from corpusmatch.sources.tables import Tables
 
 TOPK, MIN_COS = 50, 0.1
 _HIT = ["pattern_id", "pattern_name", "symbol_id", "repo_id", "match_kind", "reason", "snippet_hash"]
@@ -46,7 +46,7 @@ def semantic_topk_(c: Corpus) -> DataFrame:
 
 @query
 def semantic_match_(c: Corpus) -> DataFrame:
-    found = semantic_match(c.vector_symbols(), c.label_patterns(), TOPK, MIN_COS)
+    found = semantic_match(c.vector_symbols(), c.label_patterns(), TOPK, MIN_COS, snippet_chars=tx.SNIPPET_CHARS)
     return found.select(*_HIT, F.round("score", 6).alias("score"))
 
 
@@ -81,7 +81,7 @@ def keyword_scan_(c: Corpus) -> DataFrame:
 
 @query
 def keyword_contains(c: Corpus) -> DataFrame:
-    """Plain substring predicate: does a document contain the region and brand words, ignoring case?"""
+    """Plain substring predicate: does a document contain a fragment, or the name of its source, ignoring case?"""
     text = tx.keyword_text(F.col("name"), F.col("docstring"))
     return c.doc_symbols().select(
         "symbol_id",
@@ -111,17 +111,21 @@ def wholeword_gate(c: Corpus) -> DataFrame:
 
 @query
 def hits_dedup(c: Corpus) -> DataFrame:
-    """Keyword hits of two runs with running ids."""
+    """Keyword hits of two runs with ids of their own, as a stored table."""
     found = keyword_scan(c.doc_symbols(), c.item_patterns())
-    first = found.withColumn("id", F.col("symbol_id") * 1000 + F.col("pattern_id"))
-    again = first.withColumn("id", F.col("id") + 10_000_000_000)
-    return ht.dedup_hits(first.unionByName(again), "id").select("id", *_HIT)
+    number = F.concat(
+        F.lpad(F.col("symbol_id").cast("string"), 19, "0"), F.lit("-"), F.lpad(F.col("pattern_id").cast("string"), 19, "0")
+    )
+    runs = [found.withColumn("id", F.concat(F.lit(f"{run}-"), number)) for run in (0, 1)]
+    with staging(c.spark) as folder:
+        stored = written(runs[0].unionByName(runs[1]), "hits", folder)
+        return written(ht.dedup_hits(stored, "id").select("id", *_HIT), "deduplicated")
 
 
 @query
 def insert_ignore(c: Corpus) -> DataFrame:
     keyword = keyword_scan(c.doc_symbols(), c.item_patterns())
-    semantic = semantic_match(c.vector_symbols(), c.label_patterns(), TOPK, MIN_COS)
+    semantic = semantic_match(c.vector_symbols(), c.label_patterns(), TOPK, MIN_COS, snippet_chars=tx.SNIPPET_CHARS)
     existing = keyword.filter(F.col("pattern_id") < 5).withColumn("reason", F.lit("kept"))
     return ht.insert_ignore(existing, keyword, semantic).select(*_HIT)
 
@@ -177,7 +181,8 @@ def symbol_text(c: Corpus) -> DataFrame:
     """Document symbols, every other one without docstring, every third without kind."""
     i = F.col("symbol_id")
     text = tx.symbol_text(
-        F.col("name"), F.when(i % 3 != 0, F.col("kind")), F.when(i % 2 == 0, F.col("docstring")), F.col("source")
+        F.col("name"), F.when(i % 3 != 0, F.col("kind")), F.when(i % 2 == 0, F.col("docstring")), F.col("source"),
+        tx.MAX_BODY_CHARS,
     )
     return c.doc_symbols().select("symbol_id", F.length(text).alias("chars"), _hash(text).alias("hash"))
 
@@ -229,7 +234,7 @@ def min_len_gate(c: Corpus) -> DataFrame:
     """Lines and whole documents that reach the minimum length."""
     lines = c.line_symbols().select(F.col("symbol_id").alias("id"), F.lit(None).cast("string").alias("doc"), "source")
     docs = c.table("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("doc"), F.col("text").alias("source"))
-    both = lines.unionByName(docs).filter(tx.long_enough(F.col("doc"), F.col("source")))
+    both = lines.unionByName(docs).filter(tx.long_enough(F.col("doc"), F.col("source"), tx.MIN_EMBED_CHARS))
     return both.select("id", F.length("source").alias("chars"))
 
 
@@ -291,6 +296,19 @@ def files_index(c: Corpus) -> DataFrame:
     return schemas.conform(indexed, schemas.FILES).drop("file_id")
 
 
+@query
+def read_tree(c: Corpus) -> DataFrame:
+    """The documents written as files below a folder per source, listed and read back."""
+    folder = new_folder(c.spark)
+    files = c.doc_contents().select(F.concat(F.lit(folder), "path").alias("path"), "content")
+    files.mapInArrow(fs.write_files, "path string").count()
+    roots = c.table("documents").select("source").distinct().select(
+        F.col("source").alias("repo_id"), F.concat(F.lit(f"{folder}/corpus/"), "source").alias("root")
+    )
+    indexed = fs.index_files(fs.read_tree(roots))
+    return indexed.select("repo_id", "rel_path", "lang", "sha256")
+
+
 # --- extraction ---------------------------------------------------------------------------------
 
 _SYMBOL = ["file_id", "ordinal", "kind", "name", "lineno", "end_lineno", "signature", "docstring", "parent_name"]
@@ -423,7 +441,7 @@ def cache_merge(c: Corpus) -> DataFrame:
 
 @query
 def embed_attach(c: Corpus) -> DataFrame:
-    attached = embed.attach_embeddings(embed.with_embedding_text(c.doc_symbols()), c.old_cache())
+    attached = embed.attach_embeddings(embed.with_embedding_text(c.doc_symbols(), tx.MIN_EMBED_CHARS, tx.MAX_BODY_CHARS), c.old_cache())
     return attached.select("symbol_id", F.col("embedding")[0].cast("int").alias("mark"))
 
 
@@ -436,7 +454,9 @@ def embed_coverage(c: Corpus) -> DataFrame:
 def embed_incremental(c: Corpus) -> DataFrame:
     """Document symbols embedded on top of a cache; old texts keep the cached vector."""
     symbols = c.doc_symbols()
-    vectors, fresh = embed.embed_incremental(symbols, c.old_cache(), embed.hashed_bag_of_words())
+    vectors, fresh = embed.embed_incremental(
+        symbols, c.old_cache(), embed.hashed_bag_of_words(), tx.MIN_EMBED_CHARS, max_body=tx.MAX_BODY_CHARS
+    )
     new = fresh.select("text_hash", F.lit(True).alias("is_new"))
     done = embed.update_embeddings(symbols, vectors).select("symbol_id", "embedding")
     used = vectors.select("symbol_id", "text_hash").join(new, "text_hash", "left")
@@ -503,13 +523,13 @@ def collect_urls(c: Corpus) -> DataFrame:
 @query
 def replace_by_repo(c: Corpus) -> DataFrame:
     """Index all documents, then again for three repositories: one changed, one emptied, one new."""
-    path = f"{new_folder(c.spark)}/files"
+    tables = Tables(c.spark, new_folder(c.spark))
     rows = c.doc_files().withColumn("file_id", F.col("file_id").cast("string"))
     batch = c.table("documents").select(F.col("source").alias("repo_id")).distinct()
-    replace_repositories(rows.filter("repo_id <> 'src4'"), batch, path, schemas.FILES)
+    tables.replace("files", rows.filter("repo_id <> 'src4'"), batch, schemas.FILES, "repo_id")
     again = rows.filter("repo_id in ('src4', 'src5')").withColumn("rel_path", F.concat(F.lit("new/"), "rel_path"))
-    replace_repositories(again, batch.filter("repo_id in ('src4', 'src5', 'src6')"), path, schemas.FILES)
-    return read_table(c.spark, path, schemas.FILES, "file_id").select("file_id", "repo_id", "rel_path")
+    tables.replace("files", again, batch.filter("repo_id in ('src4', 'src5', 'src6')"), schemas.FILES, "repo_id")
+    return tables.read("files", schemas.FILES).select("file_id", "repo_id", "rel_path")
 
 
 @query
@@ -545,7 +565,7 @@ def _ingested(c: Corpus) -> plan.Store:
     items = c.item_patterns().withColumn("pattern_id", schemas.key_of(F.col("name")))
     empty = F.lit("")
     described = items.withColumns({n: empty for n in ("motivation", "solution")})
-    plan.save_patterns(store, schemas.conform(catalog.embed_catalog(described, encoder), schemas.PATTERNS))
+    plan.save_patterns(store, schemas.conform(described, schemas.PATTERNS), encoder)
 
     cols = ["repo_id", "rel_path", "text"]
     everything = (
@@ -563,5 +583,6 @@ def _ingested(c: Corpus) -> plan.Store:
     repos = everything.select(url("repo_id").alias("url")).distinct().select(
         "url", F.lit("/none").alias("local_path"), F.lit("main").alias("default_branch")
     )
-    plan.ingest(store, repos, encoder, TOPK, 0.45, read=lambda *_: contents)
+    limits = plan.Limits(tx.MIN_EMBED_CHARS, tx.MAX_BODY_CHARS, tx.SNIPPET_CHARS)
+    plan.ingest(store, repos, encoder, TOPK, 0.45, read=lambda *_: contents, limits=limits)
     return store

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusmatch.functions import text as tx
+
 
 # Paths given to the documents in turn, by document number.
 PATHS = [
@@ -21,21 +23,13 @@ PATHS = [
     "settings.conf",
 ]
 
-# The tables whose rows are costly to work on, with the column to deal them out by.
-_DEALT_BY = {"documents": "doc_id", "part": "p_partkey", "embeddings": "vec_id"}
-
 
 class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """A given table. One that comes in fewer files than there are cores is dealt out over them."""
-        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in _DEALT_BY and len(rows.inputFiles()) < cores:
-            return rows.repartition(cores, _DEALT_BY[name])
-        return rows
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def doc_files(self) -> DataFrame:
         """Documents as files: file = document, repository = its source."""
@@ -69,9 +63,10 @@ class Corpus:
         )
 
     def vector_symbols(self) -> DataFrame:
-        """Document symbols with the vector of the same number; those beyond the vectors have none."""
+        """Document symbols with the vector of the same number; a number without a document is a nameless symbol."""
         vectors = self.table("embeddings").select(F.col("vec_id").alias("symbol_id"), "embedding")
-        return self.doc_symbols().drop("embedding").join(vectors, "symbol_id", "left")
+        joined = self.doc_symbols().drop("embedding").join(vectors, "symbol_id", "full")
+        return joined.withColumn("repo_id", F.coalesce("repo_id", F.lit("vectors")))
 
     def line_symbols(self) -> DataFrame:
         """The lines of the documents as symbols of their document."""
@@ -156,7 +151,7 @@ class Corpus:
         """Embeddable texts of the document symbols: ``symbol_id, repo_id, text_hash, text, embedding``."""
         from corpusmatch.operators.embed import with_embedding_text
 
-        due = with_embedding_text(self.doc_symbols()).filter(F.col("text_hash").isNotNull())
+        due = with_embedding_text(self.doc_symbols(), tx.MIN_EMBED_CHARS, tx.MAX_BODY_CHARS).filter(F.col("text_hash").isNotNull())
         return due.select("symbol_id", "repo_id", "text_hash", "text", "embedding")
 
     def old_cache(self) -> DataFrame:

@@ -74,6 +74,8 @@ HITS = table(
     snippet_hash=_STRING,
 )
 CACHE = table(text_hash=_STRING, embedding=VECTOR)
+# The cache as it is stored: with the name of the encoder that made the vector.
+STORED_CACHE = StructType([*CACHE.fields, StructField("encoder", _STRING)])
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:

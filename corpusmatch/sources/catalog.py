@@ -61,7 +61,7 @@ def catalog_from_sheet(sheet: DataFrame, pos: str | None = None) -> DataFrame:
     ordered = sheet.withColumn("_pos", F.monotonically_increasing_id() if pos is None else F.col(pos))
     chosen = {HEADERS[n]: i for i, n in enumerate(map(normalize_header, sheet.columns)) if n in HEADERS}
     if "name" not in chosen:
-        raise ValueError("the catalogue needs a 'Pattern Name' (or 'name') column")
+        raise ValueError(f"no column of the sheet holds the names of patterns: {', '.join(sheet.columns)}")
     by_position = ordered.toDF(*[f"_c{i}" for i in range(len(sheet.columns))], "_pos")
     columns = []
     for field in PATTERNS.fieldNames():

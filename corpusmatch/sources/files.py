@@ -22,6 +22,10 @@ from corpusmatch.schemas import conform, key_of, table
 
 BYTES_PER_TASK = 128 << 20
 _BATCH_BYTES = 32 << 20
+# A task lists about so many entries in one round.
+LISTED_PER_TASK = 20_000
+# What one value of a binary column can hold.
+MAX_FILE_BYTES = (1 << 31) - 4096
 _BATCH_PATHS = 10_000
 
 
@@ -56,49 +60,74 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-_LISTED = table(repo_id=StringType(), root=StringType(), path=StringType(), is_dir=BooleanType(), bytes=LongType())
+def write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Write ``path, content`` rows as files (for ``mapInArrow``); gives the paths."""
+    for batch in batches:
+        for path, content in zip(batch["path"].to_pylist(), batch["content"]):
+            system, inner = _open(path if "://" in path or path.startswith("file:") else f"file://{path}")
+            system.create_dir(os.path.dirname(inner), recursive=True)
+            with system.open_output_stream(inner) as out:
+                out.write(content.as_buffer() if content.is_valid else b"")
+        yield batch.select(["path"])
+
+
+_LISTED = table(
+    repo_id=StringType(), root=StringType(), path=StringType(), is_dir=BooleanType(), bytes=LongType(), error=StringType()
+)
 _LISTED_ARROW = to_arrow_schema(_LISTED)
 
 
-def _list_batches(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
-    rows = []
+def _list_batches(batches: Iterator[pa.RecordBatch], quota: int) -> Iterator[pa.RecordBatch]:
+    """What lies below the folders of ``batches``; after about ``quota`` rows the folders left over come back as they are."""
+    rows, listed = [], 0
     for batch in batches:
         for given in batch.to_pylist():
-            if not given["is_dir"]:
-                rows.append(given)
-                continue
             folders = [given["path"]]
             while folders:
-                for path, is_dir, size in _children(folders.pop()):
-                    if is_dir and os.path.basename(path) == ".git":
-                        continue
-                    if is_dir and deep:
-                        folders.append(path)
-                    else:
-                        rows.append({**given, "path": path, "is_dir": is_dir, "bytes": size})
-                    if len(rows) >= _BATCH_PATHS:
-                        yield pa.RecordBatch.from_pylist(rows, _LISTED_ARROW)
-                        rows = []
+                folder = folders.pop()
+                if listed >= quota:
+                    rows.append({**given, "path": folder, "is_dir": True})
+                    continue
+                try:
+                    for path, is_dir, size in _children(folder):
+                        if not is_dir:
+                            rows.append({**given, "path": path, "is_dir": False, "bytes": size})
+                            listed += 1
+                        elif os.path.basename(path) != ".git":
+                            folders.append(path)
+                        if len(rows) >= _BATCH_PATHS:
+                            yield pa.RecordBatch.from_pylist(rows, _LISTED_ARROW)
+                            rows = []
+                except OSError as e:
+                    rows.append({**given, "path": folder, "is_dir": False, "error": f"{type(e).__name__}: {e}"})
+                listed += 1
     yield pa.RecordBatch.from_pylist(rows, _LISTED_ARROW)
 
 
-def list_tree(roots: DataFrame) -> DataFrame:
-    """``repo_id, root, path, bytes`` of every regular file below the roots (``repo_id, root``) but ``.git`` folders.
+def list_tree(roots: DataFrame, folder: str | None = None, quota: int = LISTED_PER_TASK) -> DataFrame:
+    """``repo_id, root, path, bytes, error`` of every regular file below the roots (``repo_id, root``) but ``.git`` folders.
 
-    The first level is listed per root; what lies there is then dealt out over all tasks and
-    walked in parallel, so one huge root does not occupy one task alone.
+    A folder that is missing or may not be read gives a row with the error and costs nothing but itself. A task lists
+    about ``quota`` entries and hands back the folders that it did not come to; those are dealt out over all tasks
+    in the next round, so a huge root or a deep one does not occupy one task alone.
     """
-    top = conform(roots.withColumns({"path": F.col("root"), "is_dir": F.lit(True)}), _LISTED)
-    tasks = roots.sparkSession.sparkContext.defaultParallelism
-    first_level = top.repartition(tasks, "path").mapInArrow(lambda it: _list_batches(it, deep=False), _LISTED)
-    everything = first_level.repartition(tasks, "path").mapInArrow(lambda it: _list_batches(it, deep=True), _LISTED)
-    return everything.filter(tx.outside_git_dir(tx.relative_path(F.col("path"), F.col("root")))).drop("is_dir")
+    todo = conform(roots.withColumns({"path": F.col("root"), "is_dir": F.lit(True)}), _LISTED)
+    tasks, found, turn = roots.sparkSession.sparkContext.defaultParallelism, None, 0
+    while True:
+        dealt = todo.repartition(tasks, "path").mapInArrow(lambda it: _list_batches(it, quota), _LISTED)
+        listed = written(dealt, f"listed{turn}", folder)
+        files = listed.filter(~F.col("is_dir"))
+        found, turn = files if found is None else found.unionByName(files), turn + 1
+        todo = listed.filter("is_dir")
+        if todo.isEmpty():
+            break
+    return found.filter(tx.outside_git_dir(tx.relative_path(F.col("path"), F.col("root")))).drop("is_dir")
 
 
 def read_contents(paths: DataFrame, bytes_per_task: int = BYTES_PER_TASK) -> DataFrame:
     """Add ``content`` and ``read_error`` to ``paths`` (``path``, ``bytes``); reading is spread by total size.
 
-    An unreadable file gets NULL content and the error. The number of tasks is set from the bytes to be
+    An unreadable file, or one of 2 GiB or more (which no value can hold), gets NULL content and the error. The number of tasks is set from the bytes to be
     read: the rows shuffled here are short, and their size says nothing about the work behind them.
     """
     spark = paths.sparkSession
@@ -107,15 +136,22 @@ def read_contents(paths: DataFrame, bytes_per_task: int = BYTES_PER_TASK) -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, contents, errors, held = 0, [], [], 0
+            sizes = batch["bytes"].to_pylist()
             for number, path in enumerate(batch["path"].to_pylist()):
                 try:
-                    contents.append(_read(path))
+                    if (sizes[number] or 0) > MAX_FILE_BYTES:
+                        raise OSError(f"{sizes[number]} bytes are too many for one value")
+                    content = _read(path)
+                    if len(content) > MAX_FILE_BYTES:
+                        raise OSError(f"{len(content)} bytes are too many for one value")
+                    contents.append(content)
                     errors.append(None)
-                except OSError as e:
+                except (OSError, MemoryError) as e:
                     contents.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
                 held += len(contents[-1] or b"")
-                if held >= _BATCH_BYTES or number == batch.num_rows - 1:
+                ahead = sizes[number + 1] or 0 if number + 1 < batch.num_rows else 0
+                if held + ahead >= _BATCH_BYTES or number == batch.num_rows - 1:
                     part = batch.slice(done, len(contents))
                     arrays = [*part.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
                     yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "content", "read_error"])
@@ -126,11 +162,23 @@ def read_contents(paths: DataFrame, bytes_per_task: int = BYTES_PER_TASK) -> Dat
 
 
 def read_tree(roots: DataFrame, folder: str | None = None) -> DataFrame:
-    """``repo_id, path, rel_path, lang, content, read_error`` of all files of a known language below the roots."""
+    """``repo_id, path, rel_path, lang, content, read_error`` of all files of a known language below the roots.
+
+    A folder that could not be listed is a row without language and content.
+    """
     rel_path = tx.relative_path(F.col("path"), F.col("root"))
-    listed = list_tree(roots).select("repo_id", "path", rel_path.alias("rel_path"), "bytes")
-    known = known_files(listed)
-    return read_contents(written(known, "paths", folder)).drop("bytes")
+    listed = list_tree(roots, folder).select("repo_id", "path", rel_path.alias("rel_path"), "bytes", "error")
+    known = known_files(listed.filter("error IS NULL").drop("error"))
+    nothing = F.lit(None)
+    failed = listed.filter("error IS NOT NULL").select(
+        "repo_id",
+        "path",
+        "rel_path",
+        nothing.cast("string").alias("lang"),
+        nothing.cast("binary").alias("content"),
+        F.col("error").alias("read_error"),
+    )
+    return read_contents(written(known, "paths", folder)).drop("bytes").unionByName(failed)
 
 
 def known_files(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 
 from corpusmatch.operators.embed import embed_incremental, hashed_bag_of_words, update_embeddings
 from corpusmatch.plans import ingest as plan
+from corpusmatch.schemas import HITS, PATTERNS, STORED_CACHE, conform
 
 BODY = "plan the work, call a tool, observe what it returned, then plan again until the goal is reached; " * 2
 
@@ -64,7 +65,7 @@ def test_a_repository_is_replaced_as_a_whole(spark, setting):
     for path in ("agent.py", "README.md", "bad.py"):
         (tmp_path / "one" / path).unlink()
     one = repos.filter("url like '%one.git'")
-    plan.ingest(store, one, encoder, min_cos=0.3, same_catalog=True)
+    plan.ingest(store, one, encoder, min_cos=0.3)
     assert _hits(store) == [h for h in before if h[1] != "one"]
     names = {r["repo_id"]: r["name"] for r in store.repos().collect()}
     for table in (store.files(), store.symbols(), store.vectors()):
@@ -94,16 +95,93 @@ def test_input_order_does_not_matter(spark, setting):
     assert _hits(other) == _hits(store)
 
 
+@pytest.mark.parametrize("table, accumulate", [("symbols", False), ("pattern_hits", True)])
+def test_a_broken_batch_leaves_the_store_as_it_was(spark, setting, monkeypatch, table, accumulate):
+    tmp_path, repos, store = setting
+    encoder = hashed_bag_of_words()
+    one, two = repos.filter("url like '%one.git'"), repos.filter("url like '%two.git'")
+    plan.run(spark, store.path, one, encoder, f"{tmp_path}/catalog.csv", min_cos=0.3)
+    before = _hits(store), store.repos().count(), store.files().count(), store.cache().count()
+    write = plan.Store._write
+
+    def breaks(self, name, *rest):
+        if name == table:
+            raise OSError("no space left")
+        return write(self, name, *rest)
+
+    monkeypatch.setattr(plan.Store, "_write", breaks)
+    with pytest.raises(OSError):
+        plan.ingest(store, two, encoder, min_cos=0.3, accumulate=accumulate)
+    monkeypatch.undo()
+    again = plan.Store(spark, store.path)
+    assert (_hits(again), again.repos().count(), again.files().count(), again.cache().count()) == before
+    plan.ingest(again, two, encoder, min_cos=0.3, accumulate=accumulate)
+    whole = plan.Store(spark, f"{tmp_path}/whole")
+    plan.run(spark, whole.path, one, encoder, f"{tmp_path}/catalog.csv", min_cos=0.3)
+    plan.ingest(whole, two, encoder, min_cos=0.3, accumulate=accumulate)
+    assert _hits(again) == _hits(whole) and again.cache().count() == whole.cache().count()
+
+
+def test_a_pattern_saved_in_between_is_looked_for_everywhere(spark, setting):
+    tmp_path, repos, store = setting
+    encoder = hashed_bag_of_words()
+    one, two = repos.filter("url like '%one.git'"), repos.filter("url like '%two.git'")
+    plan.run(spark, store.path, one, encoder, f"{tmp_path}/catalog.csv", min_cos=0.3)
+    new = conform(spark.createDataFrame([("k", "Key", ["planner"])], "pattern_id string, name string, indicators array<string>"), PATTERNS)
+    plan.save_patterns(store, new)
+    assert {r["name"] for r in store.patterns().collect()} == {"Planner", "Weather", "Key"}
+    plan.run(spark, store.path, two, encoder, min_cos=0.3)
+    found = {(p, r) for p, r, kind, *_ in _hits(store) if kind == "keyword"}
+    assert found == {("Key", "one"), ("Key", "two")}
+    # the new pattern has its vector now, like all others
+    assert store.patterns().filter("embedding is null").count() == 0
+
+
+def test_nothing_to_ingest_is_an_error(spark, setting):
+    tmp_path, repos, store = setting
+    (tmp_path / "list.txt").write_text("# none\n\n")
+    for given in ([], [f"@{tmp_path}/list.txt"], repos.limit(0)):
+        with pytest.raises(ValueError, match="no repository"):
+            plan.run(spark, store.path, given, hashed_bag_of_words())
+
+
+def test_run_from_a_list(spark, setting):
+    tmp_path, repos, store = setting
+    (tmp_path / "list.txt").write_text(f"# ours\n{tmp_path}/one\n{tmp_path}/two\n")
+    entries = [f"{tmp_path}/two", f"@{tmp_path}/list.txt"]
+    plan.run(spark, store.path, entries, hashed_bag_of_words(), f"{tmp_path}/catalog.csv", min_cos=0.3)
+    assert {r["name"] for r in store.repos().collect()} == {"one", "two"} and store.files().count() == 5
+
+
+def test_upkeep_of_older_hits(spark, setting):
+    _, _, store = setting
+    rows = [("p", "s2", "r", "text", None), ("p", "s1", "r", "text", ""), ("p", "s3", "r", "other", "h")]
+    old = spark.createDataFrame(rows, "pattern_id string, symbol_id string, repo_id string, code_snippet string, snippet_hash string")
+    store.overwrite("pattern_hits", old, HITS, "repo_id")
+    plan.upkeep(store)
+    assert sorted((r["symbol_id"], r["code_snippet"]) for r in store.hits().collect()) == [("s1", "text"), ("s3", "other")]
+
+
+def test_a_small_batch_reads_its_part_of_the_cache(spark, setting):
+    _, _, store = setting
+    rows = spark.range(512).selectExpr("sha2(cast(id as string), 256) as text_hash", "array(cast(id as float)) as embedding", "'default' as encoder")
+    store.append("embeddings_cache", rows, STORED_CACHE, plan._cache_bucket())
+    few = rows.limit(2)
+    assert store.cache("default", few).join(few, "text_hash").count() == 2
+    assert len(store.cache("default", few).inputFiles()) <= 2 < len(store.cache().inputFiles())
+    assert store.cache("another", few).count() == 0
+
+
 def test_only_missing_texts_are_encoded(spark):
     schema = "symbol_id string, repo_id string, kind string, name string, docstring string, source string, embedding array<float>"
     rows = [(f"s{i:02}", "r", "doc", "n", None, BODY * (1 + i % 3), None) for i in range(12)]
     rows += [("tiny", "r", "doc", "n", None, "x", None), ("done", "r", "doc", "n", None, BODY, [0.5])]
     symbols = spark.createDataFrame(rows, schema)
     cache = spark.createDataFrame([], "text_hash string, embedding array<float>")
-    vectors, fresh = embed_incremental(symbols, cache, hashed_bag_of_words(16))
+    vectors, fresh = embed_incremental(symbols, cache, hashed_bag_of_words(16), 120)
     assert fresh.count() == 3 and vectors.count() == 12
     marked = fresh.selectExpr("text_hash", "array(cast(7 as float)) as embedding")
-    again, none = embed_incremental(symbols, marked, hashed_bag_of_words(16))
+    again, none = embed_incremental(symbols, marked, hashed_bag_of_words(16), 120)
     assert none.count() == 0 and {tuple(r["embedding"]) for r in again.collect()} == {(7.0,)}
     back = {r["symbol_id"]: r["embedding"] for r in update_embeddings(symbols, again).collect()}
     assert back["tiny"] is None and back["done"] == [0.5] and back["s03"] == [7.0]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmatch.operators.hits import HIT_KEY, insert_ignore
+from corpusmatch.operators.hits import HIT_KEY, attach_snippets, insert_ignore
 from corpusmatch.operators.keyword import keyword_scan
 from corpusmatch.operators.semantic import semantic_match, semantic_topk
 from corpusmatch.schemas import HITS, conform
@@ -104,8 +104,8 @@ def test_long_bodies_keep_their_head(spark):
     body = "\U0001f600" * 9000
     symbols = spark.createDataFrame([("s", "r", "n", "Agent", body, [1.0])], SYMBOL)
     patterns = spark.createDataFrame([("p", "p", ["agent"], [1.0])], PATTERN)
-    keyword, semantic = keyword_scan(symbols, patterns), semantic_match(symbols, patterns)
-    both = insert_ignore(None, keyword, semantic).collect()
+    keyword, semantic = keyword_scan(symbols, patterns), semantic_match(symbols, patterns, snippet_chars=8000)
+    both = attach_snippets(insert_ignore(None, keyword, semantic), symbols, 8000).collect()
     assert sorted(len(r["code_snippet"]) for r in both) == [8000, 9000]  # their hashes differ: both stay
 
 

@@ -15,12 +15,12 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("hot_rows", [10, 100, 10_000])
-def test_spread_join_is_a_join(spark, skewed, how, hot_rows):
+@pytest.mark.parametrize("hot_rows, small_rows", [(10, 0), (10_000, 0), (10, 100)])
+def test_spread_join_is_a_join(spark, skewed, how, hot_rows, small_rows):
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), (None, 4)], "k string, v int")
     columns = ["id", "k", "v"] if how in ("inner", "left") else ["id", "k"]
     plain = skewed.join(right, "k", how).select(*columns).collect()
-    spread = spread_join(skewed, right, "k", "id", how, hot_rows).select(*columns).collect()
+    spread = spread_join(skewed, right, "k", "id", how, hot_rows, small_rows).select(*columns).collect()
     assert sorted(spread, key=lambda r: r["id"]) == sorted(plain, key=lambda r: r["id"])
 
 
@@ -29,7 +29,7 @@ def test_spread_join_deals_out_hot_and_missing_keys(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = spread_join(skewed, right, "k", "id", "left", hot_rows=20)
+        joined = spread_join(skewed, right, "k", "id", "left", hot_rows=20, small_rows=0)
         per_task = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -37,6 +37,14 @@ def test_spread_join_deals_out_hot_and_missing_keys(spark, skewed):
     assert max(r["count"] for r in per_task) < 1200
 
 
+def test_many_tied_heavy_keys_lose_no_row(spark):
+    left = spark.range(8000).selectExpr("id", "id % 400 as k").repartition(5)
+    right = spark.range(400).selectExpr("id as k", "id * 2 as v")
+    joined = spread_join(left, right, "k", "id", hot_rows=19, small_rows=0)
+    assert joined.count() == 8000 and joined.filter("v <> 2 * k").count() == 0
+    assert spread_join(left, right, "k", "id", "left_anti", hot_rows=19, small_rows=0).count() == 0
+
+
 def test_keep_first(spark):
     rows = [(k, i % 7, i, None if i % 2 else "x") for k in [1, 2, None] for i in range(40)]
     df = spark.createDataFrame(rows, "k int, o int, id int, s string")

@@ -5,7 +5,7 @@ import pytest
 from corpusmatch.operators.embed import hashed_bag_of_words
 from corpusmatch.schemas import FILES, PATTERNS, conform
 from corpusmatch.sources import catalog, files as fs, lines as ls
-from corpusmatch.sources.tables import read_table, replace_repositories
+from corpusmatch.sources.tables import Tables
 
 
 def test_collect_urls(spark, tmp_path):
@@ -123,7 +123,7 @@ def test_an_unreadable_file_is_kept(spark, tree):
 
 
 def test_replace_repositories(spark, tmp_path):
-    path = f"{tmp_path}/files"
+    tables = Tables(spark, str(tmp_path))
 
     def rows(*pairs):
         return conform(spark.createDataFrame([(i, r) for i, r in pairs], "file_id string, repo_id string"), FILES)
@@ -132,15 +132,15 @@ def test_replace_repositories(spark, tmp_path):
         return spark.createDataFrame([(n,) for n in names], "repo_id string")
 
     def now():
-        return sorted((r["file_id"], r["repo_id"]) for r in read_table(spark, path, FILES, "file_id").collect())
+        return sorted((r["file_id"], r["repo_id"]) for r in tables.read("files", FILES).collect())
 
     assert now() == []
     first = rows(("a", "01"), ("b", "2"), ("c", "3"))
-    replace_repositories(first, repos("01", "2", "3"), path, FILES)
+    tables.replace("files", first, repos("01", "2", "3"), FILES, "repo_id")
     assert now() == [("a", "01"), ("b", "2"), ("c", "3")]
-    replace_repositories(rows(("d", "2"), ("e", "4")), repos("2", "3", "4"), path, FILES)
+    tables.replace("files", rows(("d", "2"), ("e", "4")), repos("2", "3", "4"), FILES, "repo_id")
     assert now() == [("a", "01"), ("d", "2"), ("e", "4")]
-    replace_repositories(rows(("d", "2"), ("e", "4")), repos("2", "3", "4"), path, FILES)
+    tables.replace("files", rows(("d", "2"), ("e", "4")), repos("2", "3", "4"), FILES, "repo_id")
     assert now() == [("a", "01"), ("d", "2"), ("e", "4")]
 
 
@@ -149,3 +149,33 @@ def test_conform_fills_and_drops(spark):
     row = conform(old, FILES).first()
     assert row.asDict() == {"file_id": "f", "repo_id": None, "path": None, "rel_path": None, "lang": None, "sha256": "1"}
     assert conform(old, FILES).schema.fieldNames() == FILES.fieldNames()
+
+
+def test_a_bad_root_costs_only_itself(spark, tree, tmp_path):
+    roots = spark.createDataFrame([("r", tree), ("gone", f"{tmp_path}/none")], "repo_id string, root string")
+    rows = fs.index_files(fs.read_tree(roots)).collect()
+    assert sorted(r["rel_path"] for r in rows if r["repo_id"] == "r") == KNOWN
+    (bad,) = [r for r in rows if r["repo_id"] == "gone"]
+    assert "FileNotFoundError" in bad["read_error"] and bad["lang"] is None and bad["text"] is None
+
+
+def test_a_tree_is_listed_in_rounds(spark, tmp_path):
+    want = set()
+    for i in range(3):
+        at = tmp_path / "deep"
+        for j in range(6):
+            at = at / f"{i}{j}"
+            at.mkdir(parents=True, exist_ok=True)
+            (at / "x.md").write_text("x")
+            want.add(f"{at}/x.md")
+    listed = fs.list_tree(spark.createDataFrame([("r", f"{tmp_path}/deep")], "repo_id string, root string"), quota=2)
+    assert sorted(r["path"] for r in listed.collect()) == sorted(want)
+
+
+def test_a_file_that_no_value_can_hold_is_an_error(spark, tree, monkeypatch):
+    roots = spark.createDataFrame([("r", tree)], "repo_id string, root string")
+    whole = {r["rel_path"]: len(r["content"]) for r in fs.read_tree(roots).collect()}
+    monkeypatch.setattr(fs, "MAX_FILE_BYTES", 5)
+    rows = {r["rel_path"]: r for r in fs.read_tree(roots).collect()}
+    large = {n for n, size in whole.items() if size > 5}
+    assert sorted(rows) == KNOWN and {n for n, r in rows.items() if r["read_error"]} == large and 0 < len(large) < len(KNOWN)

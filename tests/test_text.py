@@ -93,7 +93,7 @@ def test_names_and_texts(spark):
     assert dict(got) == urls
 
 
-@pytest.mark.parametrize("max_body, kept", [(None, 1500), (0, 1500), (10, 10)])
+@pytest.mark.parametrize("max_body, kept", [(None, 2000), (1500, 1500), (10, 10)])
 def test_symbol_text(spark, max_body, kept):
     rows = [("n", None, "", "\U0001f600" * 2000), (None, None, None, None), ("n", "k", "d", " s ")]
     text = tx.symbol_text(F.col("n"), F.col("k"), F.col("d"), F.col("s"), max_body)
