@@ -76,7 +76,7 @@ _WORD, _TOTAL = -1, -2
 
 def references(docs: DataFrame, limits: Limits, text: str = "text", lang: str = "lang") -> References:
     """Counted over all documents; a task holds at most ``most`` counts before it hands them on."""
-    most = 400_000
+    most = 100_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -212,9 +212,12 @@ def rules(
     limits = limits or Limits()
     judge = Judge(known or references(docs, limits, text, lang), limits)
     names = [x.split()[0] for x in _LINES.split(", ")]
-    kept = [c for c in (keep or docs.columns) if c not in names]
+    kept = [c for c in (keep or docs.columns) if c not in names and c != text]
+    gives_text = text in (keep or docs.columns)
     rows = docs.select(F.col(text).cast("binary").alias("_text"), F.col(lang).alias("_lang"), *kept)
     schema = rows.drop("_text", "_lang").schema
+    if gives_text:
+        schema = schema.add(text, "string")
     for part in _LINES.split(", "):
         schema = schema.add(*part.split())
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
@@ -227,6 +230,7 @@ def rules(
             ]
             columns = zip(*found) if found else [()] * len(kinds)
             own = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *own], [*kept, *names])
+            given = [batch.column(0).cast(pa.string())] if gives_text else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *given, *own], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -245,7 +245,7 @@ def score(
     gram_keys, gram_values, more_grams = _frequent(entries, sent_entries)
     sent = spark.sparkContext.broadcast((word_keys, word_values, gram_keys, gram_values))
     words_end, grams_end = more_words is None, more_grams is None
-    names = ["kind", "key", "row", "n", "n_tokens", "n_known", "base", "score"]
+    names = ["kind", "key", "row", "n", "n_tokens", "n_known", "base", "score", "doc_id", "held_out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_keys, word_values, gram_keys, gram_values = sent.value
@@ -256,13 +256,16 @@ def score(
             at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
             return keys[at] == of, values[at]
 
-        def out(kind, key, row, n, n_tokens=None, n_known=None, base=None, score=None):
+        def out(kind, key, row, n, n_tokens=None, n_known=None, base=None, score=None, ids=None, held=None):
             size = len(row)
             zero = np.zeros(size)
             parts = [np.full(size, kind, np.int32), key, row, n]
             parts += [(zero if x is None else x).astype(np.int64) for x in (n_tokens, n_known)]
             parts += [zero if x is None else x for x in (base, score)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names)
+            columns = [pa.array(x) for x in parts]
+            columns.append(pa.nulls(size, pa.int64()) if ids is None else ids)
+            columns.append(pa.nulls(size, pa.bool_()) if held is None else held)
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             row = np.asarray(batch.column(0))
@@ -291,10 +294,12 @@ def score(
                 base += np.bincount(of, np.where(here, part, 0), size)
                 if not here.all():
                     yield out(1, keys[~here], row[of[~here]], n[~here])
-            yield out(0, row, row, np.zeros(size, np.int64), n_tokens, n_known, base, scores)
+            yield out(0, row, row, np.zeros(size, np.int64), n_tokens, n_known, base, scores, *batch.columns[2:])
 
-    parts = rows.select("row", "text").mapInArrow(
-        run, "kind int, key long, row long, n long, n_tokens long, n_known long, base double, score double"
+    # the number of a row holds within this one pass only, so all that is known of a row goes along
+    schema = "kind int, key long, row long, n long, n_tokens long, n_known long, base double, score double"
+    parts = rows.select("row", "text", "doc_id", "held_out").mapInArrow(
+        run, schema + ", doc_id long, held_out boolean"
     )
     rest = [
         t.select(F.lit(kind).alias("kind"), "key", "value")
@@ -307,13 +312,16 @@ def score(
         by_word, by_gram = F.col("kind") == 1, F.col("kind") == 2
         parts = parts.join(table, ["kind", "key"], "left").select(
             "row",
+            "doc_id",
+            "held_out",
             "n_tokens",
             F.when(by_word & F.col("value").isNotNull(), F.col("n")).otherwise(F.col("n_known")).alias("n_known"),
             F.when(by_word, F.col("n") * F.log10((value + 0.5) / least)).otherwise(F.col("base")).alias("base"),
             F.when(by_gram, F.col("n") * value).otherwise(F.col("score")).alias("score"),
         )
-    sums = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    return rows.select("row", "doc_id", "held_out").join(sums, "row").select(
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
+    known = [F.max(c).alias(c) for c in ("doc_id", "held_out")]
+    return parts.groupBy("row").agg(*known, *sums).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), "score",
     )

@@ -3,7 +3,8 @@
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. All
 windows of that length whose string may occur twice are sorted; equal neighbours share the smallest id.
 
-* **Blocks.** Documents are written as blocks of a few megabytes; a very long one is a block of its own.
+* **Blocks.** Documents are written as blocks of a few megabytes; a very long one is a block of its own. A task takes
+  some fifty bytes for each byte of a block, so ``block_bytes`` may grow with the executors.
 * **Anchors.** The window is anchored at its minimizer, the pair of a hash and a place that is least among the strings of ``seed`` bytes
   in it. Equal windows have equal anchors, so only windows with an anchor that occurs in two documents can
   match. Each block sends the 32-bit hashes of its distinct anchors to a bucket by further bits of the hash;
@@ -45,8 +46,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    """In place."""
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _window_hashes(raw: np.ndarray, length: int) -> np.ndarray:
@@ -56,10 +60,15 @@ def _window_hashes(raw: np.ndarray, length: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     have, size = _mixed((raw.astype(np.uint64) + np.uint64(1)) * _MIX), 1
     while size * 2 <= length:
-        have = _mixed(have[:-size] * _MIX + have[size:])
+        both = have[:-size] * _MIX
+        both += have[size:]
+        have = _mixed(both)
         size *= 2
     if size < length:
-        have = _mixed(have[: n] * _MIX + have[length - size : length - size + n] + np.uint64(1))
+        both = have[:n] * _MIX
+        both += have[length - size : length - size + n]
+        both += np.uint64(1)
+        have = _mixed(both)
     return have[:n]
 
 
@@ -87,10 +96,12 @@ class Block:
         hashes = _window_hashes(self.text, seed)
         least = _sliding_least(hashes, length - seed + 1)
         # windows that stay in one document
-        doc = np.repeat(np.arange(len(ids)), np.maximum(sizes - length + 1, 0))
-        inside = np.concatenate([[0], np.cumsum(np.maximum(sizes - length + 1, 0))])
-        window = np.arange(len(doc)) - inside[doc] + self.starts[doc] if len(doc) else np.zeros(0, np.int64)
+        windows = np.maximum(sizes - length + 1, 0)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), windows)
+        skipped = self.starts - np.cumsum(windows) + windows
+        window = np.arange(len(doc)) + np.repeat(skipped, windows)
         anchor = least[window] if len(window) else np.zeros(0, np.uint64)
+        del hashes, least
         new = np.ones(len(window), bool)
         if len(window) > 1:
             new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
@@ -266,6 +277,12 @@ def _opened(ids: bytes, sizes: bytes, text: bytes, length: int, seed: int) -> Bl
     return Block(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), raw, length, seed)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One at a time: a row is a whole block."""
+    for i in range(batch.num_rows):
+        yield from batch.slice(i, 1).to_pylist()
+
+
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
@@ -286,7 +303,7 @@ def _anchors(table: DataFrame, length: int, seed: int, buckets: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 block = _opened(row["ids"], row["sizes"], row["text"], length, seed)
                 anchor, several = _distinct_pairs(block.anchor, block.ids[block.doc])
                 found = [
@@ -373,7 +390,7 @@ def _segments(table: DataFrame, length: int, seed: int, buckets: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if not row["sent"]:
                     continue
                 pack = zstandard.ZstdCompressor(level=1).compress
@@ -500,7 +517,7 @@ def _results(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 block = _opened(row["ids"], row["sizes"], row["text"], length, seed)
                 gone = _covered(block, row["sent"])
                 out = []
@@ -524,7 +541,7 @@ def remove_repeats(
     docs: DataFrame,
     length: int = 50,
     seed: int = 20,
-    block_bytes: int = 4 << 20,
+    block_bytes: int = 2 << 20,
     key: str = "doc_id",
     text: str = "text",
     as_text: bool = False,
