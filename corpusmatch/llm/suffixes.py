@@ -132,18 +132,34 @@ def _distinct_pairs(anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
 # --- deep-shallow sort ----------------------------------------------------------------------------
 
 
-def _words(rows: np.ndarray) -> np.ndarray:
-    """Strings (a row of bytes each) as rows of big-endian 64-bit words, so that words compare as bytes do."""
-    width = -(-rows.shape[1] // 8) * 8
-    padded = np.zeros((len(rows), width), np.uint8)
-    padded[:, : rows.shape[1]] = rows
-    return padded.view(">u8").astype(np.uint64)
+class Windows:
+    """Strings of ``length`` bytes at places of a text, word by word of eight bytes; words compare as bytes do.
+
+    The last word may overlap the one before: where all others are equal, it still decides as the rest would.
+    """
+
+    def __init__(self, text: np.ndarray, place: np.ndarray, length: int):
+        self.place, self.shift = place, np.uint64(8 * max(0, 8 - length))
+        self.at = list(range(0, length - 7, 8)) or [0]
+        if length > 8 and length % 8:
+            self.at.append(length - 8)
+        self.words = np.zeros(len(text), np.uint64)
+        padded = np.concatenate((text, np.zeros(8, np.uint8)))
+        for i in range(8):
+            self.words <<= np.uint64(8)
+            self.words |= padded[i : i + len(text)]
+
+    def word(self, depth: int, rows: np.ndarray) -> np.ndarray:
+        return self.words[self.place[rows] + self.at[depth]] >> self.shift
+
+    def string(self, row: int) -> np.ndarray:
+        return self.words[self.place[row] + np.array(self.at)] >> self.shift
 
 
 class _Blind:
     """A blind trie: inner nodes know only where their strings part and by which words."""
 
-    def __init__(self, strings: np.ndarray):
+    def __init__(self, strings: Windows):
         self.strings, self.root = strings, None
 
     def add(self, leaf: int) -> None:
@@ -151,13 +167,13 @@ class _Blind:
         if self.root is None:
             self.root = [leaf]
             return
-        node, own = self.root, self.strings[leaf]
+        node, own = self.root, self.strings.string(leaf)
         path = []
         while isinstance(node, tuple):
             path.append(node)
             depth, ways = node
             node = ways.get(own[depth]) or next(iter(ways.values()))
-        other = self.strings[node[0]]
+        other = self.strings.string(node[0])
         parts = np.flatnonzero(own != other)
         if not len(parts):
             node.append(leaf)
@@ -184,36 +200,46 @@ class _Blind:
             yield node
 
 
-def deep_shallow_sort(strings: np.ndarray, shallow: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The order of strings (rows of words), and the number of the group of equal strings of each sorted row."""
-    n = len(strings)
-    order = np.argsort(strings[:, 0], kind="stable") if n else np.zeros(0, np.int64)
-    new = np.ones(n, bool)
-    if n > 1:
-        new[1:] = strings[order[1:], 0] != strings[order[:-1], 0]
-    # shallow: rows that tie with a neighbour are sorted by the next word within their group
-    for depth in range(1, min(shallow, strings.shape[1])):
+def deep_shallow_sort(strings: Windows, shallow: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings, and the number of the group of equal strings of each sorted row."""
+    n = len(strings.place)
+    order, new = np.zeros(0, np.int64), np.ones(n, bool)
+    if n:
+        word = strings.word(0, np.arange(n))
+        order = np.argsort(word)
+        word = word[order]
+        new[1:] = word[1:] != word[:-1]
+
+    def parting(depth: int) -> np.ndarray:
+        """Which groups have rows that differ from their first in this word."""
+        tied = np.flatnonzero(~new)
+        head = np.flatnonzero(new)[group[tied]]
+        differs = strings.word(depth, order[tied]) != strings.word(depth, order[head])
+        parts = np.zeros(int(group[-1]) + 1 if n else 0, bool)
+        parts[group[tied[differs]]] = True
+        return parts
+
+    # shallow: groups that part at the next word are sorted by it, and split
+    depths = len(strings.at)
+    for depth in range(1, min(shallow, depths)):
         group = np.cumsum(new) - 1
-        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
-        if not len(tied):
-            break
-        word = strings[order[tied], depth]
-        again = np.lexsort((word, group[tied]))
-        order[tied] = order[tied][again]
-        word, inside = word[again], group[tied]
-        parts = np.ones(len(tied), bool)
+        rows = np.flatnonzero(parting(depth)[group]) if n else order
+        if not len(rows):
+            continue
+        word, inside = strings.word(depth, order[rows]), group[rows]
+        again = np.lexsort((word, inside))
+        order[rows], word = order[rows][again], word[again]
+        parts = np.ones(len(rows), bool)
         parts[1:] = (word[1:] != word[:-1]) | (inside[1:] != inside[:-1])
-        new[tied] = parts
+        new[rows] = parts
     # deep: what is still together is most often equal; a trie orders the groups that are not
-    if strings.shape[1] > shallow and n > 1:
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        rest = np.flatnonzero(~new)
-        differs = rest[(strings[order[rest], shallow:] != strings[order[head[rest]], shallow:]).any(axis=1)]
+    if depths > shallow and n:
+        group = np.cumsum(new) - 1
+        mixed = np.logical_or.reduce([parting(depth) for depth in range(shallow, depths)])
         ends = np.append(np.flatnonzero(new), n)
-        for g in np.unique((np.cumsum(new) - 1)[differs]).tolist():
-            some = order[ends[g] : ends[g + 1]].copy()
+        for g in np.flatnonzero(mixed).tolist():
             trie = _Blind(strings)
-            for row in some.tolist():
+            for row in order[ends[g] : ends[g + 1]].tolist():
                 trie.add(row)
             at = ends[g]
             for equal in trie.groups():
@@ -441,8 +467,7 @@ def _sorted_windows(sent: DataFrame, length: int) -> DataFrame:
         segment = np.repeat(np.arange(len(at)), count[at])
         nth = np.arange(len(segment)) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
         place = start[at][segment] + nth
-        strings = _words(np.lib.stride_tricks.sliding_window_view(text, length)[place])
-        order, group = deep_shallow_sort(strings)
+        order, group = deep_shallow_sort(Windows(text, place, length))
         best = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
         np.minimum.at(best, group, low[segment[order]])
         smallest = np.empty(len(segment), np.int64)

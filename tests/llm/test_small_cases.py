@@ -411,7 +411,7 @@ def test_deep_shallow_sort():
     rows[100:200] = rows[:100]
     rows[200:300, :30] = rows[0, :30]
     rows[300:320] = rows[200]
-    order, group = suffixes.deep_shallow_sort(suffixes._words(rows))
+    order, group = suffixes.deep_shallow_sort(suffixes.Windows(rows.ravel(), np.arange(500) * 50, 50))
     plain = [bytes(r) for r in rows]
     assert [plain[i] for i in order] == sorted(plain)
     assert group[-1] + 1 == len(set(plain))
