@@ -33,8 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def _at(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/corpusmatch/{uuid.uuid4().hex}"
+    """A folder in the shared one that goes when the session's process ends in good order."""
+    folder = f"{shared_dir(spark)}/corpusmatch/{uuid.uuid4().hex}"
+    system, path = _at(spark, folder)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
 
 
 @contextmanager
@@ -44,15 +54,15 @@ def staging(spark: SparkSession) -> Iterator[str]:
     try:
         yield folder
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = _at(spark, folder)
+        system.delete(path, True)
 
 
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back with pruning intact.
 
     A lost executor then costs a read, not the work behind it. What goes to a ``staging`` folder lives
-    as long as that; without a folder it stays until the cluster clears its shared folder.
+    as long as that; without a folder it stays as long as the session's process.
     """
     spark = df.sparkSession
     path = f"{folder or new_folder(spark)}/{name}"
