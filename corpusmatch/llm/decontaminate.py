@@ -55,7 +55,7 @@ def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
     masks: tuple[str, ...] = MASKS,
-    window: int = 20,
+    window: int = 13,
     similarity: float = 0.8,
     min_words: int = 5,
     sent_seeds: int = 2_000_000,
@@ -127,7 +127,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options)
     return docs.join(found, docs[key].eqNullSafe(found["_found"]), "left_anti")
 
 
-def oracle(masks: tuple[str, ...] = MASKS, window: int = 20, similarity: float = 0.8, min_words: int = 5) -> str:
+def oracle(masks: tuple[str, ...] = MASKS, window: int = 13, similarity: float = 0.8, min_words: int = 5) -> str:
     """The same as SQL, on words instead of their hashes."""
     least = min(map(len, masks))
 
