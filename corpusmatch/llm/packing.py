@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmatch.llm.tokens import default_path, encoder
+from corpusmatch.llm.tokens import CACHED, default_path, encoder
 
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -162,6 +162,7 @@ def pack(
     tokenizer: str | None = None,
     end_id: int = 1,
     block_tokens: int = 8_000_000,
+    cached_pieces: int = CACHED,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -185,7 +186,7 @@ def pack(
         return n + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(file)
+        coder = encoder(file, cached_pieces)
         end, width = np.array([end_id], coder.dtype).tobytes(), coder.dtype.itemsize
         n, doc_ids, ids, weight = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:

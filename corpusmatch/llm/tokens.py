@@ -15,7 +15,8 @@ from corpusmatch.functions.worker import once_per_worker
 _MARK = "\x00"
 # A blank or line end before other white space or at the end: such texts are not cut into pieces.
 _ODD = re.compile(r"[ \n](?:\s|$)|\x00")
-_CACHED = 1_000_000
+# Pieces whose ids a worker keeps, some 200 bytes each.
+CACHED = 1_000_000
 _DOCS_AT_ONCE = 500
 
 
@@ -34,7 +35,8 @@ class Encoder:
     of the whole text. Other tokenizers, and texts with runs of white space, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
+        self.cached = cached
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.model = tokenizers.Tokenizer.from_file(path)
@@ -68,7 +70,7 @@ class Encoder:
     def _some(self, texts: list[str]) -> list[bytes]:
         odd = [not self.by_piece or not x or bool(_ODD.search(x)) for x in texts]
         whole = iter(self._whole([x for x, o in zip(texts, odd) if o]))
-        if len(self.cache) > _CACHED:
+        if len(self.cache) > self.cached:
             self.cache.clear()
         get = self.cache.get
         # a leading line end gives the first piece a form that does not depend on its place
@@ -102,6 +104,6 @@ class Encoder:
                 start = end + 1
 
 
-def encoder(path: str) -> Encoder:
-    """One per Python worker."""
-    return once_per_worker(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    """One per Python worker; it stays there with its cache."""
+    return once_per_worker(("encoder", path, cached), lambda: Encoder(path, cached))
