@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 
 import numpy as np
 import tokenizers
@@ -13,13 +12,19 @@ from corpusmatch.functions.worker import once_per_worker
 
 # A byte-level vocabulary never merges this byte with another, so it keeps joined pieces apart.
 _MARK = "\x00"
-# A blank or line end before other white space or at the end: such texts are not cut into pieces.
-_ODD = re.compile(r"[ \n](?:\s|$)|\x00")
+# Texts with white space other than blanks and line ends are not cut into pieces (U+180E was white space once).
+_OTHER = [chr(c) for c in range(1 << 16) if chr(c) not in " \n" and chr(c).isspace()] + [_MARK, "\u180e"]
 # Pieces whose ids a worker keeps, some 200 bytes each.
 CACHED = 1_000_000
 _DOCS_AT_ONCE = 500
 
 
+def _odd(text: str) -> bool:
+    """Whether white space is beside white space, at an end, or other than blanks and line ends."""
+    blanks = text.replace("\n", " ")
+    return "  " in blanks or blanks[:1] == " " or blanks[-1:] == " " or any(c in text for c in _OTHER)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -32,7 +37,7 @@ class Encoder:
     The strings of special tokens in a text are ordinary text. Where the tokenizer is byte-level with its
     usual word pattern, a text is cut before single blanks and line ends, where no token can cross; ids of
     a piece are kept and each new piece is encoded once, many in one call. The ids are the same as those
-    of the whole text. Other tokenizers, and texts with runs of white space, are encoded whole.
+    of the whole text. Other tokenizers, and texts with any other white space, are encoded whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
@@ -68,7 +73,7 @@ class Encoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        odd = [not self.by_piece or not x or bool(_ODD.search(x)) for x in texts]
+        odd = [not self.by_piece or not x or _odd(x) for x in texts]
         whole = iter(self._whole([x for x, o in zip(texts, odd) if o]))
         if len(self.cache) > self.cached:
             self.cache.clear()

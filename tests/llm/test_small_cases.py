@@ -164,6 +164,13 @@ def test_ids_do_not_depend_on_the_cut():
         assert coder.encode(texts) == coder._whole(texts)
 
 
+def test_any_white_space_keeps_the_ids_of_the_whole_text():
+    coder = encoder(default_path())
+    forms = ["a{0}{0} b", "a{0}{0}\nb", "foo{0}{0}", "{0}{0}foo", "{0}a b", "a b{0}", "a{0}b", "a\n{0}b", "a {0}b", "a{0} b"]
+    texts = [x.format(c) for x in forms for c in "\u00a0\u3000\u2009\u2028\u0085\u180e\t\r\x0b\x1c\x00 \n"]
+    assert coder.encode(texts) == coder._whole(texts)
+
+
 def test_token_files(docs, empty, tmp_path):
     parts = token_frames.write_tokens(docs, f"file://{tmp_path}/t", end_id=2)
     got = [(r["doc_id"], r["start"], bytes(r["ids"])) for r in token_frames.read_tokens(docs.sparkSession, parts).collect()]
