@@ -1,5 +1,6 @@
 """Nulls, empty and odd texts, ties, repeated rows, empty tables and clashing columns, against brute force."""
 
+import itertools
 import math
 import re
 import zlib
@@ -91,6 +92,23 @@ def test_replaced_words_are_tolerated(spark):
     assert {r["doc_id"] for r in joined.collect()} == got
 
 
+def test_replaced_words_are_tolerated_wherever_they_are(spark):
+    items, rows, want = [], [], set()
+    for n in (*range(5, 16), 18):
+        words = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        width = min(n, 13)
+        for k in range(4 if n < 18 else 3):
+            for gone in itertools.combinations(range(n), k):
+                name = len(rows)
+                rows.append((name, " ".join(["before", *("zz" if i in gone else w for i, w in enumerate(words)), "after"])))
+                if any(sum(s <= i < s + width for i in gone) <= 0.2 * width for s in range(n - width + 1)):
+                    want.add((name, n))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
 # --- 2 ---
 
 
