@@ -13,7 +13,9 @@ windows of that length whose string may occur twice are sorted; equal neighbours
   segments, with the least and the greatest id that holds them, to the bucket of the anchor.
 * **Deep-shallow sort.** A bucket sorts all windows of its segments: multikey quicksort by eight bytes at a
   time down to a shallow depth, which splits groups of equal keys again and again; a group that is still
-  together there is ordered by a blind trie over the rest of the strings.
+  together there is ordered by a blind trie over the rest of the strings, each of which is entered once.
+* **Hot anchors.** A string of a line that very many documents have in different surroundings anchors more segments than
+  one bucket should hold. Its windows then go singly, each to the bucket of its own hash.
 * **Verdict.** Equal windows get their smallest id; a block learns it for those of its segments where it is
   smaller than the greatest id that it holds, and removes, counts and hashes.
 
@@ -117,8 +119,8 @@ class Block:
         self.first, self.count, self.anchor, self.doc = window[at], count, anchor[at], doc[at]
 
 
-def _distinct_pairs(anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors, and whether each is in more than one document of the block."""
+def _distinct_pairs(anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchors, whether each is in more than one document of the block, and its number of runs."""
     order = np.lexsort((doc, anchor))
     a, d = anchor[order], doc[order]
     new = np.ones(len(a), bool)
@@ -126,7 +128,8 @@ def _distinct_pairs(anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     other = np.zeros(len(a), bool)
     other[1:] = (a[1:] == a[:-1]) & (d[1:] != d[:-1])
     at = np.flatnonzero(new)
-    return a[at], np.logical_or.reduceat(other, at) if len(at) else other[:0]
+    runs = np.diff(np.append(at, len(a)))
+    return a[at], np.logical_or.reduceat(other, at) if len(at) else other[:0], runs
 
 
 # --- deep-shallow sort ----------------------------------------------------------------------------
@@ -160,20 +163,21 @@ class _Blind:
     """A blind trie: inner nodes know only where their strings part and by which words."""
 
     def __init__(self, strings: Windows):
-        self.strings, self.root = strings, None
+        self.strings, self.root, self.rows = strings, None, {}
 
-    def add(self, leaf: int) -> None:
-        """Strings that are equal share a leaf."""
+    def add(self, leaf: int, row: int) -> None:
+        """``leaf`` stands for the string of ``row``; those of equal strings share a place."""
+        self.rows[leaf] = row
         if self.root is None:
             self.root = [leaf]
             return
-        node, own = self.root, self.strings.string(leaf)
+        node, own = self.root, self.strings.string(row)
         path = []
         while isinstance(node, tuple):
             path.append(node)
             depth, ways = node
             node = ways.get(own[depth]) or next(iter(ways.values()))
-        other = self.strings.string(node[0])
+        other = self.strings.string(self.rows[node[0]])
         parts = np.flatnonzero(own != other)
         if not len(parts):
             node.append(leaf)
@@ -200,7 +204,7 @@ class _Blind:
             yield node
 
 
-def deep_shallow_sort(strings: Windows, shallow: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow_sort(strings: Windows, shallow: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The order of the strings, and the number of the group of equal strings of each sorted row."""
     n = len(strings.place)
     order, new = np.zeros(0, np.int64), np.ones(n, bool)
@@ -232,33 +236,49 @@ def deep_shallow_sort(strings: Windows, shallow: int = 3) -> tuple[np.ndarray, n
         parts = np.ones(len(rows), bool)
         parts[1:] = (word[1:] != word[:-1]) | (inside[1:] != inside[:-1])
         new[rows] = parts
-    # deep: what is still together is most often equal; a trie orders the groups that are not
+    # deep: what is still together is most often equal; a trie orders the distinct strings of the groups that are not
     if depths > shallow and n:
         group = np.cumsum(new) - 1
         mixed = np.logical_or.reduce([parting(depth) for depth in range(shallow, depths)])
-        ends = np.append(np.flatnonzero(new), n)
-        for g in np.flatnonzero(mixed).tolist():
-            trie = _Blind(strings)
-            for row in order[ends[g] : ends[g + 1]].tolist():
-                trie.add(row)
-            at = ends[g]
-            for equal in trie.groups():
-                order[at : at + len(equal)] = equal
-                new[at : at + len(equal)] = False
-                new[at] = True
-                at += len(equal)
+        rows = np.flatnonzero(mixed[group])
+        if len(rows):
+            inside, tail = group[rows], [strings.word(depth, order[rows]) for depth in range(shallow, depths)]
+            code = np.zeros(len(rows), np.uint64)
+            for word in tail:
+                code = _mixed(code * _MIX + word)
+            again = np.lexsort((code, inside))
+            order[rows] = order[rows][again]
+            head = np.ones(len(rows), bool)
+            head[1:] = (inside[1:] != inside[:-1]) | np.logical_or.reduce([w[again][1:] != w[again][:-1] for w in tail])
+            heads = np.flatnonzero(head)
+            sizes, sorted_rows = np.diff(np.append(heads, len(rows))), order[rows].copy()
+            cuts = np.flatnonzero(np.append(True, np.diff(inside[heads]) != 0)).tolist() + [len(heads)]
+            placed, starts = [], []
+            for a, b in zip(cuts, cuts[1:]):
+                trie = _Blind(strings)
+                for k in range(a, b):
+                    trie.add(k, int(sorted_rows[heads[k]]))
+                for equal in trie.groups():
+                    placed += equal
+                    starts += [True] + [False] * (len(equal) - 1)
+            placed = np.array(placed)
+            moved = np.repeat(heads[placed] - np.cumsum(sizes[placed]) + sizes[placed], sizes[placed]) + np.arange(len(rows))
+            order[rows] = sorted_rows[moved]
+            first = np.zeros(len(rows), bool)
+            first[(np.cumsum(sizes[placed]) - sizes[placed])[np.array(starts)]] = True
+            new[rows] = first
     return order, np.cumsum(new) - 1
 
 
 # --- the steps ------------------------------------------------------------------------------------
 
-_BLOCKS = "block long, ids binary, sizes binary, text binary, rest binary"
+_BLOCKS = "block long, weight long, ids binary, sizes binary, text binary, rest binary"
 
 
 def blocks(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     """Documents in their order, packed; ``rest`` holds their other columns as an Arrow stream."""
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
-    kinds = [pa.int64()] + [pa.binary()] * 4
+    kinds = [pa.int64()] * 2 + [pa.binary()] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -275,6 +295,7 @@ def blocks(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
                     writer.write_batch(rest)
             columns = [
                 number - 1,
+                sum(map(len, parts)),
                 np.array(ids, np.int64).tobytes(),
                 np.array([len(p) for p in parts], np.int64).tobytes(),
                 packer.compress(b"".join(parts)),
@@ -325,29 +346,29 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _anchors(table: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
-    """``bucket, block, anchors, several``: distinct anchors of a block, and which are in two of its documents."""
+    """``bucket, block, anchors, several, runs``: distinct anchors of a block, which are in two documents, runs of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 block = _opened(row["ids"], row["sizes"], row["text"], length, seed)
-                anchor, several = _distinct_pairs(block.anchor, block.ids[block.doc])
+                anchor, several, runs = _distinct_pairs(block.anchor, block.ids[block.doc])
+                runs, pack = runs.astype(np.uint32), zstandard.ZstdCompressor(level=1).compress
                 found = [
-                    (b, row["block"], _low(anchor[i]).tobytes(), np.packbits(several[i]).tobytes())
+                    (b, row["block"], _low(anchor[i]).tobytes(), np.packbits(several[i]).tobytes(), pack(runs[i].tobytes()))
                     for b, i in _by_bucket(_bucket(anchor, buckets))
                 ]
                 if found:
-                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*found), kinds)], ["bucket", "block", "anchors", "several"]
-                    )
+                    kinds = [pa.int64()] * 2 + [pa.binary()] * 3
+                    names = ["bucket", "block", "anchors", "several", "runs"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
     columns = table.select("block", "ids", "sizes", "text")
-    return columns.mapInArrow(run, "bucket long, block long, anchors binary, several binary")
+    return columns.mapInArrow(run, "bucket long, block long, anchors binary, several binary, runs binary")
 
 
-def _shared(sent: DataFrame) -> DataFrame:
-    """``block, bucket, anchors``: the anchors of a block that two documents have, anywhere."""
+def _shared(sent: DataFrame, hot_runs: int) -> DataFrame:
+    """``block, bucket, anchors, hot``: the anchors of a block that two documents have, anywhere, and which are hot."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         anchors = [np.frombuffer(a, np.uint32) for a in rows["anchors"]]
@@ -359,47 +380,64 @@ def _shared(sent: DataFrame) -> DataFrame:
         weight = np.concatenate([1 + s.astype(np.int64) for s in several])
         value, back = np.unique(np.concatenate(anchors), return_inverse=True)
         twice = (np.bincount(back, weight) > 1)[back]
+        unpack = zstandard.ZstdDecompressor().decompress
+        runs = np.concatenate([np.frombuffer(unpack(r), np.uint32) for r in rows["runs"]])
+        hot = (np.bincount(back, runs) > hot_runs)[back]
         ends = np.cumsum([len(a) for a in anchors])
-        kept = [np.sort(a[twice[e - len(a) : e]]).tobytes() for a, e in zip(anchors, ends)]
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "anchors": kept})
+        kept, heat = [], []
+        for a, e in zip(anchors, ends):
+            some = twice[e - len(a) : e]
+            order = np.argsort(a[some])
+            kept.append(a[some][order].tobytes())
+            heat.append(np.packbits(hot[e - len(a) : e][some][order]).tobytes())
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "anchors": kept, "hot": heat})
 
-    return sent.groupBy("bucket").applyInPandas(run, "block long, bucket long, anchors binary").filter(
-        F.length("anchors") > 0
-    )
+    schema = "block long, bucket long, anchors binary, hot binary"
+    return sent.groupBy("bucket").applyInPandas(run, schema).filter(F.length("anchors") > 0)
 
 
-def _segment_hash(text: np.ndarray, length: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _segment_hash(whole: np.ndarray, length: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """64-bit hash of a segment's bytes, from the hashes of its first, middle and last window and its size."""
-    whole = _window_hashes(text, length)
     last = first + size - length
     middle = first + (size - length) // 2
     return _mixed(_mixed(whole[first] * _MIX + whole[last]) * _MIX + whole[middle] + size.astype(np.uint64))
 
 
 class _Segments:
-    """The runs of a block whose anchor is shared: ``run`` (which), and their distinct contents.
+    """The distinct contents of the runs of a block whose anchor is shared; the windows of a hot one are runs of their own.
 
-    ``of`` numbers the content of each; of a content: ``first`` and ``count`` of one place, ``least`` and ``greatest`` id.
+    Of each: ``first`` and ``count`` of one place, its ``bucket``, ``least`` and ``greatest`` id, ``single`` if of a hot one.
     """
 
-    def __init__(self, block: Block, shared: dict[int, bytes], buckets: int):
+    def __init__(self, block: Block, shared: dict[int, tuple[bytes, bytes]], buckets: int):
         bucket, low = _bucket(block.anchor, buckets), _low(block.anchor)
-        keep = np.zeros(len(low), bool)
+        keep, hot = np.zeros(len(low), bool), np.zeros(len(low), bool)
         for b, i in _by_bucket(bucket):
             if b in shared:
-                known = np.frombuffer(shared[b], np.uint32)
+                known = np.frombuffer(shared[b][0], np.uint32)
+                heat = np.unpackbits(np.frombuffer(shared[b][1], np.uint8), count=len(known)).astype(bool)
                 at = np.minimum(np.searchsorted(known, low[i]), len(known) - 1)
                 keep[i] = known[at] == low[i]
-        self.run = np.flatnonzero(keep)
-        first, count = block.first[self.run], block.count[self.run]
-        hashes = _segment_hash(block.text, block.length, first, count + block.length - 1)
-        self.hash, at, self.of = np.unique(hashes, return_index=True, return_inverse=True)
-        self.first, self.count, self.bucket = first[at], count[at], bucket[self.run][at]
-        ids = block.ids[block.doc[self.run]]
+                hot[i] = keep[i] & heat[at]
+        run = np.flatnonzero(keep & ~hot)
+        first, count, ids, bucket = block.first[run], block.count[run], block.ids[block.doc[run]], bucket[run]
+        single = np.zeros(len(run), bool)
+        whole = _window_hashes(block.text, block.length)
+        if hot.any():
+            run = np.flatnonzero(hot)
+            times = block.count[run]
+            window = np.repeat(block.first[run] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            first, count = np.append(first, window), np.append(count, np.ones(len(window), count.dtype))
+            ids = np.append(ids, np.repeat(block.ids[block.doc[run]], times))
+            bucket = np.append(bucket, _bucket(whole[window], buckets))
+            single = np.append(single, np.ones(len(window), bool))
+        hashes = _segment_hash(whole, block.length, first, count + block.length - 1)
+        _, at, of = np.unique(hashes, return_index=True, return_inverse=True)
+        self.first, self.count, self.bucket, self.single = first[at], count[at], bucket[at], single[at]
         self.least = np.full(len(at), np.iinfo(np.int64).max)
         self.greatest = np.full(len(at), np.iinfo(np.int64).min)
-        np.minimum.at(self.least, self.of, ids)
-        np.maximum.at(self.greatest, self.of, ids)
+        np.minimum.at(self.least, of, ids)
+        np.maximum.at(self.greatest, of, ids)
 
 
 def _per_block(table: DataFrame, sent: DataFrame) -> DataFrame:
@@ -411,8 +449,8 @@ def _per_block(table: DataFrame, sent: DataFrame) -> DataFrame:
 
 def _segments(table: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
     """The distinct segments of a block by bucket: windows, least and greatest id, and bytes of each, compressed."""
-    names = ["bucket", "block", "counts", "base", "least", "span", "text"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()] + [pa.binary()] * 3
+    names = ["bucket", "block", "counts", "base", "least", "span", "text", "single"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()] + [pa.binary()] * 3 + [pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,7 +459,7 @@ def _segments(table: DataFrame, length: int, seed: int, buckets: int) -> DataFra
                     continue
                 pack = zstandard.ZstdCompressor(level=1).compress
                 block = _opened(row["ids"], row["sizes"], row["text"], length, seed)
-                segments = _Segments(block, {x["bucket"]: x["anchors"] for x in row["sent"]}, buckets)
+                segments = _Segments(block, {x["bucket"]: (x["anchors"], x["hot"]) for x in row["sent"]}, buckets)
                 out = []
                 for b, i in _by_bucket(segments.bucket):
                     size = segments.count[i] + length - 1
@@ -436,18 +474,19 @@ def _segments(table: DataFrame, length: int, seed: int, buckets: int) -> DataFra
                             pack((least - base).tobytes()),
                             pack((segments.greatest[i] - least).tobytes()),
                             pack(block.text[places].tobytes()),
+                            bool(segments.single[i].any()),
                         )
                     )
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    schema = "bucket long, block long, counts binary, base long, least binary, span binary, text binary"
+    schema = "bucket long, block long, counts binary, base long, least binary, span binary, text binary, single boolean"
     # all columns of the blocks, so that their shuffle is the same as the one before the results
     return table.mapInArrow(run, schema)
 
 
 def _sorted_windows(sent: DataFrame, length: int) -> DataFrame:
-    """``block, hashes, starts, ends, ids``: windows (from, to) of a block's segments whose string an earlier id has."""
+    """Windows (``starts`` to ``ends``) of a block's segments whose string an earlier id has; ``single``: some are of hot anchors."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         counts = [np.frombuffer(c, np.uint8).astype(np.int64) for c in rows["counts"]]
@@ -458,7 +497,7 @@ def _sorted_windows(sent: DataFrame, length: int) -> DataFrame:
         text = np.frombuffer(b"".join(map(unpack, rows["text"])), np.uint8)
         size = count + length - 1
         start = np.cumsum(size) - size
-        hashes = _segment_hash(text, length, start, size)
+        hashes = _segment_hash(_window_hashes(text, length), length, start, size)
         owner = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
         # the same segment from several blocks is sorted once
         _, at, of = np.unique(hashes, return_index=True, return_inverse=True)
@@ -487,7 +526,7 @@ def _sorted_windows(sent: DataFrame, length: int) -> DataFrame:
         useful = run_id[r] < greatest[told]
         told, r = told[useful], r[useful]
         ends = np.searchsorted(owner[told], np.arange(len(counts) + 1))
-        out = {c: [] for c in ("block", "hashes", "starts", "ends", "ids")}
+        out = {c: [] for c in ("block", "hashes", "starts", "ends", "ids", "single")}
         for k, block in enumerate(rows["block"]):
             a, b = ends[k], ends[k + 1]
             if b > a:
@@ -496,9 +535,10 @@ def _sorted_windows(sent: DataFrame, length: int) -> DataFrame:
                 out["starts"].append(run_from[r[a:b]].astype(np.uint8).tobytes())
                 out["ends"].append(run_to[r[a:b]].astype(np.uint8).tobytes())
                 out["ids"].append(run_id[r[a:b]].tobytes())
+                out["single"].append(rows["single"].iloc[k])
         return pd.DataFrame(out)
 
-    schema = "block long, hashes binary, starts binary, ends binary, ids binary"
+    schema = "block long, hashes binary, starts binary, ends binary, ids binary, single boolean"
     return sent.groupBy("bucket").applyInPandas(run, schema)
 
 
@@ -513,15 +553,26 @@ def _covered(block: Block, sent: list[dict]) -> np.ndarray:
     )
     order = np.argsort(hashes, kind="stable")
     hashes, starts, ends, ids = hashes[order], starts[order].astype(np.int64), ends[order].astype(np.int64), ids[order]
-    own = _segment_hash(block.text, block.length, block.first, block.count + block.length - 1)
-    a, b = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-    n = b - a
-    run = np.repeat(np.arange(len(own)), n)
-    told = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + a[run]
-    earlier = ids[told] < block.ids[block.doc[run]]
-    run, told = run[earlier], told[earlier]
-    np.add.at(gone, block.first[run] + starts[told], 1)
-    np.add.at(gone, block.first[run] + ends[told] - 1 + block.length, -1)
+    whole = _window_hashes(block.text, block.length)
+
+    def told_of(first: np.ndarray, count: np.ndarray, doc: np.ndarray) -> None:
+        own = _segment_hash(whole, block.length, first, count + block.length - 1)
+        a, b = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+        n = b - a
+        run = np.repeat(np.arange(len(own)), n)
+        told = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + a[run]
+        earlier = ids[told] < block.ids[doc[run]]
+        run, told = run[earlier], told[earlier]
+        np.add.at(gone, first[run] + starts[told], 1)
+        np.add.at(gone, first[run] + ends[told] - 1 + block.length, -1)
+
+    told_of(block.first, block.count, block.doc)
+    if any(x["single"] for x in sent):
+        run = np.repeat(np.arange(len(block.count)), block.count)
+        nth = np.arange(len(run)) - np.repeat(np.cumsum(block.count) - block.count, block.count)
+        longer = block.count[run] > 1
+        run, nth = run[longer], nth[longer]
+        told_of(block.first[run] + nth, np.ones(len(run), block.count.dtype), block.doc[run])
     return np.cumsum(gone[:-1]) > 0
 
 
@@ -567,6 +618,8 @@ def remove_repeats(
     length: int = 50,
     seed: int = 20,
     block_bytes: int = 2 << 20,
+    bucket_bytes: int = 4 << 20,
+    hot_runs: int = 100_000,
     key: str = "doc_id",
     text: str = "text",
     as_text: bool = False,
@@ -574,11 +627,11 @@ def remove_repeats(
     """Of every row: its id, ``n_bytes, n_removed, n_spans``, ``kept`` (the bytes left) and its other columns.
 
     With ``as_text`` ``kept`` is a string, without the characters that were cut in two. The text itself is left out, and so is a column that is named like a result.
+    There is a bucket for each ``bucket_bytes`` of text; an anchor of more than ``hot_runs`` runs is hot.
     """
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = written(blocks(docs, block_bytes, key, text), "blocks")
-    shared = _shared(_anchors(table, length, seed, buckets))
+    buckets = 1 + (table.agg(F.sum("weight")).first()[0] or 0) // bucket_bytes
+    shared = _shared(_anchors(table, length, seed, buckets), hot_runs)
     sent = _segments(_per_block(table, shared), length, seed, buckets)
     verdicts = _sorted_windows(sent, length)
     return _results(_per_block(table, verdicts), length, seed, key, docs.drop(key, text).schema, as_text)

@@ -415,17 +415,34 @@ def _removed(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize("length, seed, block", [(50, 20, 1 << 20), (50, 20, 200), (8, 3, 100)])
-def test_repeated_passages(spark, docs, length, seed, block):
+@pytest.mark.parametrize("length, seed, block, hot", [(50, 20, 1 << 20, 1000), (50, 20, 200, 1), (8, 3, 100, 6), (8, 3, 100, 0)])
+def test_repeated_passages(spark, docs, length, seed, block, hot):
     rng = np.random.default_rng(5)
     rows = list(ROWS) + [(200 + i, "".join(rng.choice(list("ab"), 300)), "en", "x", 1) for i in range(6)]
     frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    got = suffixes.remove_repeats(frame, length, seed, block)
+    got = suffixes.remove_repeats(frame, length, seed, block, bucket_bytes=1000, hot_runs=hot)
     assert {"lang", "source", "n_chars"} <= set(got.columns)
     found = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect())
     assert found == _removed(rows, length)
 
 
+def test_a_line_in_every_document_is_split(spark):
+    """Its strings stand in different surroundings, and a passage of 60 words stands in every block."""
+    rng = np.random.default_rng(8)
+    line, passage = "Licensed under the terms of 2.0;", _prose(rng, 60)
+    texts = [f"{_prose(rng, 30)} {line} {_prose(rng, 30)}" + (f" {passage}" if i % 3 == 0 else "") for i in range(60)]
+    frame = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    for hot in (5, 1000):
+        got = suffixes.remove_repeats(frame, 50, 20, 1000, bucket_bytes=5000, hot_runs=hot).collect()
+        found = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got)
+        assert found == _removed(list(enumerate(texts)), 50)
+        assert sum(r["n_removed"] for r in got) >= 19 * len(passage)
+
+
+def _prose(rng, n):
+    return " ".join("".join(rng.choice(list("abdefgilmnorstu"), int(rng.integers(2, 9)))) for _ in range(n))
+
+
 def test_repeated_passages_of_an_empty_table(empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
