@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from .test_small_cases import PASSAGE, _fingerprint, _ids, _linked, _removed
 
@@ -87,33 +88,18 @@ def test_stages_keep_the_columns(spark, rows, tmp_path):
             assert result.count() <= docs.count()
 
 
-def _shingles(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def test_near_copies_reach_their_similarity(spark):
-    """Edited copies too, held against every pair; links that the smallest id of a group does not have are found."""
+def test_repeated_ids_keep_rows_of_other_texts(spark):
+    """Each row is judged by its own text; of rows that are the same one stays, whatever the partitions."""
     rng = np.random.default_rng(3)
-    texts = []
-    for _ in range(12):
-        base = _prose(rng, int(rng.integers(55, 300))).split()
-        texts.append(" ".join(base))
-        for _ in range(4):
-            edited = list(base)
-            for at in rng.choice(len(base), max(1, len(base) // 60), replace=False):
-                edited[at] = "changed" + str(rng.integers(100))
-            texts.append(" ".join(edited))
-    texts += [texts[0].upper(), _prose(rng, 80)]
-    order = rng.permutation(len(texts)).tolist()
-    docs = spark.createDataFrame([(n, texts[i], "en", "s", 1, "") for n, i in enumerate(order)], SCHEMA).repartition(3)
-    sets = [_shingles(texts[i]) for i in order]
-    label = list(range(len(sets)))
-    for a in range(len(sets)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
-                low, high = sorted((label[a], label[b]))
-                label = [low if x == high else x for x in label]
-    want = {i for i, x in enumerate(label) if i == x}
-    assert len(want) < len(sets) / 2
-    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == want
+    a, b, c = (_prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a), (3, b + " x"), (7, c), (7, c), (8, c), (None, a), (None, None), (9, None), (4, ""), (7, c + " ")]
+    stay = []
+    for parts in (1, 3, 5):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1, "d") for i, t in rows], SCHEMA).repartition(parts)
+        docs = docs.withColumn("id", F.lit("clash")).withColumn("digest", F.lit(None).cast("string"))
+        found = corpus_pipeline.near_copies(spark, docs, "")
+        assert found.columns == docs.columns
+        stay.append(sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr))
+    assert stay[0] == stay[1] == stay[2]
+    assert [r for r in stay[0] if r[0] != 7] == sorted([(1, a), (1, b), (4, ""), (None, a), (None, None)], key=repr)
+    assert [r[1].strip() for r in stay[0] if r[0] == 7] == [c]

@@ -287,8 +287,8 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_links_hold_all_sets_together(spark, block):
+@pytest.mark.parametrize("block, width", [(4, None), (1024, None), (4, (3, 4)), (1024, (4, 6))])
+def test_links_hold_all_sets_together(spark, block, width):
     rng = np.random.default_rng(7)
     centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     fps = set()
@@ -299,7 +299,7 @@ def test_links_hold_all_sets_together(spark, block):
     fps |= {0, 1, 3, 15, 31, (1 << 64) - 1}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), block=block)
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), block=block, width=width)
     label = _linked(list(range(len(fps))), fps)
     got = {r["id"]: r["component"] for r in components(found).collect()}
     sets = defaultdict(set)
@@ -311,6 +311,16 @@ def test_links_hold_all_sets_together(spark, block):
     assert sorted(map(sorted, sets.values())) == sorted(map(sorted, want.values()))
 
 
+def test_fingerprints_within_the_distance_share_a_key():
+    rng = np.random.default_rng(2)
+    for boxes, parts, _ in simhash.WIDTHS:
+        masks = simhash.key_masks(boxes, parts)
+        for _ in range(5000):
+            x = sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False))
+            kinds = [k for k, m in enumerate(masks) if not x & m]
+            assert any(simhash._links(np.array([5 * k // len(masks)]), np.array([x], np.uint64), 4)[0] for k in kinds)
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (9, 8), (5, 5), (2, 1), (20, 30), (30, 40), (40, 50), (50, 60), (-1, 60)]
     pairs += [(100, i) for i in range(101, 300)]
