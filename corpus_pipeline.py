@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmatch.llm import decontaminate, divergence, packing, shingles, suffixes
+from corpusmatch.llm import decontaminate, divergence, packing, simhash, suffixes
 from corpusmatch.operators.storage import new_folder
 
 
@@ -21,18 +21,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows that repeat an id are one document.
+    """Of each group of near copies one document: fingerprints of four-word shingles within 4 bits are linked.
 
-    Near copies share 0.8 or more of their runs of five words; op4 has a narrower rule of its own.
+    The row of the smallest id stays; of rows that share that id, the first by a digest of the whole row. Rows that
+    repeat an id but belong to different groups all stay, each in its group.
     """
-    found = shingles.near_copies(docs)
-    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    return simhash.first_of_each(docs, distance=4).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
