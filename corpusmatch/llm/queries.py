@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmatch.llm import decontaminate, divergence, mincut, packing, ppm, sharding, simhash, suffixes, token_frames, transcripts
+from corpusmatch.llm import (
+    decontaminate,
+    divergence,
+    mincut,
+    packing,
+    pii,
+    ppm,
+    resampling,
+    sharding,
+    simhash,
+    suffixes,
+    token_frames,
+    transcripts,
+    whitening,
+)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +105,20 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 32)
+
+
+@query
+def op12_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.learn(docs)))
+
+
+@query
+def op13_prefix_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
