@@ -34,10 +34,11 @@ def default_path() -> str:
 class Encoder:
     """``encode`` gives the little-endian ids of each text as bytes, ``dtype`` wide.
 
-    The strings of special tokens in a text are ordinary text. Where the tokenizer is byte-level with its
-    usual word pattern, a text is cut before single blanks and line ends, where no token can cross; ids of
-    a piece are kept and each new piece is encoded once, many in one call. The ids are the same as those
-    of the whole text. Other tokenizers, and texts with any other white space, are encoded whole.
+    The ids are those of the library's plain call, ``encode(text, add_special_tokens=False)``: the string of an added
+    token in a text is that token. Where the tokenizer is byte-level with its usual word pattern, a text is cut
+    before single blanks and line ends, where no token can cross; ids of a piece are kept and each new piece is
+    encoded once, many in one call. Other tokenizers, and texts with any other white space or with the string of
+    an added token, are encoded whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
@@ -45,7 +46,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.model = tokenizers.Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [x["content"] for x in spec.get("added_tokens") or ()]
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         before = spec.get("pre_tokenizer") or {}
         mark = self.model.encode(_MARK, add_special_tokens=False).ids
@@ -73,7 +74,7 @@ class Encoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        odd = [not self.by_piece or not x or _odd(x) for x in texts]
+        odd = [not self.by_piece or not x or _odd(x) or any(a in x for a in self.added) for x in texts]
         whole = iter(self._whole([x for x, o in zip(texts, odd) if o]))
         if len(self.cache) > self.cached:
             self.cache.clear()

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ ROWS = [
     (5, "", "en", "a", 0),
     (6, " \n\t ", "en", "b", 4),
     (7, "x", "en", "b", 1),
+    (11, "<|endoftext|>a b <|endoftext|><|endoftext|> c\n<|endoftext|>", "en", "b", 1),
     (8, "é" * 60 + " " + "é" * 70, "fr", "b", 3),
     (9, "ü" + "é" * 40 + " tail\n\nwith  two blanks\x00 and more", "fr", "b", 3),
     (None, PASSAGE + " without an id", "en", "b", 3),
@@ -171,8 +173,21 @@ def test_partial_matching_without_training(spark, empty):
 # --- 3, 9 ---
 
 
+PLAIN = tokenizers.Tokenizer.from_file(default_path())
+
+
 def _ids(text, end):
-    return [*encoder(default_path()).model.encode(text or "", add_special_tokens=False).ids, end]
+    return [*PLAIN.encode(text or "", add_special_tokens=False).ids, end]
+
+
+def test_ids_are_those_of_the_plain_call():
+    """Strings of special tokens are these tokens, wherever they stand; the tokenizer here is one of its own."""
+    mark = "<|endoftext|>"
+    forms = ["{0}", "a {0} b", "{0} a", "a {0}", "a{0}b", "{0}{0}", "a {0}{0} b\n{0}", " {0} ", "{0}\n\n{0}", "<|endoftext {0} |>"]
+    texts = [x.format(mark) for x in forms] + [r[1] or "" for r in ROWS] + ["plain words only\nhere", "<| endoftext |>"]
+    for found, text in zip(encoder(default_path()).encode(texts), texts, strict=True):
+        assert np.frombuffer(found, "<u2").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    assert 50256 in _ids("a <|endoftext|> b", 2)
 
 
 def test_ids_do_not_depend_on_the_cut():
