@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # What str.strip() and \s treat as white space, as characters and as a regex class.
@@ -43,8 +45,23 @@ MIN_EMBED_CHARS = 120
 MAX_BODY_CHARS = 1500
 SNIPPET_CHARS = 8000
 
+# Word characters are spelled out because Java's ``\\w`` and ``\\b`` count others.
 _WORD = r"[\p{L}\p{N}_]"
-_WORD_BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+# Stands at both ends of every run of word characters; where a text has it itself, it is another private character.
+_MARK, _UNMARKED = "\ue000", "\ue001"
+
+
+def _folds() -> tuple[str, str]:
+    """Lower-case characters that are the same but for case as another one, and that one."""
+
+    def turned(c: str, by) -> str:
+        return by(c) if len(by(c)) == 1 else c
+
+    pairs = [(c, turned(turned(c, str.upper), str.lower)) for c in map(chr, range(0x20000)) if c.lower() == c]
+    return "".join(a for a, b in pairs if a != b), "".join(b for a, b in pairs if a != b)
+
+
+_FOLDED, _FOLDS = _folds()
 
 
 def text_or_empty(c: Column) -> Column:
@@ -177,22 +194,84 @@ def contains_keyword(text: Column, keyword: Column) -> Column:
     return (keyword != "") & F.contains(F.lower(text), F.lower(keyword))
 
 
-def has_whole_word(text: Column, indicators: Column) -> Column:
-    """Some indicator occurs as a whole word, ignoring case.
+def folded(text: Column) -> Column:
+    """Texts that are equal but for case, one character for one, become equal."""
+
+    def turned(low: Column) -> Column:
+        rare = reduce(Column.__or__, [F.contains(low, F.lit(c)) for c in _FOLDED])
+        return F.when(rare, F.translate(low, _FOLDED, _FOLDS)).otherwise(low)
+
+    # a lambda's argument is evaluated once, not once for each use
+    return F.get(F.transform(F.array(F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))), turned), F.lit(0))
+
+
+def _marked(low: Column) -> Column:
+    """A folded text with a mark at every boundary between word characters and others."""
+    own = F.replace(low, F.lit(_MARK), F.lit(_UNMARKED))
+    return F.regexp_replace(own, F.lit(f"{_WORD}+"), F.lit(f"{_MARK}$0{_MARK}"))
 
-    No list, or an empty one, lets everything pass; a list with only blank entries lets nothing pass.
-    The word boundary is spelled out because Java's ``\\b`` counts other characters as word characters.
+
+# Where a mark stands for a word: what must be beside it, by whether the word begins and ends with a word character. Beside
+# another mark is the end or the beginning of the same word.
+_WITH_MARK = f"[{_WORD[1:-1]}{_MARK}]"
+_ALONE = {
+    (True, True): (f"(?<!{_WITH_MARK}{_MARK})", f"(?!{_WITH_MARK})"),
+    (True, False): (f"(?<!{_WORD}{_MARK})", f"(?={_WITH_MARK})"),
+    (False, True): (f"(?<={_WITH_MARK}{_MARK})", f"(?!{_WORD})"),
+    (False, False): (f"(?<={_WORD}{_MARK})", f"(?={_WORD})"),
+}
+
+
+def _stands_alone(low: Column, word: Column) -> Column:
+    """Whether a folded word is somewhere in a folded text between boundaries.
+
+    Its places are replaced by a mark, and a constant pattern looks beside the marks. Where a word may overlap itself, a place can be
+    missed; then the boundaries of both are marked, and the word with a mark at either end is a plain
+    substring: a boundary inside it is one in the text as well.
     """
+    begins, ends = (F.rlike(c, F.lit(_WORD)) for c in (F.substring(word, 1, 1), F.right(word, F.lit(1))))
+
+    def beside(replaced: Column) -> Column:
+        tests = {k: F.rlike(replaced, F.lit(f"{_MARK}{left}{right}")) for k, (left, right) in _ALONE.items()}
+        return F.when(begins & ends, tests[True, True]).when(begins, tests[True, False]).when(ends, tests[False, True]).otherwise(
+            tests[False, False]
+        )
 
-    def found(word: Column) -> Column:
-        w = strip(text_or_empty(word))
-        quoted = F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        # look for the word before its boundary: most positions fail on the first letter
-        ahead = F.concat(F.lit("(?iu)(?="), quoted, F.lit(")" + _WORD_BOUNDARY))
-        regex = F.concat(ahead, quoted, F.lit(_WORD_BOUNDARY))
-        return (w != "") & F.rlike(text_or_empty(text), regex)
+    own = F.replace(low, F.lit(_MARK), F.lit(_UNMARKED))
+    plain = F.replace(word, F.lit(_MARK), F.lit(_UNMARKED))
+    found = F.exists(F.array(F.replace(own, plain, F.lit(_MARK))), beside)
+    n = F.char_length(word)
+    overlaps = F.when(n > 1, F.exists(F.sequence(F.lit(1), n - 1), lambda i: F.left(word, i) == F.right(word, i))).otherwise(False)
+    inside = F.regexp_replace(_marked(word), F.lit(f"^{_MARK}|{_MARK}$"), F.lit(""))
+    anywhere = F.contains(_marked(low), F.concat(F.lit(_MARK), inside, F.lit(_MARK)))
+    return F.contains(low, word) & (found | (overlaps & anywhere))
 
-    return F.coalesce(F.size(indicators) <= 0, F.lit(True)) | F.coalesce(F.exists(indicators, found), F.lit(False))
+
+def words_of(low: Column) -> Column:
+    """The distinct words of a folded text, each between marks."""
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(f"{_WORD}+"), F.lit(0)))
+    return F.concat(F.lit(_MARK), F.array_join(found, _MARK), F.lit(_MARK))
+
+
+def has_whole_word(text: Column, indicators: Column, words: Column | None = None) -> Column:
+    """Some indicator occurs as a whole word, ignoring case.
+
+    No list, or an empty one, lets everything pass; a list with only blank entries lets nothing pass. Every pattern that is used is a
+    constant. Where one text meets many lists, pass it ``folded``, and its ``words_of``: an indicator of one word is looked
+    up there, and only others are looked for in the text.
+    """
+    wanted = F.transform(indicators, lambda w: folded(strip(text_or_empty(w))))
+    if words is None:
+        # a lambda's argument is evaluated once, not once for each indicator
+        low = F.array(folded(text_or_empty(text)))
+        found = F.exists(low, lambda t: F.exists(wanted, lambda w: (w != "") & _stands_alone(t, w)))
+    else:
+        one_word = lambda w: F.rlike(w, F.lit(f"^{_WORD}+$"))
+        found = F.exists(
+            wanted,
+            lambda w: (w != "") & F.when(one_word(w), F.contains(words, F.concat(F.lit(_MARK), w, F.lit(_MARK)))).otherwise(_stands_alone(text_or_empty(text), w)),
+        )
+    return F.coalesce(F.size(indicators) <= 0, F.lit(True)) | F.coalesce(found, F.lit(False))
 
 
 def keyword_reason(words: Column) -> Column:

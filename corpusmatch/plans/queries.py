@@ -94,15 +94,19 @@ def keyword_contains(c: Corpus) -> DataFrame:
 @query
 def wholeword_gate(c: Corpus) -> DataFrame:
     text = tx.keyword_text(F.col("name"), F.col("docstring"))
-    pairs = keyword_pairs(c.doc_symbols().drop("embedding"), c.item_patterns(), text)
+    # each text is folded and taken apart once, however many patterns it meets
+    checked = tx.folded(tx.gate_text(F.col("name"), F.col("docstring"), F.col("source")))
+    symbols = c.doc_symbols().select("symbol_id", "name", "docstring", checked.alias("checked"))
+    symbols = symbols.withColumn("own_words", tx.words_of(F.col("checked")))
+    pairs = keyword_pairs(symbols, c.item_patterns(), text).select("pattern_id", "symbol_id", "checked", "own_words")
     gated = pairs.join(c.item_patterns().select("pattern_id", "indicators"), "pattern_id")
-    checked = tx.gate_text(F.col("name"), F.col("docstring"), F.col("source"))
+    checked, words = F.col("checked"), F.col("own_words")
     return gated.select(
         "pattern_id",
         "symbol_id",
-        tx.has_whole_word(checked, F.col("indicators")).alias("passes"),
-        tx.has_whole_word(checked, F.array().cast("array<string>")).alias("passes_empty"),
-        tx.has_whole_word(checked, F.array(F.lit(" "))).alias("passes_blank"),
+        tx.has_whole_word(checked, F.col("indicators"), words).alias("passes"),
+        tx.has_whole_word(checked, F.array().cast("array<string>"), words).alias("passes_empty"),
+        tx.has_whole_word(checked, F.array(F.lit(" ")), words).alias("passes_blank"),
     )
 
 

@@ -47,7 +47,13 @@ def _reference_gate(text, indicators):
 def test_whole_word_agrees_with_the_definition(spark):
     rows = [(t, [w]) for t in TEXTS for w in WORDS] + [(t, []) for t in TEXTS] + [(t, None) for t in TEXTS]
     rows += [(t, ["nothing", "tool"]) for t in TEXTS] + [(t, [" ", None]) for t in TEXTS]
-    got = _evaluate(spark, rows, "t string, w array<string>", tx.has_whole_word(F.col("t"), F.col("w")))
+    # the first place has no boundary but a later one has, also where places overlap; marks in the text; case folds
+    more = ["toolbox tool", "xa a a", "a a a", "aa.aa.aa", "x.a.b.a", "\ue000tool", "too\ue000l", "ΟΔΟΣ οδος", "ſtar", "µm", "İx ıx"]
+    rows += [(t, [w]) for t in more for w in ["tool", "a a", "aa.aa", ".a.b", "a.b.a", "οδοσ", "ΟΔΟΣ", "star", "μM", "l"]]
+    whole = tx.has_whole_word(F.col("t"), F.col("w"))
+    got = _evaluate(spark, rows, "t string, w array<string>", whole)
+    assert [g for (g,) in got] == [_reference_gate(*r) for r in rows]
+    got = _evaluate(spark, rows, "t string, w array<string>", tx.has_whole_word(tx.folded(F.col("t")), F.col("w"), tx.words_of(tx.folded(F.col("t")))))
     assert [g for (g,) in got] == [_reference_gate(*r) for r in rows]
 
 
