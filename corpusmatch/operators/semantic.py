@@ -187,6 +187,12 @@ def _winners(
     return reduce(DataFrame.unionByName, best), size
 
 
+def _winner_bytes(patterns: DataFrame, topk: int, carried: Column) -> int:
+    """What ``topk`` winners of each pattern weigh at most, with ``carried`` bytes more each."""
+    one = topk * (WINNER_BYTES + 4 * F.char_length(F.coalesce("name", F.lit(""))) + carried)
+    return patterns.agg(F.sum(one)).first()[0] or 0
+
+
 def semantic_topk(
     symbols: DataFrame,
     patterns: DataFrame,
@@ -211,6 +217,7 @@ def semantic_match(
     max_block_bytes: int = MAX_BLOCK_BYTES,
     vectors: DataFrame | None = None,
     snippet_chars: int | None = None,
+    winners: DataFrame | None = None,
 ) -> DataFrame:
     """Semantic hits: threshold, top-k, then the whole-word gate; so a pattern may end with fewer than ``topk``.
 
@@ -218,11 +225,15 @@ def semantic_match(
     a bound on what they weigh with their indicators they are broadcast, and the symbol texts are scanned in
     place and not shuffled. Joining on ``repo_id`` as well lets that scan skip the partitions of
     repositories without a winner. Only the first ``snippet_chars`` of a text are its snippet. ``vectors`` is a table of the symbols' vectors, where they are kept apart.
+    ``winners`` are the rows of ``semantic_topk``, where they are known already.
     """
     vectors = symbols if vectors is None else vectors
     texts = symbols.select("repo_id", "symbol_id", "name", "docstring", "source")
     carried = F.coalesce(F.octet_length(F.array_join("indicators", "")) + 32 * F.size("indicators"), F.lit(0))
-    best, size = _winners(vectors, patterns, topk, min_cos, max_block_bytes, carried)
+    if winners is None:
+        best, size = _winners(vectors, patterns, topk, min_cos, max_block_bytes, carried)
+    else:
+        best, size = winners, _winner_bytes(patterns, topk, carried)
     wanted = best.join(patterns.select("pattern_id", "indicators"), "pattern_id")
     passes = tx.has_whole_word(
         tx.gate_text(F.col("name"), F.col("docstring"), F.col("source")), F.col("indicators")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from corpusmatch import schemas
 from corpusmatch.functions import text as tx
@@ -16,11 +17,12 @@ from corpusmatch.operators.keyword import keyword_scan
 from corpusmatch.operators.semantic import semantic_match
 from corpusmatch.operators.skew import keep_first
 from corpusmatch.operators.storage import staging, written
+from corpusmatch.operators import standing
 from corpusmatch.operators.upserts import upsert_patterns, upsert_repos
 from corpusmatch.sources.catalog import embed_catalog, load_patterns
 from corpusmatch.sources.files import index_files, read_tree
 from corpusmatch.sources.lines import collect_urls
-from corpusmatch.sources.tables import Tables
+from corpusmatch.sources.tables import Tables, bucket_of
 
 CACHE_BUCKETS = 256
 
@@ -55,14 +57,25 @@ class Store(Tables):
     def extract_errors(self) -> DataFrame:
         return errors_of(self.read("files", schemas.INDEXED_FILES))
 
-    def symbols(self) -> DataFrame:
-        return self.read("symbols", schemas.SYMBOLS)
+    def symbols(self, repos: DataFrame | None = None) -> DataFrame:
+        return self._of("symbols", schemas.SYMBOLS, repos)
 
-    def vectors(self) -> DataFrame:
-        return self.read("symbol_vectors", schemas.SYMBOL_VECTORS)
+    def vectors(self, repos: DataFrame | None = None) -> DataFrame:
+        return self._of("symbol_vectors", schemas.SYMBOL_VECTORS, repos)
 
-    def hits(self) -> DataFrame:
-        return self.read("pattern_hits", schemas.HITS)
+    def hits(self, repos: DataFrame | None = None) -> DataFrame:
+        return self._of("pattern_hits", schemas.HITS, repos)
+
+    def _of(self, name: str, schema: StructType, repos: DataFrame | None) -> DataFrame:
+        """A table by repository; only the buckets and rows of ``repos``, where they are given."""
+        if repos is None:
+            return self.read(name, schema)
+        ids = repos.select("repo_id").distinct()
+        buckets = [r["b"] for r in ids.select(bucket_of(F.col("repo_id"), self.buckets).alias("b")).distinct().collect()]
+        return self.read(name, schema, buckets).join(ids, "repo_id", "left_semi")
+
+    def standing(self) -> standing.Standing:
+        return standing.Standing(self.read("reserve", schemas.RESERVE), self.read("floors", schemas.FLOORS))
 
     def hits_enriched(self) -> DataFrame:
         return enrich_hits(self.hits(), self.repos())
@@ -150,11 +163,73 @@ def match(
     The hits depend on the stored tables only, not on the order in which repositories came in: the
     semantic top k is always taken over all vectors. Given the repositories in ``changed``, only their texts are
     scanned for keywords if the catalogue is still the one that the stored hits were made with; the keyword hits of
-    the others cannot differ then. With ``accumulate`` all stored hits of the others stay and win over new ones with the same key.
+    the others cannot differ then. Only their vectors are scored (``operators.standing``), and only repositories with other
+    winners than before have their hits written again. With ``accumulate`` all stored hits of the others stay and win over
+    new ones with the same key.
     """
     symbols, patterns = store.symbols(), store.patterns()
-    digest = catalog_digest(patterns)
+    digest, setting = catalog_digest(patterns), f"{topk} {min_cos!r} {limits.snippet_chars}"
     same = changed is not None and store.note("hits_catalog") == digest
+    before = store.standing() if changed is not None and store.note("standing") == setting else None
+    if before is None:
+        state = standing.build(store.vectors(), patterns, topk, min_cos, topk, folder)
+    else:
+        batch = changed.select("repo_id").distinct()
+        state, _ = standing.replace(
+            before, batch, store.vectors(batch), store.vectors(), patterns, topk, min_cos, topk, folder
+        )
+    best = written(state.best(topk), "best", folder)
+    with store.change():
+        # hits that a batch has accumulated are no function of the stored tables: they go as a whole
+        if same and before is not None and not accumulate and store.note("hits_are") == "computed":
+            _match_affected(store, patterns, batch, written(before.best(topk), "best_before", folder), best, topk, folder, limits)
+        else:
+            _match_all(store, symbols, patterns, best, topk, changed, same, accumulate, folder, limits)
+        store.overwrite("reserve", state.reserve, schemas.RESERVE)
+        store.overwrite("floors", state.floors, schemas.FLOORS)
+        store.set_note("hits_catalog", digest)
+        store.set_note("standing", setting)
+        store.set_note("hits_are", "accumulated" if accumulate else "computed")
+
+
+def _match_affected(
+    store: Store,
+    patterns: DataFrame,
+    batch: DataFrame,
+    before: DataFrame,
+    best: DataFrame,
+    topk: int,
+    folder: str | None,
+    limits: Limits,
+) -> None:
+    """Hits of the repositories in ``batch`` and of those whose winners have changed; the others' stay as they are."""
+    moved = before.subtract(best.select(*before.columns)).unionByName(best.select(*before.columns).subtract(before))
+    affected = written(batch.unionByName(moved.select("repo_id")).distinct(), "affected", folder)
+    symbols = store.symbols(affected)
+    stored = backfill_hash(store.hits(affected)).join(batch, "repo_id", "left_anti").filter(F.col("match_kind") == "keyword")
+    stored = written(schemas.conform(stored, schemas.HITS), "kept_hits", folder)
+    semantic = semantic_match(
+        symbols, patterns, topk, snippet_chars=limits.snippet_chars, winners=best.join(affected, "repo_id", "left_semi")
+    )
+    new = insert_ignore(None, keyword_scan(store.symbols(batch), patterns), semantic)
+    new = new.join(stored.select(*HIT_KEY).distinct(), HIT_KEY, "left_anti")
+    hits = schemas.conform(attach_snippets(new, symbols, limits.snippet_chars), schemas.HITS)
+    store.replace("pattern_hits", hits.unionByName(stored), affected, schemas.HITS, "repo_id")
+
+
+def _match_all(
+    store: Store,
+    symbols: DataFrame,
+    patterns: DataFrame,
+    best: DataFrame,
+    topk: int,
+    changed: DataFrame | None,
+    same: bool,
+    accumulate: bool,
+    folder: str | None,
+    limits: Limits,
+) -> None:
+    """All hits of the store."""
     existing, scanned = None, symbols
     if changed is not None and (same or accumulate):
         batch = changed.select("repo_id").distinct()
@@ -163,16 +238,12 @@ def match(
         existing = written(schemas.conform(kept, schemas.HITS), "kept_hits", folder)
         scanned = symbols.join(batch, "repo_id", "left_semi") if same else symbols
     keyword = keyword_scan(scanned, patterns)
-    semantic = semantic_match(
-        symbols, patterns, topk, min_cos, vectors=store.vectors(), snippet_chars=limits.snippet_chars
-    )
+    semantic = semantic_match(symbols, patterns, topk, snippet_chars=limits.snippet_chars, winners=best)
     new = insert_ignore(None, keyword, semantic)
     if existing is not None:
         new = new.join(existing.select(*HIT_KEY).distinct(), HIT_KEY, "left_anti")
     hits = schemas.conform(attach_snippets(new, symbols, limits.snippet_chars), schemas.HITS)
-    with store.change():
-        store.overwrite("pattern_hits", hits if existing is None else hits.unionByName(existing), schemas.HITS, "repo_id")
-        store.set_note("hits_catalog", digest)
+    store.overwrite("pattern_hits", hits if existing is None else hits.unionByName(existing), schemas.HITS, "repo_id")
 
 
 def upkeep(store: Store) -> None:

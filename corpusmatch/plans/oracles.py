@@ -375,3 +375,5 @@ FROM best
 WHERE rn <= 50 AND {_whole_word("name || ' ' || coalesce(docstring, '') || ' ' || source", "indicators")}
 QUALIFY row_number() OVER (PARTITION BY pattern_id, sha256(left(source, 8000)), repo_id ORDER BY score DESC, symbol_id) = 1""",
 }
+
+ORACLES["semantic_standing"] = ORACLES["semantic_topk"]

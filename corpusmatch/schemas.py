@@ -9,6 +9,7 @@ from pyspark.sql.types import (
     DoubleType,
     FloatType,
     IntegerType,
+    LongType,
     StringType,
     StructField,
     StructType,
@@ -73,6 +74,9 @@ HITS = table(
     code_snippet=_STRING,
     snippet_hash=_STRING,
 )
+# The kept best rows of each pattern, and from where on rows were left out.
+RESERVE = table(pattern_id=_STRING, pattern_name=_STRING, symbol_id=_STRING, repo_id=_STRING, score=_DOUBLE)
+FLOORS = table(pattern_id=_STRING, signature=LongType(), floor_score=_DOUBLE, floor_symbol=_STRING)
 CACHE = table(text_hash=_STRING, embedding=VECTOR)
 # The cache as it is stored: with the name of the encoder that made the vector.
 STORED_CACHE = StructType([*CACHE.fields, StructField("encoder", _STRING)])
