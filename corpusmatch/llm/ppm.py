@@ -2,8 +2,8 @@
 
 A text is its bytes with A-Z in lower case, then one end symbol; in front of it stand ``order`` start symbols,
 which are context and never predicted. The trie of contexts is a table of counts by context and next symbol,
-from order 0 to ``order``. A context predicts a seen symbol with ``c / (N + T)`` (N occurrences, T different
-symbols) and escapes to the next shorter one with ``T / (N + T)``; there the symbols of the longer context are
+from order 0 to ``order``. A context predicts a seen symbol with ``(c - 0.5) / N`` (N occurrences, T different
+symbols) and escapes to the next shorter one with ``T / 2N``; there the symbols of the longer context are
 excluded from N and T. Below order 0 the symbols never seen share what is left evenly. A context that was
 never seen costs nothing.
 
