@@ -87,7 +87,8 @@ def op7_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_minimum_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = mincut.extract(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    texts = mincut.extract(pages, weights=mincut.learn(pages))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

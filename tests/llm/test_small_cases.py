@@ -1,8 +1,10 @@
 """Nulls, empty and odd texts, ties, repeated rows, empty tables and clashing columns, against brute force."""
 
+import html
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -501,12 +503,66 @@ def test_main_text():
     assert mincut.main_text(None) == mincut.main_text("") == mincut.main_text("<!-- x") == mincut.main_text("<p") == ""
 
 
+def test_markup_that_never_ends():
+    assert mincut.main_text('<article><p><a title="foo>link</a> and prose.</p></article>') == "link and prose."
+    assert mincut.main_text("<article><p title=don't>It isn't.</p><p a = '>' b>Two.</p></ ></article>") == "It isn't.\n\nTwo."
+    assert mincut.main_text("<article><p>One.</p><!-- <p>two</p>") == "One."
+
+
+def test_the_cut_moves_blocks_that_their_text_alone_would_misplace():
+    """Short lines and links in an article stay, prose in an advert goes; without any names the neighbours decide."""
+    prose = "<p>This is a sentence that is long enough to be taken for prose, as it goes on and on and then it ends.</p>"
+    page = f"<article>{prose}<p>No</p><p><a href=x>a link of some length</a></p>{prose}</article><div class=ad>{prose}</div>"
+    found = mincut.blocks(page)
+    alone = [c > 0 for c in mincut.costs(found)]
+    assert alone == [True, False, False, True, True]
+    assert mincut.cut(*mincut.graph(found))[:5] == [True, True, True, True, False]
+    bare = f"<div>{prose * 3}<p>A line that is no sentence by itself</p>{prose * 3}</div><div>" + "<p><a href=x>go</a></p>" * 4 + "</div>"
+    found = mincut.blocks(bare)
+    assert [c > 0 for c in mincut.costs(found)][3] is False
+    assert mincut.cut(*mincut.graph(found))[: len(found)] == [True] * 7 + [False] * 4
+
+
+def test_long_and_deep_pages():
+    sentence = "This is a sentence that is long enough to be taken for prose."
+    flat = "<article>" + f"<p>{sentence}</p><p><a href=x>go</a></p>" * 30_000 + "</article>"
+    deep = "<div>" * 50_000 + f"<p>{sentence}</p>"
+    mixed = "".join(f"<div>{sentence if i % 3 else 'go'}" for i in range(50_000))
+    begin = time.perf_counter()
+    assert mincut.main_text(flat).count("\n\n") == 59_999
+    assert mincut.main_text(deep) in ("", sentence)
+    assert sentence in mincut.main_text(mixed)
+    assert time.perf_counter() - begin < 60
+
+
+def test_weights_are_learned_from_marked_blocks(spark):
+    line = "<li><a href=x>A menu entry with many words that looks like a sentence, and is one.</a></li>"
+    pages = [(i, "u", f"<nav>{line * 3}</nav><article><p>short</p><p>Tiny</p></article>", "x") for i in range(20)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, text string").repartition(3)
+    weights = mincut.learn(frame)
+    assert weights == mincut.learn(frame.repartition(2)) and weights != mincut.PRIOR
+    assert weights[0] > 0 > weights[7]
+    assert mincut.learn(frame.limit(0)) == mincut.PRIOR
+    assert mincut.fit({(1, True): 5}) == mincut.PRIOR
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "<p>", "y")]
     got = mincut.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert Counter((r["page_id"], r["text"]) for r in got) == Counter((p, mincut.main_text(h)) for p, _, h, _ in rows)
 
 
+def test_labels_of_whole_pages(spark, sf_dir):
+    """Against the text of <article> without adverts, taken by an own, plain rule from these tables."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        inside = re.search(r"<article\b[^>]*>(.*)</article>", r["html"] or "", re.S)
+        got = mincut.main_text(r["html"])
+        assert got and not re.search(r"</?(?:p|div|li|nav|article|script)\b", got)
+        if inside:
+            plain = re.sub(r"<(script|style)\b.*?</\1>|<(\w+) class=\"?ad\b.*?</\2>|<!--.*?-->", "", inside[1], flags=re.S)
+            assert "".join(html.unescape(re.sub(r"<[^>]+>", "", plain)).split()) == "".join(got.split())
+
+
 def test_the_cut_is_the_cheapest_labelling():
     rng = np.random.default_rng(4)
     for _ in range(60):
