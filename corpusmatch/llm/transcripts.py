@@ -8,6 +8,8 @@ probabilities are counted, with a constant added, over transcripts whose turns a
 Spark and its result a table of fixed size. Viterbi gives the most probable states of a new transcript; lines of
 one turn are joined, markers taken off, and turns written as ``<|role|>`` line, text and ``<|end|>`` line.
 
+A turn of any role but system, user and assistant (tool, function, unknown, null) is a turn of the role ``other``.
+
 A marker outweighs the rest by far but does not decide alone: a known word before a colon in the middle of a
 turn stays text where the model finds that likelier.
 
@@ -27,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-ROLES = ("system", "user", "assistant")
+ROLES = ("system", "user", "assistant", "other")
 # Names that speakers go by.
 NAMES = {
     "system": "system", "instructions": "system", "context": "system",
     "user": "user", "human": "user", "q": "user", "question": "user", "customer": "user", "me": "user", "prompt": "user",
     "assistant": "assistant", "ai": "assistant", "bot": "assistant", "a": "assistant", "answer": "assistant",
     "agent": "assistant", "model": "assistant", "gpt": "assistant", "response": "assistant",
+    "tool": "other", "function": "other",
 }
 _MARKER = re.compile(
     r"\s*(?:#{1,6}\s*|[*_]{1,2}|\[|<\|?|>\s*)?(" + "|".join(sorted(NAMES, key=len, reverse=True)) + r")"
@@ -203,29 +206,30 @@ def transcripts(conversations: DataFrame, block: int = 256) -> DataFrame:
     """Plain transcripts of a table of turns: ``conv_id, block, text, turns``.
 
     Each conversation writes its markers in one of several styles, and drops some: by its number and the turn's.
-    A turn whose role is none of the known ones is left out. So that no task holds an endless conversation, a
+    A turn whose role is none of the known ones is one of ``other``. So that no task holds an endless conversation, a
     transcript has the turns of one block of turn numbers.
     """
     conv = F.coalesce(F.col("conv_id").cast("long"), F.lit(0))
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(0))
-    role = F.lower(F.trim("role"))
+    given = F.lower(F.trim("role"))
+    role = F.when(given.isin(*ROLES), given).otherwise("other")
 
-    def styled(system: str, user: str, assistant: str) -> Column:
-        return F.when(role == "system", system).when(role == "user", user).otherwise(assistant)
+    def styled(*marks: str) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in zip(ROLES, marks) for x in pair]), role)
 
     style = F.pmod(conv, F.lit(4))
     mark = (
-        F.when(style == 0, styled("System: ", "User: ", "Assistant: "))
-        .when(style == 1, styled("### Instructions\n", "### Human\n", "### Assistant\n"))
-        .when(style == 2, styled("[system] ", "Q: ", "A: "))
-        .otherwise(styled("**Context:** ", "**Customer:** ", "**Agent:** "))
+        F.when(style == 0, styled("System: ", "User: ", "Assistant: ", "Tool: "))
+        .when(style == 1, styled("### Instructions\n", "### Human\n", "### Assistant\n", "### Tool\n"))
+        .when(style == 2, styled("[system] ", "Q: ", "A: ", "[tool] "))
+        .otherwise(styled("**Context:** ", "**Customer:** ", "**Agent:** ", "**Function:** "))
     )
     # a marker is left out now and then, and an empty line parts the turns instead
     drops = F.pmod(F.xxhash64(conv, turn), F.lit(6)) == 0
     told = F.concat(
         F.when(drops, "\n").otherwise(mark), F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
     )
-    rows = conversations.filter(role.isin(*ROLES)).select(
+    rows = conversations.select(
         "conv_id",
         F.floor(turn / block).alias("block"),
         F.struct(turn.alias("turn"), told.alias("text"), role.alias("role")).alias("t"),

@@ -402,12 +402,28 @@ def test_transcripts(spark):
     assert transcripts.parse(told.limit(0), model).count() == 0
 
 
+def test_turns_of_other_roles_stay(spark):
+    roles = ("user", "tool", "assistant", "Function", None)
+    turns = [(c, t, roles[t % 5], f"Line {t} of {c}, which ends here.") for c in range(80) for t in range(5)]
+    turns += [(200, 0, "tool", "alone"), (201, 0, None, None)]
+    told = transcripts.transcripts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    known = {r["conv_id"]: [k["role"] for k in r["known"]] for r in told.collect()}
+    assert len(known) == 82 and known[200] == known[201] == ["other"]
+    assert known[0] == ["user", "other", "assistant", "other", "other"]
+    model = transcripts.learn(told, "known")
+    got = {r["conv_id"]: r for r in transcripts.parse(told, model).collect()}
+    assert len(got) == 82
+    assert sum([t["role"] for t in got[c]["turns"]] == known[c] for c in range(80)) >= 72
+    for c, t, _, text in turns[:400]:
+        assert text in got[c]["rendered"]
+
+
 def test_viterbi_finds_the_best_path():
-    rng = np.random.default_rng(2)
-    counts = {("show", s, x): int(rng.integers(1, 50)) for s in range(6) for x in range(transcripts.OBSERVATIONS)}
-    counts |= {("move", s, t): int(rng.integers(1, 50)) for s in range(6) for t in range(6)}
+    rng, states = np.random.default_rng(2), len(transcripts.STATES)
+    counts = {("show", s, x): int(rng.integers(1, 50)) for s in range(states) for x in range(transcripts.OBSERVATIONS)}
+    counts |= {("move", s, t): int(rng.integers(1, 50)) for s in range(states) for t in range(states)}
     model = transcripts.Model.of(counts)
-    shown = rng.integers(0, transcripts.OBSERVATIONS, 5).tolist()
+    shown = rng.integers(0, transcripts.OBSERVATIONS, 4).tolist()
 
     def score(path):
         out = model.start[path[0]] + model.show[path[0], shown[0]]
@@ -415,7 +431,7 @@ def test_viterbi_finds_the_best_path():
             out += model.move[a, b] + model.show[b, x]
         return out
 
-    every = [p for p in np.ndindex(*[6] * 5)]
+    every = [p for p in np.ndindex(*[states] * 4)]
     best = max(every, key=score)
     assert score(model.viterbi(shown)) == pytest.approx(score(best))
 
