@@ -25,6 +25,10 @@ from corpusmatch.sources.lines import collect_urls
 from corpusmatch.sources.tables import Tables, bucket_of
 
 CACHE_BUCKETS = 256
+# Goes up when extraction gives other symbols for the same bytes; files are parsed again then.
+EXTRACTION = "1"
+# Files (two digests each) that are sent to all tasks to tell which have changed; more are joined by key.
+SENT_FILES = 200_000
 
 
 @dataclass(frozen=True)
@@ -124,14 +128,30 @@ def index_repositories(
     """Replace files, symbols and vectors of the repositories in ``repos`` by what ``contents`` holds.
 
     ``contents`` is (repo_id, path, rel_path, lang, content) with an optional ``read_error``. It is read
-    once: what extraction made of it is written and serves all tables.
+    once: what extraction made of it is written and serves all tables. A file that is stored with the same checksum
+    and language is not parsed again; it keeps its symbols. One that could not be extracted is tried again.
     """
     if "read_error" not in contents.columns:
         contents = contents.withColumn("read_error", F.lit(None).cast("string"))
-    indexed = extract(index_files(contents)).withColumn("error", F.coalesce("read_error", "error"))
+    known = _known_files(store, repos)
+    files = index_files(contents)
+    if known is None:
+        files = files.withColumn("unchanged", F.lit(False))
+    else:
+        files = files.join(known, ["file_id", "sha256", "lang"], "left")
+        files = files.withColumn("unchanged", F.col("unchanged").isNotNull())
+        # without its text a file goes through extraction untouched
+        files = files.withColumn("text", F.when(~F.col("unchanged"), F.col("text")))
+    indexed = extract(files).withColumn("error", F.coalesce("read_error", "error"))
+    indexed = indexed.withColumn("extraction", F.lit(EXTRACTION))
     extracted = written(indexed, "extracted", folder)
-    store.replace("files", extracted, repos, schemas.INDEXED_FILES, "repo_id")
     symbols = schemas.conform(symbols_of(extracted), schemas.SYMBOLS)
+    if known is not None:
+        again = store.symbols(repos).join(extracted.filter("unchanged").select("file_id"), "file_id")
+        symbols = symbols.unionByName(schemas.conform(again, schemas.SYMBOLS))
+        # the stored table that it comes from is replaced next
+        symbols = written(symbols, "symbols", folder)
+    store.replace("files", extracted, repos, schemas.INDEXED_FILES, "repo_id")
     store.replace("symbols", symbols, repos, schemas.SYMBOLS, "repo_id")
 
     name = encoder_name(encoder)
@@ -142,6 +162,22 @@ def index_repositories(
     store.append("embeddings_cache", fresh.withColumn("encoder", F.lit(name)), schemas.STORED_CACHE, _cache_bucket())
 
 
+def _known_files(store: Store, repos: DataFrame) -> DataFrame | None:
+    """``file_id, sha256, lang, unchanged`` of the stored files of ``repos`` that this extraction had no error with."""
+    rows = store._of("files", schemas.INDEXED_FILES, repos).filter(F.col("extraction") == EXTRACTION)
+    once = rows.groupBy("file_id").agg(
+        F.min("sha256").alias("sha256"),
+        F.min("lang").alias("lang"),
+        (F.count(F.lit(1)) == 1).alias("unchanged"),
+        F.max("error").alias("error"),
+    )
+    once = once.filter(F.col("unchanged") & F.col("error").isNull() & F.col("sha256").isNotNull()).drop("error")
+    found = once.limit(SENT_FILES + 1).count()
+    if not found:
+        return None
+    return F.broadcast(once) if found <= SENT_FILES else once
+
+
 def catalog_digest(patterns: DataFrame) -> str:
     """Changes with what a keyword scan depends on: ids, names and indicators of the patterns."""
     row = F.xxhash64("pattern_id", "name", F.to_json("indicators")).cast("decimal(38,0)")

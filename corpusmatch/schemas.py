@@ -43,8 +43,8 @@ SYMBOLS = table(
     source=_STRING,
     embedding=VECTOR,
 )
-# Files as they are stored: with what went wrong while their symbols were extracted.
-INDEXED_FILES = StructType([*FILES.fields, StructField("error", _STRING)])
+# Files as they are stored: with what went wrong while their symbols were extracted, and by which extraction.
+INDEXED_FILES = StructType([*FILES.fields, StructField("error", _STRING), StructField("extraction", _STRING)])
 # The vectors of the symbols on their own: scoring reads nothing else of a symbol.
 SYMBOL_VECTORS = table(symbol_id=_STRING, repo_id=_STRING, text_hash=_STRING, embedding=VECTOR)
 PATTERNS = table(

@@ -1,10 +1,11 @@
 """The whole way from folders to hits, and what running it again does."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmatch.operators.embed import embed_incremental, hashed_bag_of_words, update_embeddings
 from corpusmatch.plans import ingest as plan
-from corpusmatch.schemas import HITS, PATTERNS, STORED_CACHE, conform
+from corpusmatch.schemas import HITS, PATTERNS, STORED_CACHE, SYMBOLS, conform
 
 BODY = "plan the work, call a tool, observe what it returned, then plan again until the goal is reached; " * 2
 
@@ -57,6 +58,50 @@ def test_run_and_run_again(spark, setting):
     assert store.repos().count() == 2 and store.patterns().count() == 2
 
 
+def test_unchanged_files_are_not_parsed_again(spark, setting, monkeypatch):
+    """Stored symbols are marked: those of unchanged files keep the mark, the others are made anew."""
+    tmp_path, repos, store = setting
+    encoder = hashed_bag_of_words()
+    plan.run(spark, store.path, repos, encoder, f"{tmp_path}/catalog.csv", min_cos=0.3)
+
+    def mark():
+        store.overwrite("symbols", store.symbols().withColumn("signature", F.lit("marked")), SYMBOLS, "repo_id")
+
+    def marked():
+        paths = store.symbols().join(store.files().select("file_id", "rel_path"), "file_id")
+        return {(r["rel_path"], r["signature"] == "marked") for r in paths.collect()}
+
+    mark()
+    everything = [("agent.py", True), ("README.md", True), ("copy/agent.py", True), ("notes.txt", True)]
+    plan.ingest(store, repos, encoder, min_cos=0.3)
+    assert marked() == set(everything)
+    assert [r["rel_path"] for r in store.extract_errors().collect()] == ["bad.py"]
+
+    # a changed file, one that is gone, one that is new, one that has moved and one that can be parsed now
+    (tmp_path / "one" / "agent.py").write_text(AGENT + "\ndef other():\n    return 2\n")
+    (tmp_path / "one" / "README.md").rename(tmp_path / "one" / "moved.md")
+    (tmp_path / "two" / "notes.txt").unlink()
+    _write(tmp_path / "one", {"new.py": AGENT, "bad.py": "def good():\n    return 1\n"})
+    monkeypatch.setattr(plan, "SENT_FILES", 0)
+    plan.ingest(store, repos, encoder, min_cos=0.3)
+    new = {(p, False) for p in ("agent.py", "moved.md", "new.py", "bad.py")}
+    assert marked() == new | {("copy/agent.py", True)}
+    assert store.extract_errors().count() == 0
+
+    # equal to a store that is made from nothing, once the mark is gone
+    whole = plan.Store(spark, f"{tmp_path}/whole")
+    plan.run(spark, whole.path, repos, encoder, f"{tmp_path}/catalog.csv", min_cos=0.3)
+    columns = [c for c in store.symbols().columns if c != "signature"]
+    assert sorted(map(str, store.symbols().select(columns).collect())) == sorted(map(str, whole.symbols().select(columns).collect()))
+    assert _hits(store) == _hits(whole)
+
+    # another extraction than the stored one parses everything
+    mark()
+    monkeypatch.setattr(plan, "EXTRACTION", "next")
+    plan.ingest(store, repos, encoder, min_cos=0.3)
+    assert not any(m for _, m in marked())
+
+
 def test_a_repository_is_replaced_as_a_whole(spark, setting):
     tmp_path, repos, store = setting
     encoder = hashed_bag_of_words()
