@@ -377,3 +377,4 @@ QUALIFY row_number() OVER (PARTITION BY pattern_id, sha256(left(source, 8000)),
 }
 
 ORACLES["semantic_standing"] = ORACLES["semantic_topk"]
+ORACLES["catalog_file"] = ORACLES["pattern_catalog"]

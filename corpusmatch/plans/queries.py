@@ -495,6 +495,17 @@ def pattern_catalog(c: Corpus) -> DataFrame:
     return rows.drop("pattern_id", "indicators", "embedding")
 
 
+@query
+def catalog_file(c: Corpus) -> DataFrame:
+    """The same catalogue written as a sheet, its texts cut into lines with quotes, and loaded from there."""
+    path, mark = f"{new_folder(c.spark)}/sheet", F.lit('\n"')
+    sheet = c.sheet().withColumn("Description", F.replace("Description", F.lit(" a"), F.concat(F.lit(" "), mark, F.lit("a"))))
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    sheet.orderBy("item_id").write.options(**options).csv(path)
+    rows = catalog.load_patterns(c.spark, path).drop("pattern_id", "indicators", "embedding")
+    return rows.withColumn("description", F.replace("description", mark, F.lit("")))
+
+
 @query
 def upsert_patterns(c: Corpus) -> DataFrame:
     """The catalogue of the even items, updated by that of all items from the tenth on."""

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from corpusmatch.functions import text as tx
 from corpusmatch.operators.embed import Encoder, embed_texts
 from corpusmatch.operators.upserts import last_per_key
 from corpusmatch.schemas import PATTERNS, conform, key_of
+from corpusmatch.sources.sheets import read_sheet_in_blocks
 
 # Accepted headers (after normalising) and the column each one fills.
 HEADERS = {
@@ -44,12 +45,22 @@ def read_sheet(spark: SparkSession, path: str, sep: str = ",", encoding: str = "
     to the letter gets a suffix and so maps to nothing.
     """
     reader = spark.read.options(sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"')
-    first = reader.csv(path, header=False).first()
+    headers = _headers(reader.csv(path, header=False).first())
+    return reader.csv(path, header=True, enforceSchema=True).toDF(*headers).na.fill("")
+
+
+def read_large_sheet(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """The same by as many tasks as the file has blocks, with ``_row_in_file`` for the order of the rows; UTF-8 only."""
+    reader = spark.read.options(sep=sep, multiLine=True, quote='"', escape='"')
+    return read_sheet_in_blocks(spark, path, _headers(reader.csv(path, header=False).first()), sep)
+
+
+def _headers(first: Row | None) -> list[str]:
     headers: list[str] = []
     for position, value in enumerate(first or []):
         header = (value or "").removeprefix("\ufeff")
         headers.append(f"{header}.{position}" if header in headers else header)
-    return reader.csv(path, header=True, enforceSchema=True).toDF(*headers).na.fill("")
+    return headers
 
 
 def catalog_from_sheet(sheet: DataFrame, pos: str | None = None) -> DataFrame:
@@ -88,5 +99,8 @@ def load_patterns(
     spark: SparkSession, path: str, encoder: Encoder | None = None, sep: str = ",", encoding: str = "utf-8"
 ) -> DataFrame:
     """The catalogue file as the ``patterns`` table, embedded when an encoder is given."""
-    patterns = catalog_from_sheet(read_sheet(spark, path, sep, encoding))
+    if encoding.lower() in ("utf-8", "utf8"):
+        patterns = catalog_from_sheet(read_large_sheet(spark, path, sep), "_row_in_file")
+    else:
+        patterns = catalog_from_sheet(read_sheet(spark, path, sep, encoding))
     return patterns if encoder is None else embed_catalog(patterns, encoder)
