@@ -334,6 +334,9 @@ FROM documents LEFT JOIN texts ON texts.symbol_id = doc_id LEFT JOIN old_cache U
 LEFT JOIN weights ON weights.symbol_id = doc_id""",
     "pattern_catalog": f"""WITH {_sheet("sheet", "true")}
 SELECT *, '' AS solution, '' AS alias, '' AS category, '' AS resources, '' AS ptype, '' AS comments FROM sheet""",
+    "catalog_file": f"""SELECT 'Doc ' || doc_id // 2 AS name, sha256({_strip("coalesce(text, '')")}) AS description_hash, source AS link,
+       doc_id::VARCHAR AS comments
+FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) = 1""",
     "upsert_patterns": f"""WITH {_sheet("old", "item_id % 2 = 0")}, {_sheet("new", "item_id >= 10")}
 SELECT CASE WHEN old.name IS NULL THEN 'new ' || new.name ELSE 'old ' || old.name END AS pattern_id,
        coalesce(new.name, old.name) AS name, coalesce(new.description, old.description) AS description,
@@ -377,4 +380,3 @@ QUALIFY row_number() OVER (PARTITION BY pattern_id, sha256(left(source, 8000)),
 }
 
 ORACLES["semantic_standing"] = ORACLES["semantic_topk"]
-ORACLES["catalog_file"] = ORACLES["pattern_catalog"]

@@ -497,13 +497,19 @@ def pattern_catalog(c: Corpus) -> DataFrame:
 
 @query
 def catalog_file(c: Corpus) -> DataFrame:
-    """The same catalogue written as a sheet, its texts cut into lines with quotes, and loaded from there."""
-    path, mark = f"{new_folder(c.spark)}/sheet", F.lit('\n"')
-    sheet = c.sheet().withColumn("Description", F.replace("Description", F.lit(" a"), F.concat(F.lit(" "), mark, F.lit("a"))))
+    """All documents written as a sheet, two rows to a name, and loaded from there as a catalogue."""
+    path = f"{new_folder(c.spark)}/sheet"
+    sheet = c.table("documents").orderBy("doc_id").select(
+        F.concat(F.lit("Doc "), F.floor(F.col("doc_id") / 2).cast("string")).alias("Pattern Name"),
+        F.col("text").alias("Description"),
+        F.col("source").alias("Link"),
+        F.col("doc_id").cast("string").alias("Comments"),
+    )
     options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    sheet.orderBy("item_id").write.options(**options).csv(path)
-    rows = catalog.load_patterns(c.spark, path).drop("pattern_id", "indicators", "embedding")
-    return rows.withColumn("description", F.replace("description", mark, F.lit("")))
+    sheet.write.options(**options).csv(path)
+    return catalog.load_patterns(c.spark, path).select(
+        "name", F.sha2("description", 256).alias("description_hash"), "link", "comments"
+    )
 
 
 @query
