@@ -7,13 +7,16 @@
   They overlap freely.
 * **Features** describe a candidate's format (digits, groups, separators, check digits, ranges, labels) and its
   context (words before it that announce such data or something else, what it touches).
-* **Trees.** Gradient boosting for the logistic loss over trees of depth 3 on binned features. It learns from candidates of a
-  sample of the texts: base spans are good; candidates that fail a check or have the wrong ends are bad. Good spans also come
+* **Trees.** Gradient boosting for the logistic loss over trees of depth 3 on binned features. It learns from the candidates of all
+  texts, copies included: base spans are good; candidates that fail a check or have the wrong ends are bad. Good spans also come
   rewritten in the other forms and bad ones are made of them (a wrong check digit, dates, versions, amounts), in the
-  contexts where they stood. The sample holds at most ``sample`` texts, those of the smallest hashes among
-  texts with digits or an at sign; nothing else depends on it.
-* **Thresholds.** Scores of a fifth of the sample that no tree has seen are calibrated: for each kind the smallest
-  threshold from which on at least ``precision`` of the candidates are good. A kind without such a threshold adds nothing.
+  contexts where they stood. Examples stay in tables: equal ones are a row with their number, each level of a tree is a pass
+  that sums gradients by node, feature and bin, and the driver holds these sums (up to ``ROWS_PER_TASK`` distinct examples
+  it makes them itself). They are whole numbers of ``1 / UNITS``,
+  so that the trees don't depend on the order of rows or tasks.
+* **Thresholds.** The examples of a fifth of all texts (by hash) are seen by no tree and calibrate the scores: for each kind the
+  smallest multiple of ``1 / STEPS`` from which on at least ``precision`` of them are good. A kind without such a threshold
+  adds nothing.
 
 Chosen candidates are added by falling score where they overlap no span that is there already. With fewer than 20 good
 or 20 bad examples nothing is added.
@@ -26,17 +29,24 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+import uuid
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusmatch.operators.storage import staging, written
+
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 4000
-# Stretches about data, of some 200 characters, that are learnt from in each text of the sample.
-STRETCHES = 20
 PRECISION = 0.98
+ROUNDS, DEPTH, RATE, BINS = 80, 3, 0.2, 32
+# Parts of one that gradients are rounded to, and that thresholds may be; scores beyond the bound count as it.
+UNITS, STEPS, MOST = 1 << 20, 256, 64
+# Distinct examples that one task sums, examples of one batch, and trees after which scores are written.
+ROWS_PER_TASK, EXAMPLES_AT_ONCE, TREES_KEPT = 100_000, 5000, 10
 # Parts of a run of numbers that one candidate may have.
 PARTS = 6
 
@@ -236,60 +246,29 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
 # --- boosted trees --------------------------------------------------------------------------------
 
 
+def _node(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """Where rows are after so many levels: a node sends a row right if its feature is above the node's cut."""
+    rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for level in range(levels):
+        at = node + 2**level - 1
+        node = 2 * node + (x[rows, feature[at]] > cut[at])
+    return node
+
+
 class Trees:
-    """Gradient boosting for the logistic loss: trees of ``depth`` with the same number of nodes on every path.
+    """Boosted trees with the same number of nodes on every path; ``score`` is the log odds.
 
-    A node sends a row right if its feature is above the node's cut. ``score`` is the log odds.
+    ``feature`` and ``cut`` are by tree and node (a cut of infinity sends all rows left), ``leaf`` by tree and leaf.
     """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.2, bins: int = 32):
-        cuts = [np.unique(np.quantile(column, np.arange(1, bins) / bins)) for column in x.T]
-        binned = np.stack([np.searchsorted(c, column, side="left") for c, column in zip(cuts, x.T)], 1)
-        share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-        self.start, self.depth = float(np.log(share / (1 - share))), depth
-        self.feature = np.zeros((rounds, 2**depth - 1), np.int64)
-        self.cut = np.full((rounds, 2**depth - 1), np.inf)
-        self.leaf = np.zeros((rounds, 2**depth))
-        score = np.full(len(y), self.start)
-        for r in range(rounds):
-            p = 1 / (1 + np.exp(-score))
-            gradient, weight = y - p, p * (1 - p)
-            node = np.zeros(len(y), np.int64)
-            for level in range(depth):
-                first = 2**level - 1
-                best = np.zeros(2**level)
-                right = np.zeros(len(y), bool)
-                chosen = np.zeros(2**level, np.int64)
-                at = np.full(2**level, bins)
-                for f in range(x.shape[1]):
-                    if not len(cuts[f]):
-                        continue
-                    width = len(cuts[f]) + 1
-                    cell = node * width + binned[:, f]
-                    g = np.bincount(cell, gradient, 2**level * width).reshape(-1, width).cumsum(1)
-                    h = np.bincount(cell, weight, 2**level * width).reshape(-1, width).cumsum(1)
-                    gain = g**2 / (h + 1) + (g[:, -1:] - g) ** 2 / (h[:, -1:] - h + 1) - g[:, -1:] ** 2 / (h[:, -1:] + 1)
-                    top = gain[:, :-1].argmax(1)
-                    value = gain[np.arange(2**level), top]
-                    better = value > best + 1e-9
-                    best, chosen, at = (np.where(better, new, old) for new, old in ((value, best), (f, chosen), (top, at)))
-                for n in range(2**level):
-                    if best[n] > 0:
-                        self.feature[r, first + n], self.cut[r, first + n] = chosen[n], cuts[chosen[n]][at[n]]
-                        right |= (node == n) & (binned[:, chosen[n]] > at[n])
-                node = 2 * node + right
-            g, h = np.bincount(node, gradient, 2**depth), np.bincount(node, weight, 2**depth)
-            self.leaf[r] = rate * g / (h + 1)
-            score = score + self.leaf[r][node]
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        rows, found = np.arange(len(x)), np.full(len(x), self.start)
+    def __init__(self, start: float, feature: np.ndarray, cut: np.ndarray, leaf: np.ndarray):
+        self.start, self.feature, self.cut, self.leaf = start, feature, cut, leaf
+
+    def score(self, x: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """From ``before`` on, the scores of the trees that came before these."""
+        found = np.full(len(x), self.start) if before is None else np.array(before, np.float64)
         for feature, cut, leaf in zip(self.feature, self.cut, self.leaf):
-            node = np.zeros(len(x), np.int64)
-            for level in range(self.depth):
-                at = node + 2**level - 1
-                node = 2 * node + (x[rows, feature[at]] > cut[at])
-            found += leaf[node]
+            found += leaf[_node(x, feature, cut, leaf.shape[-1].bit_length() - 1)]
         return found
 
 
@@ -300,16 +279,89 @@ class Model:
         self.trees, self.thresholds = trees, thresholds
 
 
-def _threshold(score: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The smallest score from which on at least ``precision`` are good, moved halfway to the next one below."""
+def _bins(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, len(FEATURES))
+
+
+def _over(rows: DataFrame | pa.Table, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> pa.Table:
+    """What ``run`` makes of the batches: in the tasks of a table of Spark, or of few rows right here."""
+    if isinstance(rows, DataFrame):
+        return rows.mapInArrow(run, schema).toArrow()
+    return pa.Table.from_batches(run(iter(rows.to_batches(10_000))))
+
+
+def _sums(rows: DataFrame | pa.Table, trees: Trees, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and weights by node of this level of the last tree, feature and bin; the trees before it are finished."""
+    finished = Trees(trees.start, trees.feature[:-1], trees.cut[:-1], trees.leaf[:-1])
+    shape = (2**level, len(FEATURES), BINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, h = np.zeros(shape).ravel(), np.zeros(shape).ravel()
+        for batch in batches:
+            x = _bins(batch["x"])
+            good, bad, before = (batch[c].to_numpy(zero_copy_only=False) for c in ("good", "bad", "score"))
+            p = 1 / (1 + np.exp(-finished.score(x, before)))
+            node = _node(x, trees.feature[-1], trees.cut[-1], level)
+            cell = (node[:, None] * shape[1] + np.arange(shape[1])) * BINS + x
+            for to, value in ((g, good * (1 - p) - bad * p), (h, (good + bad) * p * (1 - p))):
+                to += np.bincount(cell.ravel(), np.repeat(np.rint(value * UNITS), shape[1]), len(to))
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()]) for v in (g, h)], ["g", "h"])
+
+    # each a sum of whole numbers, and so the same in any order
+    found = _over(rows, run, "g binary, h binary")
+    return tuple(sum(np.frombuffer(v.as_py()) for v in found[c]).reshape(shape) / UNITS for c in ("g", "h"))
+
+
+def _scored(rows: DataFrame | pa.Table, trees: Trees, folder: str) -> DataFrame | pa.Table:
+    """``rows`` with the scores of these trees added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = pa.array(trees.score(_bins(batch["x"]), batch["score"].to_numpy(zero_copy_only=False)))
+            yield batch.set_column(batch.schema.get_field_index("score"), "score", score)
+
+    if isinstance(rows, DataFrame):
+        return written(rows.mapInArrow(run, rows.schema), f"scored_{uuid.uuid4().hex}", folder)
+    return _over(rows, run, "")
+
+
+def _boosted(rows: DataFrame, start: float, folder: str) -> Trees:
+    """Trees on bins over ``rows`` (``x, good, bad, score``): distinct examples, how many are good and bad, the score so far.
+
+    Rows that one task would do come to the driver, which makes the same sums without a job for each level.
+    """
+    tasks = -(-rows.count() // ROWS_PER_TASK)
+    rows = rows.coalesce(tasks) if tasks > 1 else rows.toArrow()
+    feature, cut = np.zeros((ROUNDS, 2**DEPTH - 1), np.int64), np.full((ROUNDS, 2**DEPTH - 1), np.inf)
+    leaf, done = np.zeros((ROUNDS, 2**DEPTH)), 0
+    for r in range(ROUNDS):
+        if r - done == TREES_KEPT:
+            trees = Trees(start, feature[done:r], cut[done:r], leaf[done:r])
+            rows, done = _scored(rows, trees, folder), r
+        for level in range(DEPTH):
+            now = slice(done, r + 1)
+            g, h = _sums(rows, Trees(start, feature[now], cut[now], leaf[now]), level)
+            all_g, all_h = g.sum(2, keepdims=True), h.sum(2, keepdims=True)
+            left_g, left_h = g.cumsum(2), h.cumsum(2)
+            gain = left_g**2 / (left_h + 1) + (all_g - left_g) ** 2 / (all_h - left_h + 1) - all_g**2 / (all_h + 1)
+            for n in range(2**level):
+                f, at = np.unravel_index(gain[n].argmax(), gain[n].shape)
+                split = gain[n, f, at] > 1e-9
+                if split:
+                    feature[r, 2**level - 1 + n], cut[r, 2**level - 1 + n] = f, at
+                if level == DEPTH - 1:
+                    sides = [(left_g[n, f, at], left_h[n, f, at])] if split else [(all_g[n, 0, 0], all_h[n, 0, 0])]
+                    sides.append((all_g[n, f, 0] - sides[0][0], all_h[n, f, 0] - sides[0][1]))
+                    leaf[r, 2 * n : 2 * n + 2] = [RATE * a / (b + 1) for a, b in sides]
+    return Trees(start, feature, cut, leaf)
+
+
+def _threshold(score: np.ndarray, good: np.ndarray, bad: np.ndarray, precision: float) -> float:
+    """The smallest score from which on at least ``precision`` are good; no kind starts with fewer than 10 good ones."""
     order = np.argsort(-score, kind="stable")
-    good = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    last = np.append(score[order][1:] != score[order][:-1], True)
-    fits = np.flatnonzero(last & (good >= precision))
-    if not len(fits) or y[order][: fits[-1] + 1].sum() < 10:
-        return float("inf")
-    least, below = score[order][fits[-1]], score[order][fits[-1] + 1 :]
-    return float((least + below[0]) / 2 if len(below) else least)
+    n_good, n = np.cumsum(good[order]), np.cumsum((good + bad)[order])
+    fits = np.flatnonzero(n_good >= precision * n)
+    return float(score[order][fits[-1]]) if len(fits) and n_good[fits[-1]] >= 10 else float("inf")
 
 
 def _luhn_digit(digits: str) -> str:
@@ -353,64 +405,144 @@ def _rewritten(kind: int, span: str, rng: np.random.Generator) -> tuple[list[tup
     return good, bad
 
 
-def examples(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels, kinds and texts (by number) of the examples that a sample of texts gives."""
-    rng = np.random.default_rng(seed)
-    rows, labels, kinds, owner = [], [], [], []
-
-    def add(text: str, start: int, kind: int, end: int, good: bool) -> None:
-        rows.append(features(text, start, kind, end))
-        labels.append(good)
-        kinds.append(kind)
-        owner.append(n)
-
-    for n, text in enumerate(texts):
-        base = base_spans(text)
-        for a, k, b in sorted(candidates(text)):
-            if (a, k, b) in base:
-                add(text, a, k, b, True)
-            elif any(a < e and s < b for s, _, e in base) or k == 2 and not luhn(_digits(text[a:b])):
-                add(text, a, k, b, False)
-            elif k and (text[a - 1 : a].isalnum() and a or text[b : b + 1].isalnum()):
-                add(text, a, k, b, False)
-        for a, k, b in base[:20]:
-            good, bad = _rewritten(k, text[a:b], rng)
-            lead = ("", "", "", HINTS[k][int(rng.integers(len(HINTS[k])))] + pick_mark(rng))[int(rng.integers(4))]
-            wrong = ("", "", OTHERS[int(rng.integers(len(OTHERS)))] + pick_mark(rng))[int(rng.integers(3))]
-            for (kind, span), is_good in [(x, True) for x in good] + [(x, False) for x in bad]:
-                hint = lead if is_good else wrong
-                before = text[max(0, a - _NEAR) : a] + hint
-                add(before + span + text[b : b + _NEAR], len(before), kind, len(before) + len(span), is_good)
-                if is_good and " " in span.strip() and kind >= 2:
-                    # without its first or its last part
-                    whole, first, last = before + span + text[b : b + _NEAR], span.index(" ") + 1, span.rindex(" ")
-                    add(whole, len(before) + first, kind, len(before) + len(span), False)
-                    add(whole, len(before), kind, len(before) + last, False)
-    x = np.array(rows, np.float64).reshape(-1, len(FEATURES))
-    return x, np.array(labels, np.float64), np.array(kinds, np.int64), np.array(owner, np.int64)
+def examples(text: str, seed: int = 11) -> Iterator[tuple[list[float], int, bool]]:
+    """Features, kind and label of every example that a text gives."""
+    base = base_spans(text)
+    known, starts, ends = set(base), [a for a, _, _ in base], np.maximum.accumulate([0] + [b for _, _, b in base]).tolist()
+    for a, k, b in sorted(candidates(text)):
+        if (a, k, b) in known:
+            yield features(text, a, k, b), k, True
+        elif ends[bisect.bisect_left(starts, b)] > a or k == 2 and not luhn(_digits(text[a:b])):
+            yield features(text, a, k, b), k, False
+        elif k and (text[a - 1 : a].isalnum() and a or text[b : b + 1].isalnum()):
+            yield features(text, a, k, b), k, False
+    rng = np.random.default_rng([seed, zlib.crc32(text.encode())]) if base else None
+    for a, k, b in base:
+        good, bad = _rewritten(k, text[a:b], rng)
+        lead = ("", "", "", HINTS[k][int(rng.integers(len(HINTS[k])))] + pick_mark(rng))[int(rng.integers(4))]
+        wrong = ("", "", OTHERS[int(rng.integers(len(OTHERS)))] + pick_mark(rng))[int(rng.integers(3))]
+        for (kind, span), is_good in [(x, True) for x in good] + [(x, False) for x in bad]:
+            before = text[max(0, a - _NEAR) : a] + (lead if is_good else wrong)
+            whole, end = before + span + text[b : b + _NEAR], len(before) + len(span)
+            yield features(whole, len(before), kind, end), kind, is_good
+            if is_good and " " in span.strip() and kind >= 2:
+                # without its first or its last part
+                yield features(whole, len(before) + span.index(" ") + 1, kind, end), kind, False
+                yield features(whole, len(before), kind, len(before) + span.rindex(" ")), kind, False
 
 
 def pick_mark(rng: np.random.Generator) -> str:
     return (" ", ": ", " is ")[int(rng.integers(3))]
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, text: str = "text") -> Model | None:
-    """The model of at most ``sample`` texts; None where they hold too few examples."""
+def _all_examples(docs: DataFrame, text: str) -> DataFrame:
+    """``x`` (features as int32), ``kind, good, held, n``: the examples of all texts; equal ones of a batch are one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            columns = [*zip(*some), list(some.values())]
+            types = (pa.binary(), pa.int8(), pa.bool_(), pa.bool_(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["x", "kind", "good", "held", "n"])
+
+        for batch in batches:
+            for own, held in zip(batch["text"], batch["held"].to_pylist()):
+                for x, kind, good in examples(own.as_py()):
+                    some[np.array(x, np.int32).tobytes(), kind, bool(good), held] += 1
+                    if len(some) >= EXAMPLES_AT_ONCE:
+                        yield told()
+                        some.clear()
+        if some:
+            yield told()
+
+    # a text without digits and at signs has no base span and no candidate that is known to be bad
     able = docs.select(F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    able = able.withColumn("h", F.xxhash64(F.lit(5), "text"))
-    chosen = able.select("h").distinct().orderBy("h").limit(sample)
-    some = able.join(F.broadcast(chosen), "h").dropDuplicates(["h"])
-    # the stretches about the data: the driver holds a bounded number of characters of each text
-    near = F.regexp_extract_all("text", F.lit(r"(?s)(.{0,60}(?:[0-9][0-9 ().+-]{6,40}|@|[0-9]+\.[0-9]+\.[0-9]).{0,60})"), 1)
-    rows = some.select("h", F.array_join(F.slice(near, 1, STRETCHES), "\n").alias("text")).orderBy("h").collect()
-    x, y, kinds, owner = examples([r["text"] for r in rows])
-    held = owner % 5 == 4
-    if min(y[~held].sum(), (1 - y[~held]).sum()) < 20 or not held.any():
-        return None
-    trees = Trees(x[~held], y[~held])
-    score = trees.score(x[held])
-    thresholds = [_threshold(score[kinds[held] == k], y[held][kinds[held] == k], precision) for k in range(len(KINDS))]
-    return Model(trees, thresholds)
+    able = able.withColumn("held", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(5)) == 4)
+    return able.mapInArrow(run, "x binary, kind tinyint, good boolean, held boolean, n long")
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, len(FEATURES))
+
+
+def _cuts(found: DataFrame) -> list[np.ndarray]:
+    """Cuts of each feature: all its values (but the largest) if they fit the bins, else its quantiles.
+
+    What comes to the driver is how often each value of a feature occurs. Features are numbers of characters and parts, so texts of
+    ``n`` characters have some ``sqrt(2 * n)`` values of one at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = _values(batch["x"]), batch["n"].to_numpy()
+            for f in range(x.shape[1]):
+                value, at = np.unique(x[:, f], return_inverse=True)
+                counted = np.bincount(at, n, len(value)).astype(np.int64)
+                columns = [np.full(len(value), f, np.int32), value, counted]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["feature", "value", "n"])
+
+    counts = found.select("x", "n").mapInArrow(run, "feature int, value int, n long")
+    rows = counts.groupBy("feature", "value").agg(F.sum("n").alias("n")).collect()
+    table = np.array(sorted((r["feature"], r["value"], r["n"]) for r in rows), np.int64).reshape(-1, 3)
+    cuts = []
+    for f in range(len(FEATURES)):
+        value, n = table[table[:, 0] == f][:, 1], np.cumsum(table[table[:, 0] == f][:, 2])
+        if len(value) > BINS:
+            value = np.unique(value[np.searchsorted(n, np.arange(1, BINS) * n[-1] / BINS)])
+        else:
+            value = value[:-1]
+        cuts.append(value.astype(np.float64))
+    return cuts
+
+
+def _binned(found: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """``x`` (bins as bytes), ``kind, held, good, bad``: distinct examples and how many there are of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _values(batch["x"])
+            cells = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1).astype(np.uint8)
+            yield batch.set_column(0, "x", pa.array([row.tobytes() for row in cells], pa.binary()))
+
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    rows = found.select("x", "kind", "good", "held", "n")
+    rows = rows.mapInArrow(run, rows.schema).groupBy("x", "kind", "held")
+    return rows.agg(count(F.col("good")).alias("good"), count(~F.col("good")).alias("bad"))
+
+
+def _calibrated(rows: DataFrame, trees: Trees, precision: float) -> list[float]:
+    """The threshold of each kind by ``rows`` (``x, kind, good, bad``), which no tree has seen; scores are counted by steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.clip(trees.score(_bins(batch["x"])), -MOST, MOST)
+            step = pa.array(np.floor(score * STEPS).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([step, *(batch[c] for c in ("kind", "good", "bad"))], ["step", "kind", "good", "bad"])
+
+    steps = rows.select("x", "kind", "good", "bad").mapInArrow(run, "step int, kind tinyint, good long, bad long")
+    found = steps.groupBy("kind", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+    of_kind = ([r for r in found if r["kind"] == k] for k in range(len(KINDS)))
+    columns = ([np.array([r[c] for r in some], np.float64) for c in ("step", "good", "bad")] for some in of_kind)
+    return [_threshold(step / STEPS, good, bad, precision) for step, good, bad in columns]
+
+
+def learn(docs: DataFrame, precision: float = PRECISION, text: str = "text") -> Model | None:
+    """The model of all texts; None where they hold too few examples."""
+    with staging(docs.sparkSession) as folder:
+        found = written(_all_examples(docs, text), "examples", folder)
+        seen = found.filter(~F.col("held"))
+        counts = {(r["held"], r["good"]): r["n"] for r in found.groupBy("held", "good").agg(F.sum("n").alias("n")).collect()}
+        good, bad = counts.get((False, True), 0), counts.get((False, False), 0)
+        if min(good, bad) < 20 or not any(held for held, _ in counts):
+            return None
+        cuts, start = _cuts(seen), float(np.log(good / bad))
+        rows = written(_binned(found, cuts), "binned", folder)
+        trees = _boosted(rows.filter(~F.col("held")).select("x", "good", "bad", F.lit(start).alias("score")), start, folder)
+        thresholds = _calibrated(rows.filter("held"), trees, precision)
+    # from bins to the values that they end with
+    cut = np.array([[cuts[f][int(c)] if c < len(cuts[f]) else np.inf for f, c in zip(*tree)] for tree in zip(trees.feature, trees.cut)])
+    return Model(Trees(start, trees.feature, cut, trees.leaf), thresholds)
 
 
 def added(text: str, base: list[tuple[int, int, int]], model: Model | None) -> list[tuple[int, int, int]]:

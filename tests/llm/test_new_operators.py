@@ -187,6 +187,26 @@ def test_pii_table(spark, model):
     assert found[1] == ("x [email] y [ip] z", "") and found[2] == (None, None) and found[4][0] == "é" * 70_000 + " [card] ü"
 
 
+def test_pii_learns_from_every_text(spark, monkeypatch):
+    """Each text and each span gives its examples, in whatever order; the trees are the same from tasks and from the driver."""
+    rng = np.random.default_rng(3)
+    texts = [f"{_prose(rng, 5)} {' , '.join(_strict(rng)[i % 4] for _ in range(30))} {_prose(rng, 5)}" for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "b", "a") for i, t in enumerate(texts + texts[:1])] + [(99, None, "", "")], SCHEMA)
+    rows = pii._all_examples(docs, "text").collect()
+    # of a text with 30 spans too, and of a copy
+    assert sum(r["n"] for r in rows) == sum(1 for t in texts + texts[:1] for _ in pii.examples(t))
+    base = sum(len(pii.base_spans(t)) for t in texts + texts[:1])
+    assert base >= 41 * 30 and sum(r["n"] for r in rows if r["good"]) >= 2 * base
+
+    monkeypatch.setattr(pii, "ROUNDS", 12)
+    first = pii.learn(docs.repartition(3))
+    monkeypatch.setattr(pii, "ROWS_PER_TASK", 20)
+    other = pii.learn(docs.orderBy(docs.doc_id.desc()).repartition(5))
+    for part in ("feature", "cut", "leaf"):
+        assert np.array_equal(getattr(first.trees, part), getattr(other.trees, part))
+    assert first.thresholds == other.thresholds and min(first.thresholds) < float("inf")
+
+
 def test_pii_query_keeps_base_spans(spark, sf_dir):
     got = queries.op12_boosted_candidates(spark, sf_dir).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
