@@ -24,6 +24,10 @@ PATHS = [
 ]
 
 
+# Generated files of one task: a part is some bytes, but its file is written and parsed.
+FILES_PER_TASK = 5_000
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -107,7 +111,12 @@ class Corpus:
         )
 
     def part_sources(self) -> DataFrame:
-        """Python files generated from the parts; every tenth does not parse."""
+        """Python files generated from the parts; every tenth does not parse.
+
+        The parts are dealt out by their number: millions of them are one small file, which would be a task or two.
+        """
+        parts = self.table("part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
+        tasks = max(1, -(-parts.count() // FILES_PER_TASK))
         key = F.col("p_partkey").cast("string")
         text = F.concat(
             F.lit("@register\nclass Part"), key, F.lit(':\n    """'), "p_name", F.lit('\n\n      in stock\n    """\n'),
@@ -117,7 +126,7 @@ class Corpus:
             F.lit("def make_"), key, F.lit("(a, b=1):\n    def hidden(): pass\n    return '"), "p_brand", F.lit("\u00e9'\n"),
             F.when(F.col("p_partkey") % 10 == 0, "def broken(:\n").otherwise(""),
         )
-        return self.table("part").select(
+        return parts.repartition(tasks).select(
             F.col("p_partkey").alias("file_id"),
             F.concat(F.lit("parts/p"), key, F.lit(".py")).alias("rel_path"),
             F.col("p_type").alias("repo_id"),

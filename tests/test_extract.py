@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from corpusmatch.operators import extract as ex
 
 SOURCE = '''\
@@ -136,3 +138,18 @@ def test_a_bad_file_costs_only_itself(spark):
     # what precedes an unstorable symbol stays
     assert sorted(r["name"] for r in ex.symbols_of(extracted).collect()) == ["a", "ok"]
     assert extracted.count() == len(bad + fine)
+
+
+def test_generated_files_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    """A small file of many parts is many tasks; keys may repeat or be null."""
+    from corpusmatch.plans import roles
+
+    rows = [(None if i % 9 == 0 else i % 50, f"name {i}", "type", i, "brand") for i in range(95)]
+    parts = spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int, p_brand string")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    whole = roles.Corpus(spark, str(tmp_path)).part_sources().collect()
+    monkeypatch.setattr(roles, "FILES_PER_TASK", 10)
+    files = roles.Corpus(spark, str(tmp_path)).part_sources()
+    sizes = files.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) <= 12
+    assert sorted(map(str, files.collect())) == sorted(map(str, whole)) and len(whole) == 95
