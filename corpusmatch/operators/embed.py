@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusmatch.functions import text as tx, vectors as vx
 from corpusmatch.functions.worker import once_per_worker
 from corpusmatch.operators.skew import spread_join
-from corpusmatch.operators.storage import written
+from corpusmatch.operators.storage import small_batches, written
 from corpusmatch.operators.upserts import replace_by_key
 
 Encoder = Callable[[Column], Column]
@@ -129,7 +129,8 @@ def embed_incremental(
     texts = written(due.select("symbol_id", "repo_id", "text_hash", "text"), "texts", folder)
     cache = cache(texts.select("text_hash")) if callable(cache) else cache
     encoded = embed_texts(cache_misses(texts, cache), "text", encoder).select("text_hash", "embedding")
-    fresh = written(encoded, "new_vectors", folder)
+    with small_batches(symbols.sparkSession):
+        fresh = written(encoded, "new_vectors", folder)
     complete = cache.select("text_hash", "embedding").unionByName(fresh)
     keys = texts.select("symbol_id", "repo_id", "text_hash")
     return spread_join(keys, complete, "text_hash", row_key="symbol_id"), fresh

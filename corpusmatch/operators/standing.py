@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusmatch.functions import vectors as vx
 from corpusmatch.operators.semantic import semantic_topk
 from corpusmatch.operators.skew import top_k
-from corpusmatch.operators.storage import written
+from corpusmatch.operators.storage import small_batches, written
 
 _ORDER = ("score", "symbol_id")
 RESERVE = ["pattern_id", "pattern_name", "symbol_id", "repo_id", "score"]
@@ -67,7 +67,8 @@ def _floors(reserve: DataFrame, patterns: DataFrame, size: int, old: DataFrame |
 
 def build(vectors: DataFrame, patterns: DataFrame, k: int, min_cos: float, spare: int, folder: str | None = None) -> Standing:
     """The state of all patterns over all vectors."""
-    reserve = written(semantic_topk(vectors, patterns, k + spare, min_cos).select(*RESERVE), "reserve", folder)
+    with small_batches(vectors.sparkSession):
+        reserve = written(semantic_topk(vectors, patterns, k + spare, min_cos).select(*RESERVE), "reserve", folder)
     return Standing(reserve, written(_floors(reserve, patterns, k + spare), "floors", folder))
 
 

@@ -58,6 +58,23 @@ def staging(spark: SparkSession) -> Iterator[str]:
         system.delete(path, True)
 
 
+# What Python gets at a time in costly steps: a worker holds a batch, copies of it and what is made of it.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304b"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most 1,000 rows and 4 MB (or one row) in what is run meanwhile; the settings return afterwards."""
+    before = {key: spark.conf.get(key, None) for key in SMALL_BATCHES}
+    try:
+        for key, value in SMALL_BATCHES.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back with pruning intact.
 

@@ -16,7 +16,7 @@ from corpusmatch.operators.hits import HIT_KEY, attach_snippets, backfill_hash,
 from corpusmatch.operators.keyword import keyword_scan
 from corpusmatch.operators.semantic import semantic_match
 from corpusmatch.operators.skew import keep_first
-from corpusmatch.operators.storage import staging, written
+from corpusmatch.operators.storage import small_batches, staging, written
 from corpusmatch.operators import standing
 from corpusmatch.operators.upserts import upsert_patterns, upsert_repos
 from corpusmatch.sources.catalog import embed_catalog, load_patterns
@@ -144,7 +144,8 @@ def index_repositories(
         files = files.withColumn("text", F.when(~F.col("unchanged"), F.col("text")))
     indexed = extract(files).withColumn("error", F.coalesce("read_error", "error"))
     indexed = indexed.withColumn("extraction", F.lit(EXTRACTION))
-    extracted = written(indexed, "extracted", folder)
+    with small_batches(store.spark):
+        extracted = written(indexed, "extracted", folder)
     symbols = schemas.conform(symbols_of(extracted), schemas.SYMBOLS)
     if known is not None:
         again = store.symbols(repos).join(extracted.filter("unchanged").select("file_id"), "file_id")

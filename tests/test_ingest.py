@@ -1,5 +1,6 @@
 """The whole way from folders to hits, and what running it again does."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,24 @@ def test_blank_texts_have_no_vector(spark):
     got = {r["t"]: r["embedding"] for r in embed_texts(df, "t", hashed_bag_of_words(4)).collect()}
     assert got[" \t"] is None and got[None] is None and got["é"] == [0.0] * 4
     assert abs(sum(x * x for x in got["a b a"]) - 1) < 1e-6
+
+
+def test_costly_python_steps_get_small_batches(spark, tmp_path):
+    """So that a worker's memory doesn't follow the rows of its task; the session's settings come back."""
+    from corpusmatch.operators.embed import embed_incremental
+    from corpusmatch.operators.storage import SMALL_BATCHES
+
+    @F.arrow_udf("array<float>")
+    def encode(texts: pa.Array) -> pa.Array:
+        return pa.array([[float(len(texts))]] * len(texts), pa.list_(pa.float32()))
+
+    symbols = spark.range(5000).coalesce(1).select(
+        F.col("id").alias("symbol_id"), F.lit("r").alias("repo_id"), F.lit("doc").alias("kind"), F.lit("n").alias("name"),
+        F.lit(None).cast("string").alias("docstring"), F.col("id").cast("string").alias("source"),
+        F.lit(None).cast("array<float>").alias("embedding"),
+    )
+    cache = spark.createDataFrame([], "text_hash string, embedding array<float>")
+    before = {key: spark.conf.get(key) for key in SMALL_BATCHES}
+    vectors, fresh = embed_incremental(symbols, cache, encode, folder=str(tmp_path))
+    assert vectors.count() == 5000 and max(r[0] for r in fresh.selectExpr("embedding[0]").collect()) <= 1000
+    assert {key: spark.conf.get(key) for key in SMALL_BATCHES} == before
