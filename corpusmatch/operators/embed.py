@@ -34,7 +34,7 @@ def hashed_bag_of_words(dim: int = 256) -> Encoder:
             words = pc.split_pattern_regex(texts.fill_null(""), "[^a-z0-9_]+")
             coded = words.flatten().dictionary_encode()
             distinct = coded.dictionary.to_pylist()
-            if len(bucket_of_word) > 1 << 20:
+            if len(bucket_of_word) > 1 << 16:
                 bucket_of_word.clear()
             for word in distinct:
                 if word not in bucket_of_word:
